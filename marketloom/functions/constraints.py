@@ -23,31 +23,32 @@ LEAST_PRICE = 1000
 CONTEXT_CHARS = 25
 
 
-def _amounts(text: Column) -> Column:
-    """Every number of the text with its multiplied value and the text to its left.
+def _first_price(text: Column) -> Column:
+    """struct(value, left): the first number of at least 1000 and the text just before it.
 
-    Splitting at the numbers gives the gaps between them; a fold over the numbers
-    rebuilds where each one starts, so that the left context can be cut out.
+    The numbers and the gaps between them alternate, so one fold over both sees each
+    number with the last characters of everything to its left.
     """
     pattern = "(?i)" + AMOUNT
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    pieces = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
+    nothing = F.struct(
+        F.lit("").alias("tail"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("left")
+    )
 
-    def parse(hit: Column, i: Column) -> Column:
-        number = F.replace(F.regexp_extract(hit, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-        scale = F.when(F.regexp_extract(hit, pattern, 2) != "", 1000.0).otherwise(1.0)
-        # The left context is a suffix of gap + number + gap ...; rebuild it from the pieces to the left.
-        left = F.aggregate(
-            F.sequence(F.lit(0), i),
-            F.lit(""),
-            lambda acc, j: F.right(
-                F.concat(acc, F.when(j > 0, F.get(found, j - 1)).otherwise(F.lit("")), F.get(gaps, j)),
-                F.lit(CONTEXT_CHARS),
-            ),
+    def step(acc: Column, piece: Column) -> Column:
+        left = F.right(F.concat(acc["tail"], F.coalesce(piece["gap"], F.lit(""))), F.lit(CONTEXT_CHARS))
+        number = F.replace(F.regexp_extract(piece["hit"], pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+        value = number * F.when(F.regexp_extract(piece["hit"], pattern, 2) != "", 1000.0).otherwise(1.0)
+        is_price = acc["value"].isNull() & (value >= LEAST_PRICE)
+        return F.struct(
+            F.right(F.concat(left, F.coalesce(piece["hit"], F.lit(""))), F.lit(CONTEXT_CHARS)).alias("tail"),
+            F.when(is_price, value).otherwise(acc["value"]).alias("value"),
+            F.when(is_price, left).otherwise(acc["left"]).alias("left"),
         )
-        return F.struct((number * scale).alias("value"), left.alias("left"))
 
-    return F.when(F.size(found) > 0, F.transform(found, parse))
+    return F.when(F.size(found) > 0, F.aggregate(pieces, nothing, step))
 
 
 def _first_keyword(text: Column, table: tuple[tuple[str, str], ...], whole_word: bool) -> Column:
@@ -65,7 +66,7 @@ def parse_constraints(text: Column) -> Column:
     The first number of at least 1000 is the price. It is a lower bound when the
     25 characters before it hold a lower-bound word, else an upper bound.
     """
-    price = F.get(F.filter(_amounts(text), lambda a: a["value"] >= LEAST_PRICE), F.lit(0))
+    price = _first_price(text)
     is_lower = price["left"].rlike(LOWER_BOUND)
     return F.struct(
         F.when(is_lower, price["value"]).alias("price_min"),
