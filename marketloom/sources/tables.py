@@ -89,7 +89,7 @@ def newer_than_table(df: DataFrame, table: DataFrame, col: str, inclusive: bool
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Full refresh of a table; readers see the old or the new files."""
+    """Full refresh of a table at a path that `df` does not read."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
