@@ -136,24 +136,72 @@ class _Picker(HTMLParser):
         return self.found
 
 
-def pick_fields(html: str, fields: Mapping[str, tuple[list, str | None]]) -> dict[str, list[str]]:
-    picker = _Picker(fields)
-    picker.feed(html)
-    return picker.done()
+class _RecordPicker(_Picker):
+    """Like `_Picker`, with a separate set of values for every container element."""
 
+    def __init__(self, fields, container: list):
+        super().__init__(fields)
+        self.container = container
+        self.records: list[dict[str, list[str]]] = []
+        self.inside = 0
 
-def extract_fields(pages: DataFrame, key: str, html: str, spec: Mapping[str, Field]) -> DataFrame:
-    """(key, <field> array<string> ...): every match of every field, in document order."""
-    key_type = pages.schema[key].dataType.simpleString()
-    compiled = {name: (_compile(f.selector), f.attr) for name, f in spec.items()}
+    def handle_starttag(self, tag, attrs):
+        values = {k: v or "" for k, v in attrs}
+        element = (tag, values, set(values.get("class", "").split()))
+        if not self.inside and _matches(self.container, [*self.stack, element]):
+            self.inside = len(self.stack) + 1
+            self.found = {name: [] for name in self.fields}
+            self.records.append(self.found)
+        super().handle_starttag(tag, attrs)
+
+    def _close(self, depth: int):
+        super()._close(depth)
+        if self.inside > depth:
+            self.inside = 0
+            self.found = {name: [] for name in self.fields}
+
+
+def _compiled(spec: Mapping[str, Field]) -> dict[str, tuple[list, str | None]]:
+    return {name: (_compile(f.selector), f.attr) for name, f in spec.items()}
+
+
+def _schema(pages: DataFrame, keep: list[str], spec: Mapping[str, Field]) -> str:
+    kept = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
+    return ", ".join([*kept, *(f"{name} array<string>" for name in spec)])
+
+
+def extract_fields(pages: DataFrame, keep: list[str], html: str, spec: Mapping[str, Field]) -> DataFrame:
+    """(keep..., <field> array<string> ...): every match of every field, in document order."""
+    compiled = _compiled(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [pick_fields(h or "", compiled) for h in b[html]]
-            yield pd.DataFrame({key: b[key], **{name: [r[name] for r in rows] for name in spec}})
+            rows = []
+            for page in b[html]:
+                picker = _Picker(compiled)
+                picker.feed(page or "")
+                rows.append(picker.done())
+            yield b[keep].assign(**{name: [r[name] for r in rows] for name in spec})
+
+    return pages.select(*keep, html).mapInPandas(run, _schema(pages, keep, spec))
 
-    columns = ", ".join(f"{name} array<string>" for name in spec)
-    return pages.select(key, html).mapInPandas(run, f"{key} {key_type}, {columns}")
+
+def extract_records(pages: DataFrame, keep: list[str], html: str, container: str, spec: Mapping[str, Field]) -> DataFrame:
+    """One row (keep..., <field> array<string> ...) per container element of a page."""
+    compiled, box = _compiled(spec), _compile(container)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, at = [], []
+            for i, page in enumerate(b[html]):
+                picker = _RecordPicker(compiled, box)
+                picker.feed(page or "")
+                picker.done()
+                rows.extend(picker.records)
+                at.extend([i] * len(picker.records))
+            yield b[keep].iloc[at].assign(**{name: [r[name] for r in rows] for name in spec})
+
+    return pages.select(*keep, html).mapInPandas(run, _schema(pages, keep, spec))
 
 
 def first(col: str) -> Column:
@@ -188,8 +236,26 @@ LISTING_FIELDS = {
     "seller_images": Field("card-gallery.dealership-gallery img", "src"),
     "car_rating": Field("section#consumer-reviews div.rating-out-of span.rating-count"),
     "car_subtitle": Field("section#consumer-reviews div.subtitle"),
+    "breakdown": Field("section#consumer-reviews div.ratings-breakdown div.review-text"),
+    "breakdown_value": Field("section#consumer-reviews div.ratings-breakdown div.review-text strong"),
     "review_href": Field("fuse-button.review-btn-secondary[href*=write-a-review]", "href"),
 }
+# The block of one consumer review and its fields.
+REVIEW_BLOCK = "div.consumer-review-container"
+REVIEW_FIELDS = {
+    "rating": Field("fuse-rating, spark-rating", "rating"),
+    "date": Field(".review-date"),
+    "byline": Field(".review-byline div"),
+    "author": Field(".author-details div"),
+    "headline": Field("h3.title"),
+    "part": Field(".ratings-breakdown fuse-stack .review-text"),
+    "part_value": Field(".ratings-breakdown fuse-stack .review-text strong"),
+    "old_part": Field(".review-breakdown--list li .sds-definition-list__display-name"),
+    "old_value": Field(".review-breakdown--list li .sds-definition-list__value"),
+    "clamp": Field("cars-line-clamp"),
+    "feedback": Field("cars-line-clamp .review-feedback"),
+    "body": Field("p.review-body"),
+}
 # Fields of a dealer page.
 DEALER_FIELDS = {
     "phone_kind": Field("div.dealer-phone span.phone-number-title"),
@@ -219,8 +285,43 @@ def _nonempty(items: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
+def _labelled_numbers(texts: str, values: str) -> Column:
+    """Map label -> number from texts that hold the number and, besides it, the label."""
+    entries = F.transform(
+        F.arrays_zip(texts, values),
+        lambda e: F.struct(F.trim(F.replace(e[texts], e[values], F.lit(""))).alias("label"), e[values].alias("value")),
+    )
+    found = _map_of(F.filter(entries, lambda e: e["value"] != ""))
+    return F.transform_values(found, lambda _, v: v.try_cast("double"))
+
+
+def listing_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Selected fields of detail pages, with the review count read from the page text."""
+    counted = pages.withColumn("review_count", patterns.review_count(F.col(html)))
+    return extract_fields(counted, [key, "review_count"], html, LISTING_FIELDS)
+
+
+def review_records(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, review struct): one row per consumer review that has a text or a title."""
+    raw = extract_records(pages, [key], html, REVIEW_BLOCK, REVIEW_FIELDS)
+    # A byline of two parts is date and author; newer pages mark both.
+    who = patterns.byline(F.coalesce(first("author"), F.get("byline", F.lit(1))))
+    clamp = F.when(F.size("clamp") > 0, F.replace(F.get("clamp", F.lit(0)), F.coalesce(first("feedback"), F.lit("\u0000")), F.lit("")))
+    text = F.nullif(F.coalesce(clamp, first("body")), F.lit(""))
+    parts = F.coalesce(_labelled_numbers("part", "part_value"), F.map_from_arrays(
+        F.when(F.size("old_part") > 0, F.array_distinct("old_part")), F.transform("old_value", lambda v: v.try_cast("double"))
+    ))
+    review = F.struct(
+        first("rating").try_cast("double").alias("overall_rating"),
+        F.coalesce(first("date"), first("byline")).alias("time"),
+        who["name"].alias("user_name"), who["place"].alias("from"), first("headline").alias("title"),
+        parts.alias("ratings_breakdown"), text.alias("review"),
+    )
+    return raw.select(key, review.alias("review")).filter(F.col("review.review").isNotNull() | F.col("review.title").isNotNull())
+
+
 def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
-    """(key, post, seller, car) structs of detail pages from the extracted fields."""
+    """(key, post, seller, car) structs of detail pages from `listing_fields`."""
     head = patterns.condition_and_title(first("headline"))
     subtitle = first("specs_subtitle")
 
@@ -286,6 +387,8 @@ def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
     )
     car = F.struct(
         first("car_rating").try_cast("double").alias("car_rating"),
+        F.col("review_count").alias("car_rating_count"),
+        _labelled_numbers("breakdown", "breakdown_value").alias("ratings"),
         patterns.percentage(first("car_subtitle")).alias("percentage_recommend"),
         slug.alias("car_model"), urls.slug_brand(slug).alias("brand"), urls.slug_name(slug).alias("car_name"),
         car_link.alias("car_link"), F.concat(car_link, F.lit("consumer-reviews/?page_size=40")).alias("review_link"),

@@ -93,6 +93,7 @@ class Columns:
     price: str = "price"
     status: str = "new_used"
     fuel: str = "fuel_type"
+    name: str | None = None
     extra: Sequence[str] = field(default_factory=tuple)
 
 
@@ -145,11 +146,14 @@ def within_score(df: DataFrame, col: str, limit: float | None = None) -> DataFra
 
 def _requested(items: DataFrame, requests: DataFrame, c: Columns, by_year: bool) -> DataFrame:
     """Requests joined to the items of their brand that carry the model text (and year) in the title."""
-    title = F.col(f"i.{c.title}")
-    test = (F.col(f"i.{c.brand}") == F.col("r.req_brand")) & F.lower(title).contains(F.lower(F.col("r.req_model")))
+    title, wanted = F.col(f"i.{c.title}"), F.lower(F.col("r.req_model"))
+    named = F.lower(title).contains(wanted)
     if by_year:
-        test = test & (F.col("r.req_year").isNull() | title.contains(F.col("r.req_year").cast("string")))
-    return items.filter(F.col(c.title).isNotNull()).alias("i").join(requests.alias("r"), test)
+        named = named & (F.col("r.req_year").isNull() | title.contains(F.col("r.req_year").cast("string")))
+    elif c.name:
+        named = named | F.lower(F.col(f"i.{c.name}")).contains(wanted)
+    same_brand = F.col(f"i.{c.brand}") == F.col("r.req_brand")
+    return items.filter(F.col(c.title).isNotNull()).alias("i").join(requests.alias("r"), same_brand & named)
 
 
 def compare_items(items: DataFrame, requests: DataFrame, c: Columns) -> DataFrame:

@@ -35,15 +35,15 @@ PAYLOAD_FIELDS = (
     "vehicle_id", "brand", "car_model", "car_name", "title", "new_used", "price", "mileage", "fuel_type",
     "car_rating", "primary_image_url",
 )
-# The id namespace of vector points.
-POINT_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "car-recsys.vehicle-vectors")
+# Default id namespace of vector points. Pass the namespace of an existing store to keep its ids.
+POINT_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "marketloom.points")
 MAX_FEATURES = 30
 MAX_REVIEW_CHARS = 600
 REVIEWS_PER_MODEL = 10
 
 
-def point_id(key: Column) -> Column:
-    return uuid5(POINT_NAMESPACE, key)
+def point_id(key: Column, namespace: uuid.UUID = POINT_NAMESPACE) -> Column:
+    return uuid5(namespace, key)
 
 
 def review_snippets(
@@ -217,9 +217,9 @@ def word_chunks(df: DataFrame, key: str, text: str, size: int = 250, overlap: in
     return df.select(key, text).mapInPandas(run, f"{key} {key_type}, chunk_no int, chunk string")
 
 
-def chunk_id(key: Column, chunk_no: Column) -> Column:
+def chunk_id(key: Column, chunk_no: Column, namespace: uuid.UUID = POINT_NAMESPACE) -> Column:
     """Stable id of a chunk, so that chunks can be replaced without a full rebuild."""
-    return uuid5(POINT_NAMESPACE, F.concat_ws("#", key.cast("string"), chunk_no.cast("string")))
+    return uuid5(namespace, F.concat_ws("#", key.cast("string"), chunk_no.cast("string")))
 
 
 # ---- embeddings ----------------------------------------------------------------------
