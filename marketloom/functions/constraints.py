@@ -66,11 +66,18 @@ def parse_constraints(text: Column) -> Column:
     The first number of at least 1000 is the price. It is a lower bound when the
     25 characters before it hold a lower-bound word, else an upper bound.
     """
-    price = _first_price(text)
-    is_lower = price["left"].rlike(LOWER_BOUND)
+    # A one-element array, so that the fold behind the price is evaluated once.
+    bounds = F.transform(
+        F.array(_first_price(text)),
+        lambda p: F.struct(
+            F.when(p["left"].rlike(LOWER_BOUND), p["value"]).alias("lower"),
+            F.when(~p["left"].rlike(LOWER_BOUND), p["value"]).alias("upper"),
+        ),
+    )
+    price = F.get(bounds, F.lit(0))
     return F.struct(
-        F.when(is_lower, price["value"]).alias("price_min"),
-        F.when(~is_lower, price["value"]).alias("price_max"),
+        price["lower"].alias("price_min"),
+        price["upper"].alias("price_max"),
         _first_keyword(text, CONDITIONS, whole_word=False).alias("status"),
         _first_keyword(text, FUELS, whole_word=True).alias("fuel_type"),
         F.regexp_extract(text, YEAR, 1).try_cast("int").alias("year"),

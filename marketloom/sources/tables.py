@@ -95,11 +95,15 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 
 
 def append_partitioned(df: DataFrame, path: str, date: Column, month: str = "month") -> None:
-    """Append into month partitions, which appear on demand. Rows without a date go to the NULL partition."""
+    """Append into month partitions, which appear on demand. Rows without a date go to the NULL partition.
+
+    Rebalancing by month keeps files large; AQE splits a month that holds much of the data.
+    """
     staged = df.withColumn(month, F.date_format(date, "yyyy-MM"))
-    staged.write.mode("append").partitionBy(month).parquet(path)
+    staged.hint("rebalance", F.col(month)).write.mode("append").partitionBy(month).parquet(path)
 
 
 def write_dated_json(df: DataFrame, path: str, date: Column) -> None:
     """JSON lines below dt=<yyyy-MM-dd> folders."""
-    df.withColumn("dt", F.date_format(date, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path)
+    staged = df.withColumn("dt", F.date_format(date, "yyyy-MM-dd")).hint("rebalance", F.col("dt"))
+    staged.write.mode("append").partitionBy("dt").json(path)
