@@ -70,9 +70,9 @@ content AS (SELECT request, item, s / max(s) OVER (PARTITION BY request) AS scor
 
 def _vector_sql(k: int) -> str:
     return f"""vec AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-nrm AS (SELECT item, v, sqrt(list_dot_product(v, v)) AS n FROM vec),
-vn AS (SELECT a.item AS seed, b.item, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score,
-  row_number() OVER (PARTITION BY a.item ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.item) AS n
+nrm AS (SELECT item, v, sqrt(list_dot_product(v, v)) AS len FROM vec),
+vn AS (SELECT a.item AS seed, b.item, round(list_dot_product(a.v, b.v) / (a.len * b.len), 9) AS score,
+  row_number() OVER (PARTITION BY a.item ORDER BY round(list_dot_product(a.v, b.v) / (a.len * b.len), 9) DESC, b.item) AS n
   FROM nrm a JOIN nrm b ON a.item <> b.item QUALIFY n <= {k})"""
 
 
@@ -278,7 +278,7 @@ _HELD = f"""{roles.ITEMS}, {roles.INTERACTIONS}, held AS (SELECT "user", item AS
 recs AS (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY w DESC, item) AS position FROM (SELECT "user", item, round(sum({roles.WEIGHT}), 6) AS w FROM ev GROUP BY 1, 2) QUALIFY position <= 20),
 j AS (SELECT recs."user", recs.position, i.brand, CAST(recs.item = target OR i.brand = ti.brand AS INTEGER) AS hit FROM recs JOIN held USING ("user") JOIN items i ON i.item = recs.item JOIN items ti ON ti.item = target),
 m AS (SELECT "user", count(*) AS n, sum(hit) AS hits, sum(hit / log2(position + 1)) AS dcg, count(DISTINCT brand) / count(brand) AS div FROM j GROUP BY 1),
-mm AS (SELECT *, CASE WHEN hits > 0 THEN dcg / list_sum(list_transform(range(1, hits + 1), lambda r: 1 / log2(r + 1))) ELSE 0 END AS capped FROM m)"""
+mm AS (SELECT *, CASE WHEN hits > 0 THEN dcg / list_sum(list_transform(range(1, CAST(hits AS BIGINT) + 1), lambda r: 1 / log2(r + 1))) ELSE 0 END AS capped FROM m)"""
 
 
 def _judged(t: Tables) -> DataFrame:
