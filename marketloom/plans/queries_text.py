@@ -1 +1,192 @@
-"""Registered queries."""
+"""Documents, chunks, embeddings, retrieval and page extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import pages, search, text, vectors
+from ..sources import tables
+from . import roles
+from .registry import Tables, query
+
+
+def _features(t: Tables) -> DataFrame:
+    words = F.array(F.col("p_type"), *[F.get(F.split("p_name", " "), F.lit(i)) for i in (0, 1)])
+    return t.part.select(F.col("p_partkey").alias("key"), F.explode(words).alias("name"))
+
+
+def _reviews(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.concat(F.lit("Brand#"), (F.col("doc_id") % 25).cast("string")).alias("brand_key"),
+        F.when(F.col("lang") != "en", F.col("source")).alias("title"), "text", "n_chars", "doc_id",
+    )
+
+
+_REVIEWS = """rv AS (SELECT 'Brand#' || (doc_id % 25) AS brand_key, trim(concat_ws(' ', CASE WHEN lang <> 'en' THEN source END, nullif(text, ''))) AS t,
+  row_number() OVER (PARTITION BY doc_id % 25 ORDER BY n_chars DESC, doc_id) AS n FROM documents),
+sn AS (SELECT brand_key, string_agg(t, ' ' ORDER BY n) FILTER (t <> '') AS joined FROM rv WHERE n <= 10 GROUP BY 1),
+sn2 AS (SELECT brand_key, CASE WHEN length(joined) > 600 THEN regexp_replace(left(joined, 600), ' [^ ]*$', '') ELSE joined END AS said FROM sn),
+fe AS (SELECT item, 'Features: ' || list_aggregate(list_sort([drivetrain, fuel, transmission]), 'string_agg', ', ') || '.' AS f FROM items)"""
+
+
+@query(f"""
+WITH {roles.ITEMS}, {_REVIEWS}
+SELECT item, concat_ws(' ', title, 'Brand: ' || brand || '.', 'Price: $' || format('{{:,}}', CAST(round_even(price, 0) AS BIGINT)) || '.',
+  'Mileage: ' || format('{{:,}}', mileage) || ' miles.', 'Transmission: ' || transmission || '.', 'Drivetrain: ' || drivetrain || '.',
+  'Owner rating: ' || CAST(rating AS VARCHAR) || '/5.', f, CASE WHEN said IS NOT NULL THEN 'What owners say: ' || said || '.' END) AS document
+FROM items JOIN fe USING (item) LEFT JOIN sn2 ON brand = brand_key""")
+def item_documents(t: Tables) -> DataFrame:
+    snippets = text.review_snippets(
+        _reviews(t), "brand_key", "title", "text", [F.col("n_chars").desc_nulls_last(), F.col("doc_id")]
+    )
+    items = roles.items(t).select(
+        "item", "title", "brand", "price", "mileage", "transmission", "drivetrain", F.col("rating").alias("car_rating")
+    )
+    docs = text.item_documents(items, text.item_features(_features(t), "key", "name"), snippets, "item", "brand")
+    return docs.select("item", "document")
+
+
+@query(f"""
+WITH {roles.ITEMS}
+SELECT item, 'status: . title: ' || title || '. brand: ' || brand || '. interior_color: . exterior_color: . drivetrain: ' || drivetrain || '. fuel_type: ' || fuel
+  || '. transmission: ' || transmission || '. engine: . features: {{"' || drivetrain || '":["' || fuel || '"]}}' AS document, item AS vin, price, brand AS brand_name
+FROM items""")
+def retrieval_documents(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("string")
+    cols = {name: none for name in text.RETRIEVAL_FIELDS} | {
+        "title": F.col("title"), "brand": F.col("brand"), "drivetrain": F.col("drivetrain"), "fuel_type": F.col("fuel"),
+        "transmission": F.col("transmission"), "vin": F.col("item"), "price": F.col("price"),
+    }
+    features = F.create_map(F.col("drivetrain"), F.array("fuel"))
+    docs = roles.items(t).select(
+        "item", text.retrieval_document(cols, features).alias("document"), text.retrieval_metadata(cols).alias("m")
+    )
+    return docs.select("item", "document", F.col("m.VIN").alias("vin"), F.col("m.Price").alias("price"), F.col("m.Brand").alias("brand_name"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, CAST(greatest(0, ceil((length(text) - 30) / 220.0) - 1) AS BIGINT) AS last FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, text, unnest(range(0, last + 1)) AS chunk_no FROM d)
+SELECT doc_id, chunk_no, substr(text, chunk_no * 220 + 1, 250) AS chunk FROM c""")
+def fixed_chunks(t: Tables) -> DataFrame:
+    chunks = text.fixed_chunks(t.documents, "doc_id", "text", 250, 30)
+    return chunks.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+
+
+@query()
+def word_chunks(t: Tables) -> DataFrame:
+    chunks = text.word_chunks(t.documents, "doc_id", "text", 250, 30)
+    return chunks.withColumn("chunk_id", text.chunk_id(F.col("doc_id"), F.col("chunk_no")))
+
+
+@query(f"""
+WITH {roles.ITEMS} SELECT item AS vehicle_id, brand, title, price, CAST(mileage AS INTEGER) AS mileage FROM items""")
+def vector_payloads(t: Tables) -> DataFrame:
+    named = roles.items(t).select(F.col("item").alias("vehicle_id"), "brand", "title", "price", F.col("mileage").cast("int").alias("mileage"))
+    return named.select(text.payload(named).alias("p")).select("p.*")
+
+
+@query(f"""
+WITH {roles.ITEMS} SELECT item FROM items WHERE crawled_at >= TIMESTAMP '2024-01-10' ORDER BY crawled_at DESC, item LIMIT 100""")
+def updated_items(t: Tables) -> DataFrame:
+    since = F.lit("2024-01-10").cast("timestamp_ntz")
+    return text.updated_since(roles.items(t), "crawled_at", since, limit=100, tie="item").select("item")
+
+
+@query()
+def document_embeddings(t: Tables) -> DataFrame:
+    made = text.hashed_tfidf(t.documents.select("doc_id", "text"), "text", dims=64)
+    return made.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+
+
+@query("""
+SELECT doc_id, length(text) AS chars, len(string_split(text, ' ')) AS words FROM documents""")
+def embedded_by_function(t: Tables) -> DataFrame:
+    def two_numbers(batch: list[str]) -> list[list[float]]:
+        return [[float(len(x)), float(len(x.split(" ")))] for x in batch]
+
+    made = text.embed(t.documents.select("doc_id", "text"), "text", two_numbers, batch_size=100)
+    return made.select(
+        "doc_id", F.get("embedding", F.lit(0)).cast("bigint").alias("chars"), F.get("embedding", F.lit(1)).cast("bigint").alias("words")
+    )
+
+
+@query("""
+SELECT vec_id, CASE WHEN label < 5 THEN 'new' ELSE 'old' END AS version FROM embeddings""")
+def upserted_points(t: Tables) -> DataFrame:
+    points = t.embeddings.withColumn("point_id", text.point_id(F.col("vec_id")))
+    old = points.select("point_id", "vec_id", F.lit("old").alias("version"))
+    new = points.filter(F.col("label") < 5).select("point_id", "vec_id", F.lit("new").alias("version"))
+    return tables.replace_by_key(old, new, ["point_id"]).select("vec_id", "version")
+
+
+_NEAREST = """vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS len FROM embeddings),
+hits AS (SELECT q.vec_id AS query, c.vec_id AS id, round(list_dot_product(q.v, c.v) / (q.len * c.len), 9) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, c.v) / (q.len * c.len), 9) DESC, c.vec_id) AS rank
+  FROM vec q JOIN vec c ON q.label = 0 AND c.label <> 0 QUALIFY rank <= 5)"""
+
+
+def _retrieved(t: Tables) -> DataFrame:
+    asked, corpus = t.embeddings.filter("label = 0"), t.embeddings.filter("label <> 0")
+    return vectors.nearest_neighbors(asked, corpus, 5, "vec_id", "embedding", "vec_id", "embedding")
+
+
+@query(f"""WITH {_NEAREST} SELECT query, id, round(score, 6) AS score, rank FROM hits""")
+def retrieved_chunks(t: Tables) -> DataFrame:
+    return _retrieved(t).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("bigint")})
+
+
+@query(f"""
+WITH {roles.ITEMS}, {_NEAREST},
+f AS (SELECT item, 'filter' AS source, NULL::DOUBLE AS score FROM items WHERE brand NOT IN ('Brand#1') AND price <= 950 ORDER BY price ASC NULLS LAST, item LIMIT 6),
+s AS (SELECT id AS item, 'semantic' AS source, round(max(score), 6) AS score FROM hits JOIN items ON id = item WHERE lower(brand) <> 'brand#1' GROUP BY 1)
+SELECT item AS key, source, score FROM f UNION ALL SELECT * FROM s""")
+def hybrid_retrieval(t: Tables) -> DataFrame:
+    items = roles.items(t)
+    columns = search.Columns(key="item", status="transmission", fuel="fuel")
+    rows = search.constraint_search(items, columns, limit=6, price_max=950, exclude_brands=["Brand#1"])
+    hits = _retrieved(t).groupBy("id").agg(F.round(F.max("score"), 6).alias("score")).join(items, F.col("id") == F.col("item"))
+    hits = search.exclude_values(hits, "brand", ["Brand#1"])
+    return text.hybrid_hits(rows, "item", hits, "item", "score")
+
+
+# ---- pages ---------------------------------------------------------------------------
+
+
+def _unescaped(x: str) -> str:
+    return f"""replace(replace({x}, '&quot;', '"'), '&amp;', '&')"""
+
+
+@query(f"""
+SELECT page_id, trim({_unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}) AS title, trim({_unescaped("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}) AS heading,
+  regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<nav>.*?</nav>', 0, 's')) AS navs, len(regexp_extract_all(html, '<li>')) AS links,
+  {_unescaped("regexp_extract(html, '<a href=\"([^\"]*)\"', 1)")} AS first_link
+FROM pages""")
+def page_fields(t: Tables) -> DataFrame:
+    spec = {
+        "titles": pages.Field("title"), "headings": pages.Field("article h1"), "langs": pages.Field("html", "lang"),
+        "navs": pages.Field("nav"), "items": pages.Field("nav ul li"), "hrefs": pages.Field("nav a", "href"),
+    }
+    got = pages.extract_fields(t.pages, ["page_id"], "html", spec)
+    return got.select(
+        "page_id", pages.first("titles").alias("title"), pages.first("headings").alias("heading"), pages.first("langs").alias("lang"),
+        F.size("navs").cast("bigint").alias("navs"), F.size("items").cast("bigint").alias("links"), pages.first("hrefs").alias("first_link"),
+    )
+
+
+_LINKS = """links AS (SELECT DISTINCT page_id, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h ELSE h END AS link
+  FROM (SELECT page_id, url, replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '&amp;', '&') AS h FROM pages))"""
+
+
+@query(f"""WITH {_LINKS} SELECT page_id, link FROM links WHERE contains(link, 'example.')""")
+def page_links(t: Tables) -> DataFrame:
+    return pages.page_links(t.pages, "page_id", F.col("url"), "html", keep="example.")
+
+
+@query(f"""WITH {_LINKS} SELECT page_id, link FROM links WHERE link NOT IN (SELECT link FROM links JOIN pages USING (page_id) WHERE url LIKE 'https%')""")
+def pending_links(t: Tables) -> DataFrame:
+    links = pages.page_links(t.pages, "page_id", F.col("url"), "html")
+    secure = t.pages.filter(F.col("url").startswith("https"))
+    landed = pages.page_links(secure, "page_id", F.col("url"), "html").select(F.col("link").alias("done"))
+    return pages.pending_links(links, landed, "link", "done")
