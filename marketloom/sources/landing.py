@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,21 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+@contextmanager
+def _whole_plans(spark: SparkSession) -> Iterator[None]:
+    """Keep plans that turn out to yield no rows, and with them their observed counts."""
+    name, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, f"{before},{rule}" if before else rule)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def load_landing(
     spark: SparkSession,
     root: str,
@@ -79,7 +97,7 @@ def load_landing(
 ) -> dict[str, int]:
     """Append the new files of a slice (or, without a date, of everything) to the landing table.
 
-    Returns the scanned, parsed and inserted counts. Running it again appends nothing.
+    Returns the scanned (non-empty), parsed and inserted counts. Running it again appends nothing.
     """
     from .tables import append_if_absent, append_partitioned, read_or_none
 
@@ -88,7 +106,8 @@ def load_landing(
     rows = stamp_load(rows, "incremental" if crawl_date else "initial", run_id, ingested_at)
     fresh = append_if_absent(rows, read_or_none(spark, target), ["file_hash"], tie_break=["file_path"])
     fresh, inserted = observed(fresh, f"inserted-{run_id}")
-    append_partitioned(fresh, target, F.col("crawl_date"), "crawl_month")
+    with _whole_plans(spark):
+        append_partitioned(fresh, target, F.col("crawl_date"), "crawl_month")
     return {
         "scanned": scanned.get["rows"],
         "parsed": parsed.get["rows"],

