@@ -44,7 +44,7 @@ def list_metrics(judged: DataFrame, user: str, rank: str) -> DataFrame:
     gain = F.col("hit") / F.log2(F.col(rank) + 1)
     per = judged.groupBy(user).agg(
         F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum(gain).alias("dcg"),
-        (F.count_distinct("_group") / F.count("_group")).alias("_div"),
+        F.try_divide(F.count_distinct("_group"), F.count("_group")).alias("_div"),
     )
     ideal = F.aggregate(
         F.when(F.col("hits") > 0, F.sequence(F.lit(1), F.col("hits").cast("int"))).otherwise(F.array().cast("array<int>")),

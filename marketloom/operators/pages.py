@@ -199,7 +199,8 @@ def extract_records(pages: DataFrame, keep: list[str], html: str, container: str
                 picker.done()
                 rows.extend(picker.records)
                 at.extend([i] * len(picker.records))
-            yield b[keep].iloc[at].assign(**{name: [r[name] for r in rows] for name in spec})
+            if rows:
+                yield b[keep].iloc[at].assign(**{name: [r[name] for r in rows] for name in spec})
 
     return pages.select(*keep, html).mapInPandas(run, _schema(pages, keep, spec))
 
@@ -333,7 +334,7 @@ def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
     numbers = F.array(
         pair(F.when(vin.isNotNull(), "VIN"), vin), pair(F.when(stock.isNotNull(), "Stock Number"), stock)
     )
-    basics = F.concat(numbers, F.transform("basics", patterns.value_and_label))
+    basics = F.concat(numbers, F.transform("basics", lambda x: patterns.value_and_label(x)))
     history = F.transform("history", patterns.history_class)
     warranty = F.transform(
         F.arrays_zip("warranty_name", "warranty_text"),
