@@ -49,12 +49,16 @@ def point_id(key: Column, namespace: uuid.UUID = POINT_NAMESPACE) -> Column:
 def review_snippets(
     reviews: DataFrame, model: str, title: str, text: str, order: Sequence[Column], n: int = REVIEWS_PER_MODEL
 ) -> DataFrame:
-    """(model, snippets): the texts of the newest `n` reviews per model, in that order."""
+    """(model, said): the joined texts of the newest `n` reviews per model, cut at a word boundary.
+
+    Cut per model, before any item is joined, so that long texts are not copied to every item.
+    """
     snippet = F.trim(F.concat_ws(" ", F.nullif(F.col(title), F.lit("")), F.nullif(F.col(text), F.lit(""))))
     some = reviews.filter(F.col(text).isNotNull() | F.col(title).isNotNull())
     top = top_n_per_key(some, [model], order, n, rank="_r").select(F.col(model).alias("_model"), "_r", snippet.alias("_t"))
     listed = top.filter(F.col("_t") != "").groupBy("_model").agg(F.array_sort(F.collect_list(F.struct("_r", "_t"))).alias("_l"))
-    return listed.select("_model", F.transform("_l", lambda x: x["_t"]).alias("snippets"))
+    joined = F.array_join(F.transform("_l", lambda x: x["_t"]), " ")
+    return listed.select("_model", truncate_at_word(joined, MAX_REVIEW_CHARS).alias("said"))
 
 
 def item_features(features: DataFrame, key: str, name: str) -> DataFrame:
@@ -74,7 +78,6 @@ def document_text(has: Mapping[str, Column]) -> Column:
         return col.isNotNull() & (col.cast("string") != "")
 
     head = F.trim(F.concat_ws(" ", F.nullif(c["new_used"], F.lit("")), F.nullif(c["title"], F.lit(""))))
-    reviews = truncate_at_word(F.array_join(c["reviews"], " "), MAX_REVIEW_CHARS)
     parts = [
         F.nullif(head, F.lit("")),
         labelled("Brand", c["brand"]),
@@ -88,7 +91,7 @@ def document_text(has: Mapping[str, Column]) -> Column:
             present(c["seller_name"]),
             F.concat(F.lit("Sold by "), c["seller_name"], F.lit(" ("), F.coalesce(c["destination"], F.lit("")), F.lit(").")),
         ),
-        F.when(F.size(c["reviews"]) > 0, F.concat(F.lit("What owners say: "), reviews, F.lit("."))),
+        labelled("What owners say", c["said"]),
     ]
     return F.concat_ws(" ", *parts)
 
@@ -100,7 +103,7 @@ def item_documents(items: DataFrame, features: DataFrame, snippets: DataFrame, k
     names = ("new_used", "title", "brand", "car_name", "price", "mileage", *DOCUMENT_LABELS, "car_rating", "features",
              "seller_name", "destination")
     have = {n: F.col(n) if n in joined.columns else F.lit(None).cast("string") for n in names}
-    return joined.withColumn("document", document_text({**have, "reviews": F.col("snippets")})).drop("snippets")
+    return joined.withColumn("document", document_text({**have, "said": F.col("said")})).drop("said")
 
 
 def retrieval_document(cols: Mapping[str, Column], features: Column) -> Column:
