@@ -61,9 +61,10 @@ def review_snippets(
     return listed.select("_model", truncate_at_word(joined, MAX_REVIEW_CHARS).alias("said"))
 
 
-def item_features(features: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, features): sorted feature names per item."""
+def item_features(features: DataFrame, key: str, name: str, n: int = MAX_FEATURES) -> DataFrame:
+    """(key, features): the first `n` feature names per item, sorted."""
     rows = features.filter(F.col(name) != "").select(F.col(key).alias("_item"), F.col(name).alias("_f"))
+    rows = top_n_per_key(rows, ["_item"], [F.col("_f")], n)
     return rows.groupBy("_item").agg(F.array_sort(F.collect_list("_f")).alias("features"))
 
 
