@@ -57,7 +57,7 @@ def build_marts(spark: SparkSession, house: Warehouse, run_id: str, before: str
 def append_changes(spark: SparkSession, house: Warehouse, core: marketplace.Core, run_id: str, load_time: Column) -> None:
     """Append changed prices, mileages and states to the month partitions of the log.
 
-    A repeated run compares with the log of the runs before it and writes only what is missing.
+    A repeated run finds its own rows in the log and adds none.
     """
     state = marketplace.price_state(core)
     log = tables.read_or_none(spark, house.price_history)

@@ -57,7 +57,8 @@ def land_files(files: DataFrame, target: str, checkpoint: str, run_id: str) -> N
 def keep_current(rows: DataFrame, keys: Sequence[str], version: Sequence[str], target: str, checkpoint: str) -> None:
     """Current row per key: the largest version wins, in whatever order rows arrive.
 
-    Batch n writes `target/state=n` from the state before it and its own rows.
+    Batch n writes `target/state=n` from the state before it and its own rows; older states
+    are kept until the caller drops them.
     """
     order = [F.col(c).desc_nulls_last() for c in version]
 
