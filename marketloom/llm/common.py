@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 
 #: The ASCII white space that contracts strip and split at (fixed).
 SPACE = " \t\n\x0b\f\r"
@@ -28,6 +30,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder of this run below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 class Cache(dict):
     """A dictionary that computes missing values and starts anew beyond `limit` entries."""
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import line_dedup, packing
+from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,5 +20,36 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
-SQL: dict[str, str] = {}
+def line_runs(spark: SparkSession, docs: DataFrame) -> line_dedup.LineRuns:
+    runs = line_dedup.LineRuns(spark, shared_folder(spark, "line-runs"), fanout=2)
+    return line_dedup.add_in_batches(runs, docs, batches=4)
+
+
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    kept = line_dedup.without_lines(docs, line_runs(spark, docs).totals())
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), frequent AS (
+  SELECT key, max(doc_id) AS largest FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.largest AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup)}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
