@@ -2,9 +2,9 @@
 
 Words become canonical: numbers, units and names are typed placeholders, the rest is lower case
 without punctuation at its ends. Every window of eight canonical words of a benchmark item is a
-template. Windows of documents that a fixed-size Bloom filter lets through are hash-joined with the
-templates; along one alignment, a slot of the item must always hold the same value of the document
-and the other way round. A question with other numbers or names is caught, words that only look
+template. Windows of documents that a Bloom filter of fixed size lets through are hash-joined with
+the templates. Along one alignment, a slot value of the item must always stand for the same value
+of the document. So a question with other numbers or names is caught, and words that only look
 alike are not.
 """
 
@@ -19,72 +19,186 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, texts
+from .common import materialise, texts
+from .words import Numbered, blocks
 
-#: Words that measure, as placeholders of one type.
+#: Words that measure; placeholders of one type.
 UNITS = frozenset((
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs oz ounce ounces ton "
     "tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks "
     "month months year years cent cents dollar dollars usd eur euro euros pound pounds percent pct degree degrees kwh watt watts "
     "volt volts hz khz mhz ghz kb mb gb tb mph kph"
 ).split())
-_LITERAL, _NUMBER, _UNIT, _TITLE, _NOTHING, _BREAK = range(6)
-_TYPED = {_NUMBER: 0x9E3779B97F4A7C15, _UNIT: 0xC2B2AE3D27D4EB4F, _TITLE: 0x165667B19E3779F9}
-_STEP = np.uint64(0x100000001B3)
-_EDGES = re.compile(r"^[^\w$€£]+|[^\w%]+$")
+_LITERAL, _NUMBER, _UNIT, _NAME, _NOTHING = range(5)
+_PLACEHOLDER = np.array([0, 0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], dtype=np.uint64)
+_EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _IS_NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
-BLOOM_BITS = 24
-WINDOW = "window long, at int, slots array<struct<place: int, value: string>>"
-
-
-class _Words:
-    """Words by number: type, hash of the literal, whether a sentence ends, and the bare word."""
-
-    def __init__(self):
-        self.reset()
-        self.codes = Cache(self._code, 300_000)
-
-    def reset(self) -> None:
-        self.kind, self.ends, self.hash, self.bare = [], [], [], []
-
-    def _code(self, word: str) -> int:
-        if not self.codes:
-            self.reset()
-        kind, bare = _NOTHING, ""
-        if word == "\x00":
-            kind = _BREAK
-        elif bare := _EDGES.sub("", word):
-            low = bare.lower()
-            if _IS_NUMBER.fullmatch(bare):
-                kind = _NUMBER
-            elif low in UNITS:
-                kind, bare = _UNIT, low
-            else:
-                kind = _TITLE if bare[0].isupper() and bare[1:] == low[1:] else _LITERAL
-        self.kind.append(kind)
-        self.ends.append(kind == _BREAK or word.rstrip("\"')]*#$%&!")[-1:] in (".", "?") or word[-1:] == "!")
-        self.hash.append(xxhash.xxh64_intdigest(bare.lower()) if bare else 0)
-        self.bare.append(bare)
-        return len(self.kind) - 1
-
-    def canonical(self, text: str, block: int = 200_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Canonical hashes, whether each is a literal, and the bare words."""
-        words = text.replace("\n", " \x00 ").split(" ") if False else text.replace("\n", " \x00 ").split()
-        hashes, literals, bare, last_ends = [], [], [], True
-        for i in range(0, len(words), block):
-            part = words[i : i + block]
-            if len(self.codes) + len(part) > self.codes.limit:
-                self.codes.clear()
-            codes = np.fromiter(map(self.codes.__getitem__, part), np.int64, len(part))
-            kind, ends = np.asarray(self.kind, np.int8)[codes], np.asarray(self.ends, bool)[codes]
-            starts = np.concatenate(([last_ends], ends[:-1]))
-            last_ends = bool(ends[-1])
-            out = np.asarray(self.hash, np.uint64)[codes]
-            literal = (kind == _LITERAL) | (kind == _TITLE) & starts
-            for typed, value in _TYPED.items():
-                out[(kind == typed) & ~literal] = value
-            keep = kind < _NOTHING
-            hashes.append(out[keep])
-            literals.append(literal[keep])
-            bare += [self.bare[c] for c in codes[keep]] if False else [codes[keep]]
-        return hashes, literals, bare
+_LINE = "\x00"
+_STEP = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+BLOOM_BITS = 22
+_WINDOWS = pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())]))
+
+
+class Templates:
+    """Canonical words of texts, and windows over them."""
+
+    def __init__(self, limit: int = 300_000):
+        self.numbered = Numbered(self._describe, limit)
+        self.kind, self.ends = np.zeros(limit + 1, np.int8), np.zeros(limit + 1, bool)
+        self.hash, self.bare = np.zeros(limit + 1, np.uint64), [""] * (limit + 1)
+
+    def _describe(self, word: str, i: int) -> None:
+        bare = _EDGES.sub("", word)
+        low = bare.lower()
+        if not bare or word == _LINE:
+            kind = _NOTHING
+        elif _IS_NUMBER.fullmatch(bare):
+            kind = _NUMBER
+        elif low in UNITS:
+            kind = _UNIT
+        else:
+            kind = _NAME if bare[0].isupper() and bare[1:] == low[1:] else _LITERAL
+        self.kind[i], self.bare[i] = kind, low
+        self.ends[i] = word == _LINE or any(c in ".!?" for c in word[len(word.rstrip("\"')]}.!?#*$%&")) :])
+        self.hash[i] = xxhash.xxh64_intdigest(low) if low else 0
+
+    def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """Per word its hash and whether it is a literal; the values of the words that aren't. A word that starts a sentence or line is no name."""
+        hashes, literals, slots, ended = [], [], {}, True
+        done = 0
+        for block in blocks(text):
+            words = block.replace("\n", f" {_LINE} ").split()
+            for at in range(0, len(words), 100_000):
+                part = words[at : at + 100_000]
+                codes = np.fromiter(self.numbered(part), np.int64, len(part))
+                kind, ends = self.kind[codes], self.ends[codes]
+                first = np.concatenate(([ended], ends[:-1]))
+                ended = bool(ends[-1])
+                literal = (kind == _LITERAL) | (kind == _NAME) & first
+                keep = kind != _NOTHING
+                literal, codes, kind = literal[keep], codes[keep], kind[keep]
+                hashes.append(np.where(literal, self.hash[codes], _PLACEHOLDER[kind]))
+                literals.append(literal)
+                slots.update((done + i, self.bare[codes[i]]) for i in np.nonzero(~literal)[0].tolist())
+                done += len(codes)
+        none = np.zeros(0, np.uint64)
+        return np.concatenate(hashes or [none]), np.concatenate(literals or [none.astype(bool)]), slots
+
+    @staticmethod
+    def windows(hashes: np.ndarray, literals: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the window at each word, and whether it has literals enough to mean something."""
+        n = len(hashes) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        out = np.full(n, width, np.uint64)
+        for j in range(width):
+            out = out * _STEP + hashes[j : j + n]
+            out ^= out >> np.uint64(29)
+        known = np.concatenate(([0], np.cumsum(literals)))
+        return out, known[width:] - known[:-width] >= _needed(width)
+
+
+def _bit(windows: np.ndarray) -> np.ndarray:
+    return ((windows * _SPREAD) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+
+
+def _needed(width: int) -> int:
+    """Literals that a template must have."""
+    return max(3, -(-width * 6 // 10))
+
+
+def _slots(slots: dict[int, str], at: int, width: int) -> list[dict]:
+    return [{"place": j, "value": slots[at + j]} for j in range(width) if at + j in slots]
+
+
+def item_templates(benchmark: DataFrame, window: int = 8, shortest: int = 4) -> DataFrame:
+    """`item_id, window, width, at, slots, n_windows` of the items' templates.
+
+    An item shorter than the window is one template of its own width; items of fewer than `shortest`
+    words, null and empty ones say too little and have none. Repeated items stay apart by their id.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes, literals, slots = templates.canonical(text)
+                if len(hashes) < shortest:
+                    continue
+                width = min(window, len(hashes))
+                values, usable = templates.windows(hashes, literals, width)
+                bits = _bit(values)
+                rows += [(item, int(values[i].view(np.int64)), int(bits[i]), width, i, _slots(slots, i, width), int(usable.sum())) for i in np.nonzero(usable)[0].tolist()]
+            yield _batch(rows, ("item_id", "window", "bit", "width", "item_at", "item_slots", "n_windows"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _WINDOWS, pa.int32()))
+
+    kind = "item_id long, window long, bit int, width int, item_at int, item_slots array<struct<place: int, value: string>>, n_windows int"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return items.mapInArrow(cut, kind)
+
+
+def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> DataFrame:
+    """Windows of documents that may be templates, by the Bloom filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, bits = Templates(), sent.value
+        for batch in batches:
+            rows = []
+            for doc, same, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes, literals, slots = templates.canonical(text.as_py())
+                for width in widths:
+                    values, usable = templates.windows(hashes, literals, width)
+                    bit = _bit(values)
+                    usable &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                    rows += [(doc, same, int(values[i].view(np.int64)), width, i, _slots(slots, i, width)) for i in np.nonzero(usable)[0].tolist()]
+            yield _batch(rows, ("doc_id", "same", "window", "width", "at", "slots"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _WINDOWS))
+
+    kind = "doc_id long, same long, window long, width int, at int, slots array<struct<place: int, value: string>>"
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(cut, kind)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+    """`doc_id, item_id, covered, verbatim` of every document that holds a benchmark item.
+
+    A document holds an item if at least the share `coverage` of the item's templates lies in it, on
+    alignments whose slots are consistent; `verbatim` says that all slots have the item's values.
+    Null ids, null and empty texts, repeated rows and empty tables need no care: rows of one id and
+    text are one document, a null id is an id of its own, empty texts have no windows.
+    """
+    templates = materialise(item_templates(benchmark, window))
+    bloom = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
+    bits = np.array([r["bit"] for r in templates.select("bit").distinct().collect()], np.int64)  # at most 2 ** BLOOM_BITS
+    np.bitwise_or.at(bloom, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    widths = sorted(r["width"] for r in templates.select("width").distinct().collect())  # at most `window`
+    document = ["doc_id", "same", "item_id"]
+    alignments = (
+        document_windows(docs, bloom, widths).join(templates.drop("bit"), ["window", "width"])
+        .groupBy(*document, "n_windows", (F.col("at") - F.col("item_at")).alias("shift"))
+        .agg(  # no more rows than the item has windows
+            F.collect_list("item_at").alias("covered"),
+            F.array_distinct(F.flatten(F.collect_list(F.transform(
+                F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"]["value"].alias("item"), s["slots"]["value"].alias("doc"))
+            )))).alias("values"),
+        )
+    )
+    consistent = alignments.where(F.size("values") == F.size(F.array_distinct(F.col("values.item"))))
+    return (
+        consistent.select(*document, "n_windows", F.explode("covered").alias("item_at"), F.forall("values", lambda v: v["item"] == v["doc"]).alias("as_is"))
+        .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"))
+        .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"))
+        .where(F.col("n") >= F.col("n_windows") * coverage)
+        .groupBy("doc_id", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("covered"), F.max("as_is").alias("verbatim"))
+    )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item."""
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing
+from . import decontaminate, line_dedup, packing
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
@@ -51,5 +55,5 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination)}
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
