@@ -52,7 +52,8 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
         ("random", RANDOM, None), ("endpoint", ENDPOINT, F.contains("text", F.lit("://"))),
     ])
     value = F.regexp_extract("found", r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
-    parts = parts.where(F.col("kind").isNull() | (F.col("kind") != "assign") | (F.length(value) >= 12))
+    # A match that fails leaves its document with a row.
+    parts = parts.withColumn("kind", F.when((F.col("kind") != "assign") | (F.length(value) >= 12), F.col("kind")))
     parts = parts.withColumn("role", F.element_at(F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv)), F.col("kind")))
     order = Window.partitionBy(*DOCUMENT).orderBy("start", "end", "kind")
     earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing
+from . import credentials, decontaminate, line_dedup, line_rules, packing, personal
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,18 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digest(credentials.secrets(table(spark, folder, "documents")))
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.digest(personal.personal_data(table(spark, folder, "documents")))
+
+
+def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.quality(table(spark, folder, "documents")).drop("clean")
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
@@ -54,6 +66,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CHARS = "length(regexp_replace({}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+LINE_RULES_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, w, unnest(range(len(w) - 4)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs)
+), windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS five FROM words),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line, trim(line, {_SPACE}) AS bare
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+), checked AS (
+  SELECT doc_id, line, {_CHARS.format("bare")} AS chars,
+    NOT regexp_matches(bare, '\\pL')
+    OR len(regexp_extract_all(bare, '[#*$%&|<>]')) * 10 >= {_CHARS.format("bare")}
+    OR len(regexp_extract_all(bare, '[!?]{{2,}}')) * 4 >= len(regexp_extract_all(bare, '[^\\x20\\x09-\\x0D]+'))
+    OR len(regexp_extract_all(bare, '[ \\t][|»·>][ \\t]')) >= 3
+    OR regexp_matches(bare, '{line_rules.MENU}') OR regexp_matches(lower(bare), '{"|".join(line_rules.BOILERPLATE)}') AS fails
+  FROM lines WHERE bare <> ''
+), by_doc AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_bad_lines,
+    coalesce(sum(chars) FILTER (NOT fails), 0) AS left_chars
+  FROM checked GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words, {_CHARS.format("text")} AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bad_lines, 0) AS n_bad_lines, coalesce(left_chars, 0) AS left_chars
+  FROM docs LEFT JOIN by_doc USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_bad_lines,
+  NOT base_failed AND left_chars >= word_chars * 0.5 AS kept
+FROM judged
+"""
+
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination)}
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op8_line_rules)}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL}
