@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, line_dedup, line_rules, packing, personal
+from . import credentials, decontaminate, langid, line_dedup, line_rules, packing, personal, quality_gam
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,14 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal.digest(personal.personal_data(table(spark, folder, "documents")))
 
 
+def op6_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predicted(table(spark, folder, "documents"))
+
+
 def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality(table(spark, folder, "documents")).drop("clean")
 
@@ -104,5 +112,5 @@ FROM judged
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op8_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op8_line_rules, op9_language_id)}
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL}
