@@ -4,8 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import packing
-from marketloom.llm.queries import VOCABULARY
+from marketloom.llm import decontaminate, line_dedup, order_minhash, packing, quality_gam
+from marketloom.llm.common import materialise, shared_folder
+from marketloom.llm.queries import VOCABULARY, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_gam.accepted(docs, table(spark, folder, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, without lines that later documents repeat."""
+    return line_dedup.cleaned(docs, shared_folder(spark, "line-runs"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return order_minhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_contaminated(docs, table(spark, folder, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -13,12 +34,13 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, VOCABULARY))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, folder)
-    return docs
+    """All stages over the documents; what a stage keeps is written before the next one reads it."""
+    docs = table(spark, folder, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, folder))
+    return STAGES[-1][1](spark, docs, folder)

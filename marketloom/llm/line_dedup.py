@@ -16,42 +16,54 @@ from .common import SPACE, materialise, texts
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("key_a", "key_b")
+_NO_ID = -(2**63)
 RUN = "key_a long, key_b long, docs long, largest long"
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends and with A-Z in lower case."""
-    bare = F.btrim(line, F.lit(SPACE))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
+def _halves(line: Column, at: Column, shortest: int) -> Column:
+    """Two 64-bit hashes of the line's key, and where it is; null if the key is too short.
 
+    The key is the line without ASCII white space at its ends and with A-Z in lower case.
+    A line with letters beyond ASCII is hashed in two parts, all of it in lower case and what is not
+    ASCII as it stands: together they say the same as the key, and are found much faster. The two
+    characters whose lower case has ASCII letters would not, so lines with them are done letter by letter.
+    """
+    bare = F.btrim(line, F.lit(SPACE))
+    simple = F.octet_length(bare) == F.length(bare)
+    odd = F.contains(bare, F.lit("\u212a")) | F.contains(bare, F.lit("\u0130"))
+    low = F.when(odd, F.translate(bare, _UPPER, _LOWER)).otherwise(F.lower(bare))
+    rest = F.when(simple, F.lit("")).otherwise(F.regexp_replace(bare, r"[\x00-\x7F]+", F.lit("-")))
+    return F.when(F.length(bare) >= shortest, F.struct(F.xxhash64(low, rest).alias("key_a"), F.xxhash64(F.lit(7), low, rest).alias("key_b"), at.alias("at")))
 
-def _long_keys(text: Column, shortest: int) -> Column:
-    """Per line the two halves of its key's hash, null for keys that are too short."""
 
-    def hashed(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= shortest, F.struct(F.xxhash64(key).alias("key_a"), F.xxhash64(F.lit(7), key).alias("key_b")))
+def line_keys(docs: DataFrame, shortest: int = 20) -> DataFrame:
+    """Per row the hashed keys of `shortest` code points or more: `_id`, `_same` (hash of the text), `keys` (key_a, key_b, at).
 
-    return F.transform(F.split(text, "\n", -1), hashed)
+    Rows without such a line are left out. The lines themselves are not needed any more.
+    """
+    rows = _with_ids(docs)
+    keys = F.array_compact(F.transform(F.split("text", "\n", -1), lambda line, at: _halves(line, at, shortest)))
+    return rows.select("_id", "_same", keys.alias("keys")).where(F.size("keys") > 0)
 
 
-def batch_run(docs: DataFrame, shortest: int = 20, batches: int = 1) -> DataFrame:
-    """The run of a batch: per key of `shortest` code points or more, the documents that hold it and the largest.
+def batch_run(keys: DataFrame, batches: int = 1) -> DataFrame:
+    """The run of a batch of `line_keys`: per key the documents that hold it and the largest.
 
     A row is a document: a line that it repeats counts once, so keys are made distinct before they
     leave their row; a key that a third of all documents hold is counted on the map side. With
     `batches`, documents are dealt to that many and counted by `batch`.
     """
-    own = _with_ids(docs).select(
-        "_id", F.pmod(F.xxhash64("_id"), F.lit(batches)).alias("batch"),
-        F.array_compact(F.array_distinct(_long_keys(F.col("text"), shortest))).alias("keys"),
-    )
+    ordered = F.array_sort("keys")
+    again = lambda k, i: F.get(F.col("ordered"), i - 1)
+    repeats = keys.withColumn("ordered", F.when(F.size(F.array_distinct(F.col("keys.key_a"))) < F.size("keys"), ordered))
+    distinct = F.filter("ordered", lambda k, i: ~F.coalesce((again(k, i)["key_a"] == k["key_a"]) & (again(k, i)["key_b"] == k["key_b"]), F.lit(False)))
+    own = repeats.select("_id", F.pmod(F.xxhash64("_id"), F.lit(batches)).alias("batch"), F.coalesce(distinct, "keys").alias("keys"))
     return own.select("_id", "batch", F.inline("keys")).groupBy("batch", *KEY).agg(F.count("*").alias("docs"), F.max("_id").alias("largest"))
 
 
 def _with_ids(docs: DataFrame) -> DataFrame:
     """A null id counts as the smallest one."""
-    return texts(docs).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    return texts(docs).withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_same": F.xxhash64("text")})
 
 
 class LineRuns:
@@ -103,33 +115,54 @@ class LineRuns:
             level += 1
 
 
-def add_in_batches(runs: LineRuns, docs: DataFrame, batches: int = 4, shortest: int = 20) -> LineRuns:
-    """Take a whole table in as `batches` batches, read once: its keys are counted by batch and written first."""
-    counted = materialise(batch_run(docs, shortest, batches))
+    def frequent(self, at_least: int) -> DataFrame:
+        """Key and largest document of keys in `at_least` documents, written, so that its size is known where it is joined."""
+        path = f"{self.folder}/frequent={at_least}/run={self._written}"
+        self._written += 1
+        self.totals().where(F.col("docs") >= at_least).select(*KEY, "largest").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("key_a long, key_b long, largest long").parquet(path)
+
+
+def add_in_batches(runs: LineRuns, keys: DataFrame, batches: int = 4) -> LineRuns:
+    """Take a whole table of `line_keys` in as `batches` batches: keys are counted by batch and written first."""
+    counted = materialise(batch_run(keys, batches))
     for batch in range(batches):
         runs.add(counted.where(F.col("batch") == batch).drop("batch"))
     return runs
 
 
-def without_lines(docs: DataFrame, totals: DataFrame, shortest: int = 20, at_least: int = 3) -> DataFrame:
-    """`doc_id`, `n_lines`, `n_dropped` and the text that is `kept` of every document.
+def without_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -> DataFrame:
+    """`row` (the row as it came), `n_lines`, `n_dropped` and the text that is `kept`, for every row of the documents.
 
-    Lines whose key `at_least` documents hold go, except from the largest of these documents.
-    Null and empty texts are one empty line. Rows of one id and text are one document, given once for
-    each row. Only positions of dropped lines are shuffled to the texts.
+    `keys` are the `line_keys` of the documents; lines whose key is in `frequent` go, except from the
+    largest document that holds it. Null and empty texts are one empty line. Rows of one id and text
+    have one result, given once for each row. Only positions of dropped lines are shuffled to the texts.
     """
-    rows = _with_ids(docs).withColumn("_same", F.xxhash64("text"))
-    keys = rows.select("_id", "_same", F.posexplode(_long_keys(F.col("text"), shortest)).alias("at", "key")).where("key is not null")
-    frequent = totals.where(F.col("docs") >= at_least).select(*KEY, "largest")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own_text = F.coalesce("row.text", F.lit(""))
+    rows = rows.withColumns({"_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "_same": F.xxhash64(own_text)})
     gone = (
-        keys.select("_id", "_same", "at", "key.*").join(frequent, list(KEY)).where(F.col("_id") != F.col("largest"))
+        keys.select("_id", "_same", F.inline("keys")).join(frequent, list(KEY)).where(F.col("_id") != F.col("largest"))
         .groupBy("_id", "_same").agg(F.collect_set("at").alias("gone"))
     )
-    lines = F.split("text", "\n", -1)
-    gone_or_none = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
-    return rows.join(gone, ["_id", "_same"], "left").select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-            F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_or_none), lambda i: F.get(lines, i)), "\n")
-        ).alias("kept"),
+    lines = F.split(own_text, "\n", -1)
+    gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone_or_none)
+    split = rows.join(gone, ["_id", "_same"], "left").select("row", "gone", lines.alias("lines"))
+    return split.select(
+        "row", F.size("lines").cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), own_text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")).alias("kept"),
     )
+
+
+def dedup(docs: DataFrame, folder: str, shortest: int = 20, at_least: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """`without_lines` of a whole table, its runs kept below `folder`."""
+    keys = materialise(line_keys(docs, shortest))
+    runs = add_in_batches(LineRuns(docs.sparkSession, folder, fanout), keys, batches)
+    return without_lines(docs, keys, runs.frequent(at_least))
+
+
+def cleaned(docs: DataFrame, folder: str, **options) -> DataFrame:
+    """The documents, with all their columns and rows, without the lines that go; `n_chars`, if there, is counted anew."""
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return dedup(docs, folder, **options).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

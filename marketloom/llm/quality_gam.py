@@ -200,10 +200,15 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows:
     return rows.mapInPandas(predict, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that the classifier does not reject.
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
+    """The rows of the documents, with all their columns, that score `threshold` or more; texts are not shuffled."""
+    rows = materialise(with_features(docs).select("doc_id", "x", (id_share(5) == 0).alias("held_out")))
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows, labels, max_rows))
+    column = docs.columns.index("text")
 
-    Rows of one id with several texts are kept or rejected together, by the best of them.
-    """
-    bad = scored(docs, labels, **options).groupBy(F.col("doc_id").alias("_bad")).agg(F.max("predicted").alias("best")).where("best = 0")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py() or "") for t in batch.column(column)], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(sent.value.score(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

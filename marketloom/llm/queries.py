@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, langid, line_dedup, line_rules, packing, personal, quality_gam
+from . import credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -20,15 +20,9 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), VOCABULARY))
 
 
-def line_runs(spark: SparkSession, docs: DataFrame) -> line_dedup.LineRuns:
-    runs = line_dedup.LineRuns(spark, shared_folder(spark, "line-runs"), fanout=2)
-    return line_dedup.add_in_batches(runs, docs, batches=4)
-
-
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    kept = line_dedup.without_lines(docs, line_runs(spark, docs).totals())
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = line_dedup.dedup(table(spark, folder, "documents"), shared_folder(spark, "line-runs"))
+    return kept.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,10 +45,21 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predicted(table(spark, folder, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality(table(spark, folder, "documents")).drop("clean")
 
 
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents lie at source/language/id."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
@@ -112,5 +117,5 @@ FROM judged
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op8_line_rules, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences)}
 SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL}
