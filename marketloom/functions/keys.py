@@ -18,10 +18,15 @@ def surrogate_key(*parts: Column, sep: str = "||") -> Column:
     return F.md5(F.concat(*pieces).cast("binary"))
 
 
-def content_key(first: Column, *fields: Column, text: Column, head: int = 64, sep: str = "") -> Column:
-    """md5 over a required field, optional fields and the head of a long text."""
+def content_key(first: Column, *fields: Column, text: Column, head: int | None = None, sep: str = "") -> Column:
+    """md5 over a required field, optional fields and a whole text.
+
+    `head` keys on the first characters only, for ids of a store that was keyed so; texts that
+    differ later then share a key.
+    """
     optional = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
-    optional.append(F.left(F.coalesce(text, F.lit("")), F.lit(head)))
+    whole = F.coalesce(text, F.lit(""))
+    optional.append(whole if head is None else F.left(whole, F.lit(head)))
     joined = F.concat_ws(sep, *optional)
     return F.md5(F.concat(first.cast("string"), F.lit(sep), joined).cast("binary"))
 

@@ -17,9 +17,16 @@ from ..functions import cleaning
 ANY_MAP = "map<string,variant>"
 
 
+_NOT_A_NUMBER = r"(?<=[:,\[])(\s*)(?:-?Infinity|NaN)(?=\s*[,}\]])"
+
+
 def parse_payload(col: Column) -> Column:
-    """JSON text to VARIANT, NULL when it is not valid JSON."""
-    return F.try_parse_json(col)
+    """JSON text to VARIANT, NULL when it is not valid JSON.
+
+    Numbers that JSON lacks (NaN and the infinities) become JSON null. Of repeated keys the last wins
+    where the session allows them, see `session.allow_repeated_keys`.
+    """
+    return F.coalesce(F.try_parse_json(col), F.try_parse_json(F.regexp_replace(col, _NOT_A_NUMBER, "$1null")))
 
 
 def is_object(payload: Column, path: str = "$") -> Column:

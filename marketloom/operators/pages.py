@@ -44,12 +44,13 @@ def pending_links(links: DataFrame, landed: DataFrame, link: str, landed_link: s
 
 @dataclass(frozen=True)
 class Field:
-    """Text of the elements that match `selector`, or the value of one of their attributes."""
+    """Text of the elements that match `selector`, the value of one of their attributes, or (`TAG`) their names."""
 
     selector: str
     attr: str | None = None
 
 
+TAG = ":tag"
 _STEP = re.compile(r"^([a-z0-9\-]*)((?:[#.][\w\-]+)*)(?:\[([\w\-]+)(\*?)=([^\]]*)\])?$")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -106,6 +107,8 @@ class _Picker(HTMLParser):
                     # Reserve the place now, so that nested matches keep document order.
                     self.found[name].append("")
                     self.open.append((len(self.stack), name, len(self.found[name]) - 1, []))
+                elif attr == TAG:
+                    self.found[name].append(tag)
                 elif values.get(attr):
                     self.found[name].append(values[attr])
         if tag in _VOID:
@@ -212,7 +215,11 @@ def first(col: str) -> Column:
 
 # ---- the listing document ------------------------------------------------------------
 
-# Where the fields of a detail page are.
+# Where the fields of a detail page are. A block and what is in it, for fields that go together.
+_WARRANTY = ", ".join(
+    f"{dl}{part}" for dl in ("section.sds-page-section.warranty_section dl.fancy-description-list", "fuse-popover#cpo-popover dl") for part in ("", " dt", " dd")
+)
+_FEATURES = "div.highlight-feature, div.highlight-feature h3.features-spec-heading, div.highlight-feature li[data-qa=spec-value]"
 LISTING_FIELDS = {
     "headline": Field("#vehicle-title"),
     "msrp": Field("div.msrp"),
@@ -221,11 +228,9 @@ LISTING_FIELDS = {
     "specs_subtitle": Field("section#features-and-specs div.subtitle"),
     "basics": Field("div.basics li[data-qa=basics-entry]"),
     "history": Field("section#vehicle_history_report fuse-list ul li span"),
-    "warranty_name": Field("section.sds-page-section.warranty_section dl.fancy-description-list dt, fuse-popover#cpo-popover dl dt"),
-    "warranty_text": Field("section.sds-page-section.warranty_section dl.fancy-description-list dd, fuse-popover#cpo-popover dl dd"),
+    "warranty": Field(_WARRANTY), "warranty_tags": Field(_WARRANTY, TAG),
     "images": Field("fuse-gallery-grid#gallery img", "src"),
-    "feature_html": Field("div.highlight-feature h3.features-spec-heading, div.highlight-feature li[data-qa=spec-value]"),
-    "feature_name": Field("div.highlight-feature h3.features-spec-heading"),
+    "features": Field(_FEATURES), "feature_tags": Field(_FEATURES, TAG),
     "seller_name": Field("div.dealer-info h3"),
     "seller_href": Field("div.dealer-info fuse-stack.rating-stack a", "href"),
     "seller_place": Field("div.dealer-info div.map-link a"),
@@ -258,25 +263,38 @@ REVIEW_FIELDS = {
     "body": Field("p.review-body"),
 }
 # Fields of a dealer page.
-DEALER_FIELDS = {
-    "phone_kind": Field("div.dealer-phone span.phone-number-title"),
-    "phone_number": Field("div.dealer-phone a.phone-number"),
-    "hours_cells": Field("table.dealer-hours tr td"),
-}
+_PHONES = "div.dealer-phone, div.dealer-phone span.phone-number-title, div.dealer-phone a.phone-number"
+_HOURS = "table.dealer-hours tr, table.dealer-hours tr td"
+DEALER_FIELDS = {"phones": Field(_PHONES), "phone_tags": Field(_PHONES, TAG), "hours": Field(_HOURS), "hours_tags": Field(_HOURS, TAG)}
 # Vehicle number and stock number in the subtitle of the specification block.
 VIN_TEXT = r"VIN:\s*([A-Z0-9]+)"
 STOCK_TEXT = r"Stock #:\s*([A-Z0-9]+)"
-IMAGES_KEPT = 5
-SELLER_IMAGES_KEPT = 2
 REVIEW_SLUG = r"([^/]+)/write-a-review"
 
 
-def _map_of(entries: Column) -> Column:
+def _blocks(texts: str, tags: str, start: str) -> Column:
+    """Arrays of (text, tag) structs, one for each element `start` and what follows up to the next one."""
+    both = F.transform(F.arrays_zip(texts, tags), lambda x: F.struct(x[texts].alias("text"), x[tags].alias("tag")))
+    at = F.filter(F.transform(tags, lambda tag, i: F.when(tag == start, i + 1)), lambda i: i.isNotNull())
+    end = F.size(tags) + 1
+    return F.transform(at, lambda i, k: F.slice(both, i, F.coalesce(F.get(at, k + 1), end) - i))
+
+
+def _all_of(block: Column, tag: str) -> Column:
+    return F.transform(F.filter(block, lambda x: x["tag"] == tag), lambda x: x["text"])
+
+
+def _first_of(block: Column, tag: str) -> Column:
+    """Text of the first element of a name in a block, NULL when there is none or it is empty."""
+    return F.nullif(F.get(_all_of(block, tag), F.lit(0)), F.lit(""))
+
+
+def _map_of(entries: Column, value: str = "string") -> Column:
     """Map from (label, value) structs, later labels winning; NULL when there are none."""
     last_first = F.reverse(F.filter(entries, lambda e: e["label"].isNotNull()))
     unique = F.aggregate(
         last_first,
-        F.array().cast("array<struct<label:string,value:string>>"),
+        F.array().cast(f"array<struct<label:string,value:{value}>>"),
         lambda acc, e: F.when(F.exists(acc, lambda x: x["label"] == e["label"]), acc).otherwise(F.array_append(acc, e)),
     )
     return F.when(F.size(unique) > 0, F.map_from_entries(F.reverse(unique)))
@@ -321,8 +339,11 @@ def review_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     return raw.select(key, review.alias("review")).filter(F.col("review.review").isNotNull() | F.col("review.title").isNotNull())
 
 
-def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
-    """(key, post, seller, car) structs of detail pages from `listing_fields`."""
+def listing_records(fields: DataFrame, key: str, site: str, images: int | None = None, seller_images: int | None = None) -> DataFrame:
+    """(key, post, seller, car) structs of detail pages from `listing_fields`.
+
+    `images` and `seller_images` look at that many pictures of a page only; without them all are kept.
+    """
     head = patterns.condition_and_title(first("headline"))
     subtitle = first("specs_subtitle")
 
@@ -336,45 +357,31 @@ def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
     )
     basics = F.concat(numbers, F.transform("basics", lambda x: patterns.value_and_label(x)))
     history = F.transform("history", patterns.history_class)
-    warranty = F.transform(
-        F.arrays_zip("warranty_name", "warranty_text"),
-        lambda e: pair(F.when((e["warranty_name"] != "") & (e["warranty_text"] != ""), e["warranty_name"]),
-                       cleaning.dash_to_null(e["warranty_text"])),
-    )
-    # Headings and values come in document order; a value belongs to the last heading before it.
-    grouped = F.aggregate(
-        "feature_html",
-        F.array().cast("array<struct<label:string,items:array<string>>>"),
-        lambda acc, x: F.when(
-            F.array_contains("feature_name", x),
-            F.array_append(acc, F.struct(x.alias("label"), F.array().cast("array<string>").alias("items"))),
-        ).when(
-            F.size(acc) > 0,
-            F.array_append(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.struct(
-                    F.element_at(acc, -1)["label"].alias("label"),
-                    F.array_append(F.element_at(acc, -1)["items"], x).alias("items"),
-                ),
-            ),
-        ).otherwise(acc),
+    # The text of a term is the first one after it in its list.
+    warranty = F.flatten(F.transform(_blocks("warranty", "warranty_tags", "dl"), lambda dl: F.transform(
+        F.filter(F.transform(dl, lambda x, i: F.struct(x["text"].alias("name"), x["tag"].alias("tag"), _first_of(F.slice(dl, i + 1, F.size(dl)), "dd").alias("text"))),
+                 lambda x: (x["tag"] == "dt") & (x["name"] != "") & x["text"].isNotNull()),
+        lambda x: pair(x["name"], cleaning.dash_to_null(x["text"])),
+    )))
+    grouped = F.transform(_blocks("features", "feature_tags", "div"), lambda block: F.struct(_first_of(block, "h3").alias("label"), _all_of(block, "li").alias("value")))
+    shown = lambda name, most: F.transform(
+        F.filter(F.col(name) if most is None else F.slice(name, 1, most), lambda x: x != ""), lambda x: urls.strip_query(x)
     )
     base = F.lit(site)
     seller_link = urls.absolutize(first("seller_href"), base)
     review_url = urls.absolutize(first("review_href"), base)
     slug = patterns.extract(review_url, REVIEW_SLUG)
     car_link = F.when(slug.isNotNull(), F.replace(review_url, F.lit("write-a-review/"), F.lit("")))
-    no_query = lambda x: urls.strip_query(x)
     post = F.struct(
         head["condition"].alias("new_used"), head["title"].alias("title"),
         cleaning.digits_to_int(first("list_price")).alias("price"),
         cleaning.digits_to_int(first("monthly")).alias("monthly_payment"),
         cleaning.digits_to_int(first("msrp")).alias("mileage"),
         _map_of(basics).alias("basic_desc"),
-        F.when(F.size(grouped) > 0, F.map_from_entries(grouped)).alias("feature_des"),
+        _map_of(grouped, "array<string>").alias("feature_des"),
         _map_of(history).alias("user_history_des"),
         _map_of(warranty).alias("warranty_des"),
-        _nonempty(F.transform(F.slice("images", 1, IMAGES_KEPT), no_query)).alias("image"),
+        _nonempty(shown("images", images)).alias("image"),
     )
     seller = F.struct(
         first("seller_name").alias("seller_name"), seller_link.alias("seller_link"),
@@ -384,7 +391,7 @@ def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
         patterns.first_grouped_int(first("seller_reviews")).alias("seller_rating_count"),
         _nonempty(F.filter("seller_highlights", lambda x: x != "")).alias("highlights"),
         first("seller_text").alias("description"),
-        _nonempty(F.transform(F.slice("seller_images", 1, SELLER_IMAGES_KEPT), no_query)).alias("image"),
+        _nonempty(shown("seller_images", seller_images)).alias("image"),
     )
     car = F.struct(
         first("car_rating").try_cast("double").alias("car_rating"),
@@ -399,16 +406,11 @@ def listing_records(fields: DataFrame, key: str, site: str) -> DataFrame:
 
 def dealer_records(fields: DataFrame, key: str) -> DataFrame:
     """(key, phone_info, hours) maps of dealer pages."""
-    phones = F.transform(
-        F.arrays_zip("phone_kind", "phone_number"),
-        lambda e: F.struct(F.nullif(e["phone_kind"], F.lit("")).alias("label"), e["phone_number"].alias("value")),
-    )
-    half = F.floor(F.size("hours_cells") / 2).cast("int")
-    rows = F.when(half > 0, F.sequence(F.lit(0), half - 1)).otherwise(F.array().cast("array<int>"))
-    hours = F.transform(
-        rows,
-        lambda i: F.struct(
-            F.rtrim(F.get("hours_cells", i * 2), F.lit(":")).alias("label"), F.get("hours_cells", i * 2 + 1).alias("value")
-        ),
+    phones = F.transform(_blocks("phones", "phone_tags", "div"), lambda block: F.struct(
+        F.coalesce(_first_of(block, "span"), F.lit("Unknown")).alias("label"), _first_of(block, "a").alias("value")
+    ))
+    rows = F.filter(F.transform(_blocks("hours", "hours_tags", "tr"), lambda block: _all_of(block, "td")), lambda cells: F.size(cells) == 2)
+    hours = F.transform(rows, lambda cells: F.struct(F.rtrim(cells[0], F.lit(":")).alias("label"), F.nullif(cells[1], F.lit("")).alias("value")))
+    return fields.select(
+        key, _map_of(F.filter(phones, lambda x: x["value"].isNotNull())).alias("phone_info"), _map_of(hours).alias("hours")
     )
-    return fields.select(key, _map_of(phones).alias("phone_info"), _map_of(hours).alias("hours"))

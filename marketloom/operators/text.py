@@ -47,9 +47,10 @@ def point_id(key: Column, namespace: uuid.UUID = POINT_NAMESPACE) -> Column:
 
 
 def review_snippets(
-    reviews: DataFrame, model: str, title: str, text: str, order: Sequence[Column], n: int = REVIEWS_PER_MODEL
+    reviews: DataFrame, model: str, title: str, text: str, order: Sequence[Column], n: int = REVIEWS_PER_MODEL,
+    max_chars: int = MAX_REVIEW_CHARS,
 ) -> DataFrame:
-    """(model, said): the joined texts of the newest `n` reviews per model, cut at a word boundary.
+    """(model, said): the joined texts of the newest `n` reviews per model, cut at a word boundary by `max_chars`.
 
     Cut per model, before any item is joined, so that long texts are not copied to every item.
     """
@@ -58,7 +59,7 @@ def review_snippets(
     top = top_n_per_key(some, [model], order, n, rank="_r").select(F.col(model).alias("_model"), "_r", snippet.alias("_t"))
     listed = top.filter(F.col("_t") != "").groupBy("_model").agg(F.array_sort(F.collect_list(F.struct("_r", "_t"))).alias("_l"))
     joined = F.array_join(F.transform("_l", lambda x: x["_t"]), " ")
-    return listed.select("_model", truncate_at_word(joined, MAX_REVIEW_CHARS).alias("said"))
+    return listed.select("_model", truncate_at_word(joined, max_chars).alias("said"))
 
 
 def item_features(features: DataFrame, key: str, name: str, n: int = MAX_FEATURES) -> DataFrame:
@@ -68,8 +69,8 @@ def item_features(features: DataFrame, key: str, name: str, n: int = MAX_FEATURE
     return rows.groupBy("_item").agg(F.array_sort(F.collect_list("_f")).alias("features"))
 
 
-def document_text(has: Mapping[str, Column]) -> Column:
-    """Text of an item document; every missing or empty part is left out.
+def document_text(has: Mapping[str, Column], max_features: int = MAX_FEATURES) -> Column:
+    """Text of an item document; every missing or empty part is left out, features beyond `max_features` too.
 
     `has` maps the part names (see `item_documents`) to columns.
     """
@@ -87,7 +88,7 @@ def document_text(has: Mapping[str, Column]) -> Column:
         F.when(c["mileage"] != 0, F.concat(F.lit("Mileage: "), grouped_number(c["mileage"], suffix=" miles."))),
         *[labelled(label, c[name]) for name, label in DOCUMENT_LABELS.items()],
         F.when(c["car_rating"] != 0, F.concat(F.lit("Owner rating: "), c["car_rating"].cast("string"), F.lit("/5."))),
-        sentence_list("Features", c["features"], MAX_FEATURES),
+        sentence_list("Features", c["features"], max_features),
         F.when(
             present(c["seller_name"]),
             F.concat(F.lit("Sold by "), c["seller_name"], F.lit(" ("), F.coalesce(c["destination"], F.lit("")), F.lit(").")),
@@ -97,14 +98,16 @@ def document_text(has: Mapping[str, Column]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def item_documents(items: DataFrame, features: DataFrame, snippets: DataFrame, key: str, model: str) -> DataFrame:
+def item_documents(
+    items: DataFrame, features: DataFrame, snippets: DataFrame, key: str, model: str, max_features: int = MAX_FEATURES
+) -> DataFrame:
     """`items` with `features` and `document`; features and reviews are optional per item."""
     joined = items.join(features, F.col(key) == F.col("_item"), "left").drop("_item")
     joined = joined.join(snippets, F.col(model) == F.col("_model"), "left").drop("_model")
     names = ("new_used", "title", "brand", "car_name", "price", "mileage", *DOCUMENT_LABELS, "car_rating", "features",
              "seller_name", "destination")
     have = {n: F.col(n) if n in joined.columns else F.lit(None).cast("string") for n in names}
-    return joined.withColumn("document", document_text({**have, "said": F.col("said")})).drop("said")
+    return joined.withColumn("document", document_text({**have, "said": F.col("said")}, max_features)).drop("said")
 
 
 def retrieval_document(cols: Mapping[str, Column], features: Column) -> Column:
@@ -142,9 +145,9 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = 250, overlap: i
     """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / step) - 1).cast("int")
-    numbered = df.filter(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    piece = F.substring(F.col(text), F.col("chunk_no") * step + 1, F.lit(size))
-    return numbered.select(key, "chunk_no", piece.alias("chunk"))
+    # Cut first, so that no row carries a whole text besides its piece.
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
+    return df.filter(F.length(text) > 0).select(key, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
 # Where texts are split, coarsest first.

@@ -83,6 +83,15 @@ def _order() -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in _NEWEST]
 
 
+@dataclass(frozen=True)
+class Current:
+    """Newest landed document per vehicle, model and seller. All core tables derive from these."""
+
+    listing: DataFrame
+    model: DataFrame
+    seller: DataFrame
+
+
 @dataclass(frozen=True)
 class Core:
     """Current state in normal form."""
@@ -100,9 +109,23 @@ class Core:
 # ---- current views -------------------------------------------------------------------
 
 
-def current_payloads(landing: DataFrame) -> DataFrame:
-    """Newest payload per VIN."""
-    return latest.latest_per_key(landing, ["vin"], _order())
+def with_keys(landing: DataFrame) -> DataFrame:
+    return landing.withColumn("seller_key", nested.text_at(F.col("payload"), "$.seller.seller_key"))
+
+
+#: Key of the newest documents of each kind.
+CURRENT_KEYS = {"listing": "vin", "model": "car_model_slug", "seller": "seller_key"}
+
+
+def newest(landing: DataFrame, kind: str, before: DataFrame | None = None) -> DataFrame:
+    """Newest document per key of a kind, of new landed rows and those that were newest before."""
+    rows = with_keys(landing)
+    rows = rows if before is None else rows.unionByName(before)
+    return latest.latest_per_key(rows, [CURRENT_KEYS[kind]], _order())
+
+
+def current(landing: DataFrame) -> Current:
+    return Current(**{kind: newest(landing, kind) for kind in CURRENT_KEYS})
 
 
 def listings(current: DataFrame) -> DataFrame:
@@ -110,26 +133,23 @@ def listings(current: DataFrame) -> DataFrame:
     return nested.flatten(current, "payload", LISTING_SPEC, keep)
 
 
-def models(landing: DataFrame) -> DataFrame:
+def models(newest_models: DataFrame) -> DataFrame:
     """Newest model record per slug."""
-    newest = latest.latest_per_key(landing, ["car_model_slug"], _order())
-    return nested.flatten(newest, "payload", MODEL_SPEC, ["car_model_slug"])
+    return nested.flatten(newest_models, "payload", MODEL_SPEC, ["car_model_slug"])
 
 
-def sellers(landing: DataFrame) -> DataFrame:
+def sellers(newest_sellers: DataFrame) -> DataFrame:
     """Newest seller record per key; opening hours and highlights stay semi-structured."""
-    keyed = landing.withColumn("seller_key", nested.text_at(F.col("payload"), "$.seller.seller_key"))
-    newest = latest.latest_per_key(keyed, ["seller_key"], _order()).withColumns({
+    parts = newest_sellers.withColumns({
         "hours": nested.keep_if_object(F.col("payload"), "$.seller.hours"),
         "highlights": nested.keep_if_array(F.col("payload"), "$.seller.highlights"),
     })
-    return nested.flatten(newest, "payload", SELLER_SPEC, ["seller_key", "hours", "highlights"])
+    return nested.flatten(parts, "payload", SELLER_SPEC, ["seller_key", "hours", "highlights"])
 
 
-def reviews(landing: DataFrame) -> DataFrame:
+def reviews(newest_models: DataFrame) -> DataFrame:
     """Reviews of the newest record per model, one row per content key."""
-    newest = latest.latest_per_key(landing, ["car_model_slug"], _order())
-    rows = nested.explode_records(newest, "payload", "$.car.reviews", REVIEW_SPEC, ["car_model_slug"])
+    rows = nested.explode_records(newest_models, "payload", "$.car.reviews", REVIEW_SPEC, ["car_model_slug"])
     keyed = rows.withColumns({
         "review_sk": content_key(
             F.col("car_model_slug"), F.col("user_name"), F.col("review_time_raw"), F.col("review_title"), text=F.col("review_text")
@@ -151,14 +171,14 @@ def listing_images(current: DataFrame) -> DataFrame:
 # ---- core tables ---------------------------------------------------------------------
 
 
-def build_core(landing: DataFrame) -> Core:
-    current = current_payloads(landing)
+def build_core(now: Current) -> Core:
+    current = now.listing
     slug, seller = F.col("car_model_slug"), F.col("seller_key")
     fact = listings(current).withColumns({
         "listing_sk": surrogate_key(F.col("vin")), "car_model_sk": surrogate_key(slug),
         "seller_sk": surrogate_key(seller), "last_updated_date": F.col("crawl_date"),
     })
-    model = models(landing).withColumn("car_model_sk", surrogate_key(slug))
+    model = models(now.model).withColumn("car_model_sk", surrogate_key(slug))
     rating_columns = ["car_rating", "car_rating_count", "percentage_recommend", *[f"rating_{p.lower()}" for p in RATING_PARTS]]
     exploded = listing_features(current)
     pair = ["feature_category", "feature_name"]
@@ -169,8 +189,8 @@ def build_core(landing: DataFrame) -> Core:
         listings=fact,
         models=model.select("car_model_sk", "car_model_slug", "brand", "car_name", "car_link", "review_link"),
         ratings=model.select("car_model_sk", "car_model_slug", *rating_columns),
-        sellers=sellers(landing).withColumn("seller_sk", surrogate_key(seller)),
-        reviews=reviews(landing).withColumn("car_model_sk", surrogate_key(slug)),
+        sellers=sellers(now.seller).withColumn("seller_sk", surrogate_key(seller)),
+        reviews=reviews(now.model).withColumn("car_model_sk", surrogate_key(slug)),
         features=feature,
         listing_features=bridge,
         images=images.withColumn("listing_sk", surrogate_key(F.col("vin"))),

@@ -211,9 +211,9 @@ def dense_ids(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT arg_min(doc_id, doc_id) AS doc_id, md5(lang || left(text, 64)) AS review_sk FROM documents GROUP BY 2""")
+SELECT arg_min(doc_id, doc_id) AS doc_id, md5(lang || text) AS review_sk FROM documents GROUP BY 2""")
 def deduped_reviews(t: Tables) -> DataFrame:
-    hashed = t.documents.select(F.md5(F.concat("lang", F.left("text", F.lit(64)))).alias("review_sk"), "doc_id")
+    hashed = t.documents.select(F.md5(F.concat("lang", "text")).alias("review_sk"), "doc_id")
     return latest.dedupe(hashed, ["review_sk"]).select("doc_id", "review_sk")
 
 

@@ -68,7 +68,7 @@ def surrogate_keys(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(lang || source || left(text, 64)) AS content_sk, sha256(text) AS text_sha FROM documents""")
+SELECT doc_id, md5(lang || source || text) AS content_sk, sha256(text) AS text_sha FROM documents""")
 def content_keys(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id", keys.content_key(F.col("lang"), F.col("source"), text=F.col("text")).alias("content_sk"),

@@ -6,14 +6,14 @@ so nothing that is read is overwritten and a failed run can simply be repeated.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RecoConfig
 from ..operators import changes, quality, rollups, similarity, text
-from ..operators.latest import top_n_per_key
 from ..sources import landing, tables
 from . import marketplace
 
@@ -40,9 +40,26 @@ class ChecksFailed(RuntimeError):
     """A check of severity 'error' failed."""
 
 
-def build_marts(spark: SparkSession, house: Warehouse, run_id: str, before: str | None, load_time: Column) -> marketplace.Core:
-    """Rebuild and write all marts of a run from the landing table."""
-    core = marketplace.build_core(spark.read.parquet(house.landing))
+def newest_documents(spark: SparkSession, house: Warehouse, run_id: str, before: str | None, full: bool = False) -> marketplace.Current:
+    """Write and read back the newest documents of a run.
+
+    After a run `before`, only rows landed since then are read (those of the very time of its newest
+    row too, as a load may have gone on) and meet the documents that were newest; `full` starts over.
+    """
+    landed = spark.read.parquet(house.landing)
+    for kind in marketplace.CURRENT_KEYS:
+        old = tables.read_or_none(spark, house.mart(f"newest_{kind}", before)) if before and not full else None
+        new = landed if old is None else tables.newer_than(landed, "ingested_at", tables.high_watermark(old, "ingested_at"), inclusive=True)
+        tables.write_snapshot(marketplace.newest(new, kind, old), house.mart(f"newest_{kind}", run_id))
+    return marketplace.Current(**{k: spark.read.parquet(house.mart(f"newest_{k}", run_id)) for k in marketplace.CURRENT_KEYS})
+
+
+def build_marts(spark: SparkSession, house: Warehouse, run_id: str, before: str | None, load_time: Column, full: bool = False) -> marketplace.Core:
+    """Write the core tables of a run and, from what is written, all marts."""
+    built = marketplace.build_core(newest_documents(spark, house, run_id, before, full))
+    for part in fields(built):
+        tables.write_snapshot(getattr(built, part.name), house.mart(f"core_{part.name}", run_id))
+    core = marketplace.Core(**{p.name: spark.read.parquet(house.mart(f"core_{p.name}", run_id)) for p in fields(built)})
     old = spark.read.parquet(house.mart("vehicles", before)) if before else None
     made = {
         "vehicles": marketplace.merged_vehicles(old, marketplace.vehicles(core, load_time.cast("date"))),
@@ -109,21 +126,31 @@ def run_checks(spark: SparkSession, house: Warehouse, core: marketplace.Core, ru
     return written
 
 
+def embed_documents(spark: SparkSession, house: Warehouse, run_id: str, before: str | None, since: Column | None, fn: Callable) -> None:
+    """Embed the documents of vehicles updated since a date and upsert them into the points of the run before."""
+    docs = build_documents(spark, house, run_id, since)
+    points = text.embed(docs, "document", fn)
+    old = tables.read_or_none(spark, house.mart("points", before)) if before else None
+    tables.write_snapshot(points if old is None else tables.replace_by_key(old, points, ["point_id"]), house.mart("points", run_id))
+
+
 def run_weekly_load(
     spark: SparkSession, files_root: str, warehouse_root: str, run_id: str, load_time: Column,
     crawl_date: str | None = None, before: str | None = None, events: DataFrame | None = None, cfg: RecoConfig | None = None,
+    full: bool = False, embedding: Callable | None = None,
 ) -> dict[str, int]:
-    """One run. `crawl_date` limits the scan to one day, None loads everything; `before` is the previous run."""
+    """One run. `crawl_date` limits the scan to one day, None loads everything; `before` is the previous run.
+
+    With `before`, landed rows are read from where that run ended; `full` reads them all again.
+    With `embedding`, the documents of vehicles updated since `crawl_date` are embedded too.
+    """
     house = Warehouse(warehouse_root)
     counts = landing.load_landing(spark, files_root, house.landing, run_id, load_time, crawl_date)
-    core = build_marts(spark, house, run_id, before, load_time)
+    core = build_marts(spark, house, run_id, before, load_time, full)
     append_changes(spark, house, core, run_id, load_time)
     run_checks(spark, house, core, run_id, events, load_time)
     if events is not None:
         refresh_rollups(spark, house, run_id, events, load_time, cfg or RecoConfig())
+    if embedding is not None:
+        embed_documents(spark, house, run_id, before, F.lit(crawl_date).cast("date") if crawl_date else None, embedding)
     return counts
-
-
-def newest_reviews(reviews: DataFrame, n: int = 10) -> DataFrame:
-    """The newest reviews of every model."""
-    return top_n_per_key(reviews, ["car_model"], [F.col("review_date").desc_nulls_last(), F.col("review_sk")], n)

@@ -30,10 +30,21 @@ def build_session(app_name: str = "marketloom", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Let JSON objects repeat a key when they are parsed to VARIANT; the last value stays."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster, or a local one where none is configured."""
+    """The shared checkpoint folder of the cluster.
+
+    Where none is configured, a session that runs in one process gets a local folder; on a cluster
+    the other machines could not read it, so that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="marketloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

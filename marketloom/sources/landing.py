@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
 from ..operators.nested import is_object, parse_payload, text_at
+from ..session import allow_repeated_keys
 
 # Where page number and crawl date sit in a file path.
 PAGE_IN_PATH = r"/(?:dt=\d{4}-\d{2}-\d{2}|raw_data)/(\d+)/"
@@ -39,7 +40,8 @@ def scan_files(spark: SparkSession, root: str, crawl_date: str | None = None, su
 
 
 def parse_documents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Hash, parse and lift keys; files that are not a JSON object are dropped."""
+    """Hash, parse and lift keys; files that are not a JSON object are left out, see `rejected_files`."""
+    allow_repeated_keys(files.sparkSession)
     text = F.col(content).cast("string")
     parsed = files.select(
         F.col(path).alias("file_path"), file_key(F.col(content)).alias("file_hash"), parse_payload(text).alias("payload")
@@ -57,6 +59,15 @@ def parse_documents(files: DataFrame, path: str = "path", content: str = "conten
     )
 
 
+def rejected_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(file_path, reason) of the files that `parse_documents` leaves out."""
+    allow_repeated_keys(files.sparkSession)
+    text = F.col(content).cast("string")
+    payload = parse_payload(text)
+    reason = F.when(F.trim(text) == "", "empty").when(payload.isNull(), "no JSON").when(~is_object(payload), "no object")
+    return files.select(F.col(path).alias("file_path"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def stamp_load(df: DataFrame, source: str, run_id: str, ingested_at: Column) -> DataFrame:
     """Load columns; `source` is 'initial' for a backfill and 'incremental' for a dated slice."""
     if source not in ("initial", "incremental"):
@@ -97,7 +108,8 @@ def load_landing(
 ) -> dict[str, int]:
     """Append the new files of a slice (or, without a date, of everything) to the landing table.
 
-    Returns the scanned (non-empty), parsed and inserted counts. Running it again appends nothing.
+    Returns the scanned (non-empty), parsed, rejected and inserted counts; `rejected_files` says why a
+    file was rejected. Running it again appends nothing.
     """
     from .tables import append_if_absent, append_partitioned, read_or_none
 
@@ -111,5 +123,6 @@ def load_landing(
     return {
         "scanned": scanned.get["rows"],
         "parsed": parsed.get["rows"],
+        "rejected": scanned.get["rows"] - parsed.get["rows"],
         "inserted": inserted.get["rows"],
     }

@@ -32,11 +32,11 @@ def append_if_absent(
     Of several new rows with one key the first by `tie_break` stays; without it the rows
     must be equal, as with a key that is a content hash.
     """
+    # What is known goes first, so that only new rows are ranked.
+    fresh = new if old is None else new.join(old.select(*keys), list(keys), "left_anti")
     if tie_break:
-        unique = top_n_per_key(new, keys, [F.col(c).asc_nulls_last() for c in tie_break], 1)
-    else:
-        unique = new.dropDuplicates(list(keys))
-    return unique if old is None else unique.join(old.select(*keys), list(keys), "left_anti")
+        return top_n_per_key(fresh, keys, [F.col(c).asc_nulls_last() for c in tie_break], 1)
+    return fresh.dropDuplicates(list(keys))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,8 +84,13 @@ def newer_than(df: DataFrame, col: str, mark, inclusive: bool = False) -> DataFr
 
 def newer_than_table(df: DataFrame, table: DataFrame, col: str, inclusive: bool = False) -> DataFrame:
     """Same as `newer_than` as one lazy plan: the mark is a scalar subquery of the target."""
+    # Compared with a floor where there is no mark, so that the comparison reaches the scan; NULL times pass only then.
     mark = table.agg(F.max(col)).scalar()
-    return df.filter(mark.isNull() | (F.col(col) >= mark if inclusive else F.col(col) > mark))
+    floor = F.lit("0001-01-01").cast(df.schema[col].dataType) if df.schema[col].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else None
+    if floor is None:
+        return df.filter(mark.isNull() | (F.col(col) >= mark if inclusive else F.col(col) > mark))
+    limit = F.coalesce(mark, floor)
+    return df.filter(F.col(col) >= limit if inclusive else F.col(col) > limit)
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

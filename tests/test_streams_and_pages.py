@@ -112,3 +112,22 @@ def test_dealer_page(spark):
     df = spark.createDataFrame([(1, html)], "id int, html string")
     row = pages.dealer_records(pages.extract_fields(df, ["id"], "html", pages.DEALER_FIELDS), "id").first()
     assert row.phone_info == {"New": "(1) 23"} and row.hours == {"Monday": "9-5", "Sunday": "Closed"}
+
+
+def test_fields_that_go_together_stay_together(spark):
+    html = """<div class="dealer-phone"><a class="phone-number">111</a></div>
+    <div class="dealer-phone"><span class="phone-number-title">Used</span><a class="phone-number">222</a></div>
+    <table class="dealer-hours"><tr><td>Sales</td></tr><tr><td>Monday:</td><td>9-5</td></tr></table>
+    <div class="highlight-feature"><h3 class="features-spec-heading">Safety</h3><li data-qa="spec-value">Comfort</li></div>
+    <div class="highlight-feature"><h3 class="features-spec-heading">Comfort</h3><li data-qa="spec-value">Seats</li></div>
+    <div class="highlight-feature"><h3 class="features-spec-heading">Safety</h3><li data-qa="spec-value">ABS</li></div>
+    <div class="highlight-feature"><li data-qa="spec-value">lost</li></div>
+    <section class="sds-page-section warranty_section"><dl class="fancy-description-list"><dt>Basic</dt></dl>
+    <dl class="fancy-description-list"><dt>Drive</dt><dt>Rust</dt><dd>5 years</dd><dt>Last</dt></dl></section>
+    <fuse-gallery-grid id="gallery"><img><img src="a?x"><img src="b"><img src="c"></fuse-gallery-grid>"""
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    dealer = pages.dealer_records(pages.extract_fields(df, ["id"], "html", pages.DEALER_FIELDS), "id").first()
+    assert dealer.phone_info == {"Unknown": "111", "Used": "222"} and dealer.hours == {"Monday": "9-5"}
+    post = pages.listing_records(pages.listing_fields(df, "id", "html"), "id", "https://site.example").first().post
+    assert post.feature_des == {"Safety": ["ABS"], "Comfort": ["Seats"]}
+    assert post.warranty_des == {"Drive": "5 years", "Rust": "5 years"} and post.image == ["a", "b", "c"]

@@ -72,8 +72,8 @@ def rows(spark, path):
 def test_load_counts(house):
     first, second, again = house[1]
     # The file reader leaves out empty files, so they are not counted as scanned.
-    assert first == {"scanned": 5, "parsed": 3, "inserted": 2}
-    assert second == {"scanned": 8, "parsed": 6, "inserted": 3}
+    assert first == {"scanned": 5, "parsed": 3, "rejected": 2, "inserted": 2}
+    assert second == {"scanned": 8, "parsed": 6, "rejected": 2, "inserted": 3}
     assert again["inserted"] == 0
 
 
@@ -134,3 +134,49 @@ def test_paths(spark):
     df = spark.createDataFrame([("dt=2026-05-29/1/3.json",), ("raw_data/1/3.json",), ("x.json",)], "p string")
     got = df.select(landing.page_from_path(F.col("p")).alias("n"), landing.date_from_path(F.col("p")).cast("string").alias("d")).collect()
     assert [(r.n, r.d) for r in got] == [(1, "2026-05-29"), (1, None), (None, None)]
+
+
+def test_going_on_equals_starting_over(spark, house):
+    whole = weekly.newest_documents(spark, weekly.Warehouse(house[0].root), "whole", "r1", full=True)
+    for kind, key in (("listing", "vin"), ("model", "car_model_slug"), ("seller", "seller_key")):
+        step = rows(spark, house[0].mart(f"newest_{kind}", "r3"))
+        assert {(r[0], r[1]) for r in step.select(key, "file_hash").collect()} == {(r[0], r[1]) for r in getattr(whole, kind).select(key, "file_hash").collect()}
+    # Later runs read landed rows from where the run before ended.
+    old = rows(spark, house[0].mart("newest_listing", "r2"))
+    new = weekly.tables.newer_than(spark.read.parquet(house[0].landing), "ingested_at", weekly.tables.high_watermark(old, "ingested_at"), inclusive=True)
+    assert new.count() == 3 and "PushedFilters: [IsNotNull(ingested_at), GreaterThanOrEqual(ingested_at" in new._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+def test_marts_read_no_landing(spark, house):
+    core = weekly.marketplace.Core(**{f.name: rows(spark, house[0].mart(f"core_{f.name}", "r2")) for f in weekly.fields(weekly.marketplace.Core)})
+    for mart in (weekly.marketplace.vehicles(core, F.current_date()), weekly.marketplace.car_models(core), weekly.marketplace.vehicle_images(core)):
+        assert not [p for p in mart.inputFiles() if "/landing/" in p]
+
+
+def test_points_are_upserted(spark, house):
+    for run_id, before, since in (("r1", None, None), ("r2", "r1", F.lit("2024-01-05").cast("date"))):
+        weekly.embed_documents(spark, house[0], run_id, before, since, lambda texts: [[float(len(t))] for t in texts])
+    first, second = (rows(spark, house[0].mart("points", r)).select("vehicle_id", "embedding").collect() for r in ("r1", "r2"))
+    assert {r.vehicle_id for r in first} == {"V1", "V2"} and {r.vehicle_id for r in second} == {"V1", "V2", "V3"} and len(second) == 3
+
+
+def test_odd_json_is_kept_and_rejects_have_reasons(spark):
+    files = spark.createDataFrame(
+        [("dt=2024-01-02/1/1.json", '{"k": 1, "k": 2, "post": {"basic_desc": {"VIN": "A"}}}'), ("dt=2024-01-02/1/2.json", '{"car": {"car_model": "m", "r": NaN}}'),
+         ("3.json", "{broken"), ("4.json", "[1]"), ("5.json", " ")], "path string, content string",
+    )
+    got = landing.parse_documents(files).select("vin", "car_model_slug", F.try_variant_get("payload", "$.k", "int").alias("k")).collect()
+    assert {tuple(r) for r in got} == {("A", None, 2), (None, "m", None)}
+    assert {(r.file_path, r.reason) for r in landing.rejected_files(files).collect()} == {("3.json", "no JSON"), ("4.json", "no object"), ("5.json", "empty")}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from marketloom.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
