@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir
 
 #: The ASCII white space that contracts strip and split at (fixed).
 SPACE = " \t\n\x0b\f\r"
@@ -26,8 +26,14 @@ def id_share(modulus: int) -> Column:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there."""
-    return cut_lineage(df)
+    """Write `df` below the shared checkpoint folder and go on from there.
+
+    As a table rather than a checkpoint: a reader prunes its columns, its joins are planned by its size,
+    and loops do not drag the constraints of all earlier rounds along.
+    """
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

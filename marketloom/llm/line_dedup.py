@@ -39,11 +39,11 @@ def _halves(line: Column, at: Column, shortest: int) -> Column:
 def line_keys(docs: DataFrame, shortest: int = 20) -> DataFrame:
     """Per row the hashed keys of `shortest` code points or more: `_id`, `_same` (hash of the text), `keys` (key_a, key_b, at).
 
-    Rows without such a line are left out. The lines themselves are not needed any more.
+    The lines themselves are not needed any more.
     """
     rows = _with_ids(docs)
     keys = F.array_compact(F.transform(F.split("text", "\n", -1), lambda line, at: _halves(line, at, shortest)))
-    return rows.select("_id", "_same", keys.alias("keys")).where(F.size("keys") > 0)
+    return rows.select("_id", "_same", keys.alias("keys"))
 
 
 def batch_run(keys: DataFrame, batches: int = 1) -> DataFrame:
