@@ -7,10 +7,14 @@ candidates; a banded alignment of their shingles verifies them: what lies in bot
 over what lies in either, must reach `similarity`. The band is as wide as a pair that reaches it
 can need, so it loses nothing.
 
+Before two texts are aligned, the parities of their shingles in 1024 cells give a lower bound of how
+many shingles are in one of them only; a pair that this bound rules out goes no further.
+
 Copies collapse first. Within a bucket of equal sketches nobody meets everybody: for `rounds` rounds
 each member meets one hub of its bucket, and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
-compared or already in one class, and no link is lost.
+compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
+similarity costs a comparison of parities for each pair of a bucket, inside the join.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cache, materialise, texts
@@ -31,6 +35,7 @@ from .words import Numbered, blocks
 _STEP = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(2**63)
+_LONGS = pa.list_(pa.int64())
 
 
 class Shingles:
@@ -95,26 +100,40 @@ def sketch(shingles: np.ndarray, sketches: int, pick: int) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 1024 cells, whether an odd number of shingles lies in it, as 16 numbers."""
+    cells = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(similarity: float) -> Column:
+    """Whether sizes and parities (`n, parity` and `n_b, parity_b`) leave room for the similarity."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(16)))
+    close = F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9
+    return close & (apart <= (F.col("n") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
 def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5) -> DataFrame:
-    """`doc_id`, hash of the words (`copy_a`, `copy_b`), number of shingles `n`, and the `sketches`."""
+    """`doc_id`, hash of the words (`copy_a`, `copy_b`), number of shingles `n`, their `parity`, and the `sketches`."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            a, b, n, found = [], [], [], []
+            a, b, n, odd, found = [], [], [], [], []
             for text in batch.column(1):
                 words, own = shingles(text.as_py())
                 digest = xxhash.xxh3_128_intdigest(words.tobytes())
                 a.append((digest >> 64) - 2**63)
                 b.append((digest & 2**64 - 1) - 2**63)
                 n.append(len(own))
+                odd.append(parity(own))
                 found.append(sketch(own, sketches, pick).view(np.int64) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "copy_a", "copy_b", "n", "sketches"],
+                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, _LONGS), pa.array(found, _LONGS)],
+                names=["doc_id", "copy_a", "copy_b", "n", "parity", "sketches"],
             )
 
-    return texts(docs).mapInArrow(compute, "doc_id long, copy_a long, copy_b long, n int, sketches array<long>")
+    return texts(docs).mapInArrow(compute, "doc_id long, copy_a long, copy_b long, n int, parity array<long>, sketches array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
@@ -155,8 +174,9 @@ def verified(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int
 def components(links: DataFrame) -> DataFrame:
     """`node, root` of every node of `links` (`a, b`): nodes get the same root if links connect them.
 
-    Each round every node points to the least of its neighbours in an order that changes with the
-    round, and what points to one node becomes one node; that shrinks any graph by a constant factor.
+    Each round every node points to the neighbour with the most neighbours, or to itself if it has more,
+    and what points to one node becomes one node. Ties are broken by an order that changes with the
+    round, so that a path shrinks as fast as a star.
     """
     steps, edges = [], links.select("a", "b").distinct()
     turn = 0
@@ -164,8 +184,10 @@ def components(links: DataFrame) -> DataFrame:
         both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         if both.isEmpty():
             break
-        key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        points = materialise(both.groupBy("a").agg(F.min(key("b")).alias("least")).select("a", F.least("least", key("a"))["v"].alias("to")))
+        degree = both.groupBy("a").agg(F.count("*").alias("degree"))
+        key = lambda c: F.struct((-F.col("degree")).alias("minus"), F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        best = both.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min(key("b")).alias("best"))
+        points = materialise(best.join(degree, "a").select("a", F.least("best", key("a"))["v"].alias("to")))
         steps.append(points)
         other = points.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = both.join(points, "a").join(other, "b").where("to < to_b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).distinct()
@@ -187,31 +209,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 14
     """
     docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     rows = materialise(sketched(docs, sketches, pick, width))
-    reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("doc_id", "n", "sketches")).alias("one")))
-    reps = reps.select("copy_a", "copy_b", F.col("one.doc_id").alias("rep"), F.col("one.n").alias("n"), F.col("one.sketches").alias("sketches"))
+    reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("doc_id", "n", "parity", "sketches")).alias("one")))
+    reps = reps.select("copy_a", "copy_b", F.col("one.doc_id").alias("rep"), "one.n", "one.parity", "one.sketches")
     # A bucket is a sketch and its number; those of one member say nothing.
-    members = reps.select("rep", "n", F.posexplode("sketches").alias("k", "value")).select("rep", "n", F.xxhash64("k", "value").alias("bucket"))
+    members = reps.select("rep", "n", "parity", F.posexplode("sketches").alias("k", "value")).select("rep", "n", "parity", F.xxhash64("k", "value").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared.select("bucket"), "bucket", "left_semi"))
     wanted = materialise(members.select("rep").distinct())
     bodies = materialise(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
     done = None
-    close = (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity)
     for turn in range(rounds + 1):
         now = members.join(labels.withColumnRenamed("node", "rep"), "rep")
         if turn < rounds:
             hub = now.groupBy("bucket").agg(
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")
-            ).where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"))
-            met = now.join(materialise(hub), "bucket").where((F.col("root") != F.col("root_b")) & close)
+                F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root", "parity")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")
+            ).where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"), F.col("hub.parity").alias("parity_b"))
+            met = now.join(materialise(hub), "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity))
         else:
             by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
             largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("top.root").alias("top"))
             outside = materialise(now.join(largest, "bucket"))
-            apart = outside.where("root <> top").select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+            apart = outside.where("root <> top").select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"))
             # Two members outside the largest class meet once.
-            met = outside.join(apart, "bucket").where((F.col("root") != F.col("root_b")) & close & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))))
+            met = outside.join(apart, "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity) & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))))
         pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
         pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
