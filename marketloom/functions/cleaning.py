@@ -60,14 +60,6 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 
 
-def recode(col: Column, mapping: Mapping[str, object], default: object = None) -> Column:
-    """Constant lookup as an expression; unlisted values get `default`."""
-    if not mapping:
-        return F.lit(default)
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, col), F.lit(default))
-
-
 def trimmed_lower(col: Column) -> Column:
     return F.lower(F.trim(col))
 

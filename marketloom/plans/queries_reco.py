@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def content_recall(t: Tables) -> DataFrame:
 
 @query(f"""WITH {roles.ITEMS}, {roles.INTERACTIONS}, {_SEEDS}, {_POP} SELECT request, item, round(score, 6) AS score FROM popularity""")
 def popularity_recall(t: Tables) -> DataFrame:
-    lists = recommend.popularity_table(_popular(t), "pop", CFG)
+    lists = recommend.popularity_table(recommend.Inputs(roles.items(t), _popular(t), popular_score="pop"), CFG)
     brands = recall.seed_brand(_seeds(t), roles.items(t), "item", "brand")
     return recall.popular(brands, lists).withColumn("score", F.round("score", 6))
 
@@ -185,11 +187,10 @@ SELECT request, item, round(rank_score, 4) AS score, round(3.0 * cf_scale * cf_s
   CASE WHEN {_SIGNALS} <= 0 THEN 'Popular with other shoppers' WHEN cf_score = {_SIGNALS} THEN 'Similar to cars you engaged with'
     WHEN vector_score = {_SIGNALS} THEN 'Semantically similar to your interests' WHEN content_score = {_SIGNALS} THEN 'Same segment / specs as your picks'
     ELSE 'Popular with other shoppers' END AS reason
-FROM ranked WHERE brand <> 'Brand#5' AND price <= 990""")
+FROM ranked WHERE brand = 'Brand#3' AND price >= 905 AND price <= 990""")
 def ranked_candidates(t: Tables) -> DataFrame:
-    scored = recommend.ranked_for_users(
-        roles.interactions(t), _inputs(t), CFG, roles.as_of(), recommend.Filters(at_most={"price": 990})
-    ).filter(F.col("brand") != "Brand#5")
+    hard = recommend.Filters(equal={"brand": "Brand#3"}, at_least={"price": 905}, at_most={"price": 990})
+    scored = recommend.ranked_for_users(roles.interactions(t), _inputs(t), CFG, roles.as_of(), hard)
     parts = ranking.explain(CFG.feature_weights, F.col("cf_scale"))
     return scored.select(
         "request", "item", F.round("rank_score", 4).alias("score"), parts["cf_score"].alias("cf_part"),
@@ -205,7 +206,7 @@ SELECT request, item, round(sum(1.0 / (60 + rank)), 6) AS score FROM r GROUP BY
 def fused_ranks(t: Tables) -> DataFrame:
     from pyspark.sql.window import Window
 
-    lists = recommend.recall_lists(_seeds(t), _inputs(t), CFG, roles.as_of())
+    lists = recommend.recall_lists(_seeds(t), _inputs(t), replace(CFG, content=False, popularity=False), roles.as_of())
     w = Window.partitionBy("request").orderBy(F.round("score", 9).desc(), F.col("item"))
     ranked = {s: lists[s].withColumn("rank", F.row_number().over(w)) for s in ("collaborative", "vector")}
     return ranking.fuse_ranks(ranked).withColumn("score", F.round("score", 6))
@@ -274,22 +275,23 @@ def held_out_events(t: Tables) -> DataFrame:
     return held.select("user", F.col("event_id").alias("held_event")).join(counts, "user")
 
 
-_HELD = f"""{roles.ITEMS}, {roles.INTERACTIONS}, held AS (SELECT "user", item AS target FROM ev QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) = 1),
-recs AS (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY w DESC, item) AS position FROM (SELECT "user", item, round(sum({roles.WEIGHT}), 6) AS w FROM ev GROUP BY 1, 2) QUALIFY position <= 20),
+_HELD = f"""{roles.ITEMS}, {roles.INTERACTIONS}, held AS (SELECT "user", event_id, item AS target FROM ev QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) = 1),
+recs AS (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY w DESC, item) AS position FROM (SELECT "user", item, round(sum({roles.WEIGHT}), 6) AS w
+  FROM ev WHERE event_id NOT IN (SELECT event_id FROM held) GROUP BY 1, 2) QUALIFY position <= 20),
 j AS (SELECT recs."user", recs.position, i.brand, CAST(recs.item = target OR i.brand = ti.brand AS INTEGER) AS hit FROM recs JOIN held USING ("user") JOIN items i ON i.item = recs.item JOIN items ti ON ti.item = target),
 m AS (SELECT "user", count(*) AS n, sum(hit) AS hits, sum(hit / log2(position + 1)) AS dcg, count(DISTINCT brand) / count(brand) AS div FROM j GROUP BY 1),
 mm AS (SELECT *, CASE WHEN hits > 0 THEN dcg / list_sum(list_transform(range(1, CAST(hits AS BIGINT) + 1), lambda r: 1 / log2(r + 1))) ELSE 0 END AS capped FROM m)"""
 
 
 def _judged(t: Tables) -> DataFrame:
-    """Lists of each user's strongest items, judged against the newest event."""
+    """Lists of each user's strongest items before the newest event, judged against that event."""
     from ..operators.latest import top_n_per_key
     from ..functions.scoring import type_weight
 
-    events = roles.interactions(t)
-    strength = events.groupBy("user", "item").agg(F.round(F.sum(type_weight(F.col("kind"), roles.WEIGHTS)), 6).alias("w"))
+    order = [F.col("ts").desc_nulls_last(), F.col("event_id").desc()]
+    train, held = evaluation.leave_last_out(roles.interactions(t), "user", order, "event_id", 1)
+    strength = train.groupBy("user", "item").agg(F.round(F.sum(type_weight(F.col("kind"), roles.WEIGHTS)), 6).alias("w"))
     recs = top_n_per_key(strength, ["user"], [F.col("w").desc(), F.col("item")], 20, rank="position")
-    held = top_n_per_key(events, ["user"], [F.col("ts").desc(), F.col("event_id").desc()], 1)
     return evaluation.judge(recs.select("user", "item", "position"), held, roles.items(t), "user", "item", "item", "brand")
 
 
@@ -309,5 +311,6 @@ def catalogue_coverage(t: Tables) -> DataFrame:
     judged = _judged(t).join(roles.items(t).select("item", "brand"), "item")
     cover = evaluation.catalog_coverage(judged, roles.items(t), "item")
     spread = evaluation.list_diversity(judged, "user", "brand")
-    row = cover.withColumn("k", F.lit(1)).join(spread.withColumn("k", F.lit(1)), "k")
-    return row.select("recommended", F.round("coverage", 6).alias("coverage"), "lists", F.round("diversity", 6).alias("diversity"))
+    diversity = F.round(spread.select("diversity").scalar(), 6).alias("diversity")
+    lists = spread.select("lists").scalar().alias("lists")
+    return cover.select("recommended", F.round("coverage", 6).alias("coverage"), lists, diversity)

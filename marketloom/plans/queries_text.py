@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,16 +141,25 @@ def retrieved_chunks(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH {roles.ITEMS}, {_NEAREST},
-f AS (SELECT item, 'filter' AS source, NULL::DOUBLE AS score FROM items WHERE brand NOT IN ('Brand#1') AND price <= 950 ORDER BY price ASC NULLS LAST, item LIMIT 6),
-s AS (SELECT id AS item, 'semantic' AS source, round(max(score), 6) AS score FROM hits JOIN items ON id = item WHERE lower(brand) <> 'brand#1' GROUP BY 1)
-SELECT item AS key, source, score FROM f UNION ALL SELECT * FROM s""")
+asked AS (SELECT vec_id AS query, vec_id % 3 AS kind, 930 + 20 * (vec_id % 3) AS price_max, 'Brand#' || (1 + vec_id % 3) AS unwanted FROM embeddings WHERE label = 0),
+f AS (SELECT kind, item, row_number() OVER (PARTITION BY kind ORDER BY price ASC NULLS LAST, item) AS n
+  FROM (SELECT DISTINCT kind, price_max, unwanted FROM asked) JOIN items ON brand <> unwanted AND price <= price_max QUALIFY n <= 6)
+SELECT query, item AS key, 'filter' AS source, NULL::DOUBLE AS score FROM asked JOIN f USING (kind)
+UNION ALL SELECT query, item, 'semantic', round(score, 6) FROM hits JOIN asked USING (query) JOIN items ON id = item WHERE lower(brand) <> lower(unwanted)""")
 def hybrid_retrieval(t: Tables) -> DataFrame:
+    """Queries of three kinds, each with its own price limit and unwanted brand; queries of a kind share one filter search."""
     items = roles.items(t)
     columns = search.Columns(key="item", status="transmission", fuel="fuel")
-    rows = search.constraint_search(items, columns, limit=6, price_max=950, exclude_brands=["Brand#1"])
-    hits = _retrieved(t).groupBy("id").agg(F.round(F.max("score"), 6).alias("score")).join(items, F.col("id") == F.col("item"))
-    hits = search.exclude_values(hits, "brand", ["Brand#1"])
-    return text.hybrid_hits(rows, "item", hits, "item", "score")
+    asked = t.embeddings.filter("label = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") % 3).alias("kind"))
+    answers = []
+    for kind in range(3):
+        brand = f"Brand#{1 + kind}"
+        own = asked.filter(F.col("kind") == kind).select("query")
+        rows = search.constraint_search(items, columns, limit=6, price_max=930 + 20 * kind, exclude_brands=[brand])
+        hits = _retrieved(t).join(own, "query", "left_semi").join(items, F.col("id") == F.col("item"))
+        hits = search.exclude_values(hits, "brand", [brand]).withColumn("score", F.round("score", 6))
+        answers.append(text.hybrid_hits(rows, "item", hits, "item", "score", own, "query"))
+    return reduce(DataFrame.unionByName, answers)
 
 
 # ---- pages ---------------------------------------------------------------------------

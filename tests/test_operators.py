@@ -184,3 +184,12 @@ def test_chunk_boundaries():
     assert text.split_text("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
     assert text.split_text("one two\n\nthree", 9, 0) == ["one two", "three"]
     assert text.split_text("x" * 12, 5, 0) == ["xxxxx", "xxxxx", "xx"]
+
+
+def test_popularity_falls_back_to_the_rating(spark):
+    from marketloom.config import RecoConfig
+    from marketloom.plans import recommend
+
+    items = spark.createDataFrame([(1, "a", 4.0), (2, "a", 5.0), (3, "b", None), (4, "b", 2.5)], "item long, brand string, rating double")
+    got = recommend.popularity_table(recommend.Inputs(items), RecoConfig()).collect()
+    assert {(r.item, r.score) for r in got if r.brand is None} == {(2, 1.0), (1, 0.8), (4, 0.5)}
