@@ -201,3 +201,69 @@ def pending_links(t: Tables) -> DataFrame:
     secure = t.pages.filter(F.col("url").startswith("https"))
     landed = pages.page_links(secure, "page_id", F.col("url"), "html").select(F.col("link").alias("done"))
     return pages.pending_links(links, landed, "link", "done")
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN 'n' || c_custkey END AS used, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey END AS untitled,
+  'm' || c_nationkey AS new, c_mktsegment AS monday, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS days
+FROM customer""")
+def dealer_pages(t: Tables) -> DataFrame:
+    """Pages with untitled phones and rows of one cell among the others."""
+    key = F.col("c_custkey")
+    html = F.concat(
+        F.lit('<div class="dealer-phone">'), F.when(key % 3 != 0, '<span class="phone-number-title">Used</span>').otherwise(""),
+        F.lit('<a class="phone-number">n'), key, F.lit('</a></div><div class="dealer-phone"><span class="phone-number-title">New</span><a class="phone-number">m'),
+        F.col("c_nationkey"), F.lit('</a></div><table class="dealer-hours">'), F.when(key % 2 == 0, "<tr><td>Sales</td></tr>").otherwise(""),
+        F.lit("<tr><td>Monday:</td><td>"), F.col("c_mktsegment"), F.lit("</td></tr>"), F.when(key % 5 == 0, "<tr><td>Sunday:</td><td></td></tr>").otherwise(""), F.lit("</table>"),
+    )
+    made = t.customer.select(key.alias("id"), html.alias("html"))
+    got = pages.dealer_records(pages.extract_fields(made, ["id"], "html", pages.DEALER_FIELDS), "id")
+    return got.select(
+        "id", F.col("phone_info.Used").alias("used"), F.col("phone_info.Unknown").alias("untitled"), F.col("phone_info.New").alias("new"),
+        F.col("hours.Monday").alias("monday"), F.size("hours").cast("bigint").alias("days"),
+    )
+
+
+@query("""
+SELECT p_partkey AS id, 'Used' AS condition, p_name AS title, CAST(floor(p_retailprice) AS BIGINT) AS price, 'V' || p_partkey AS vin,
+  CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_type END AS safety, CASE WHEN p_size % 2 = 0 THEN 'w' || p_size END AS basic_warranty, 'w' || p_size AS drive_warranty,
+  CAST(7 AS BIGINT) AS images
+FROM part""")
+def listing_pages(t: Tables) -> DataFrame:
+    """Pages with equal headings, terms without a text of their own, and pictures without an address among the others."""
+    block = lambda body: F.concat(F.lit('<div class="highlight-feature"><h3 class="features-spec-heading">Safety</h3><li data-qa="spec-value">'), body, F.lit("</li></div>"))
+    html = F.concat(
+        F.lit('<h1 id="vehicle-title">Used '), F.col("p_name"), F.lit('</h1><span class="list-price">$'), F.floor("p_retailprice"),
+        F.lit('</span><section id="features-and-specs"><div class="subtitle">VIN: V'), F.col("p_partkey"), F.lit("</div></section>"),
+        block(F.col("p_type")), F.when(F.col("p_size") % 4 == 0, block(F.col("p_brand"))).otherwise(""),
+        F.lit('<section class="sds-page-section warranty_section"><dl class="fancy-description-list"><dt>Basic</dt>'),
+        # Without a text of its own, a term has that of the next one in its list.
+        F.when(F.col("p_size") % 2 == 0, "").otherwise('</dl><dl class="fancy-description-list">'), F.lit("<dt>Drive</dt><dd>w"), F.col("p_size"),
+        F.lit('</dd></dl></section><fuse-gallery-grid id="gallery"><img>'), F.lit('<img src="a.jpg?w=1">' * 7), F.lit("</fuse-gallery-grid>"),
+    )
+    got = pages.listing_records(pages.listing_fields(t.part.select(F.col("p_partkey").alias("id"), html.alias("html")), "id", "html"), "id", "https://site.example")
+    return got.select(
+        "id", F.col("post.new_used").alias("condition"), F.col("post.title").alias("title"), F.col("post.price").cast("bigint").alias("price"),
+        F.col("post.basic_desc.VIN").alias("vin"), F.col("post.feature_des.Safety")[0].alias("safety"), F.col("post.warranty_des.Basic").alias("basic_warranty"),
+        F.col("post.warranty_des.Drive").alias("drive_warranty"), F.size("post.image").cast("bigint").alias("images"),
+    )
+
+
+@query("""
+SELECT doc_id AS id, CAST(1 + doc_id % 5 AS DOUBLE) AS rating, '5/' || (1 + doc_id % 28) || '/2023' AS time, lang AS author, source AS place,
+  CASE WHEN doc_id % 3 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || source END AS body
+FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+def review_pages(t: Tables) -> DataFrame:
+    """Pages of reviews, of which those without title and text are none."""
+    key = F.col("doc_id")
+    html = F.concat(
+        F.lit('<div class="consumer-review-container"><fuse-rating rating="'), 1 + key % 5, F.lit('"></fuse-rating><div class="review-date">5/'), 1 + key % 28,
+        F.lit('/2023</div><div class="author-details"><div>By '), F.col("lang"), F.lit(" from "), F.col("source"), F.lit("</div></div>"),
+        F.when(key % 3 != 0, F.concat(F.lit('<h3 class="title">'), F.col("source"), F.lit("</h3>"))).otherwise(""),
+        F.when(key % 2 == 0, F.concat(F.lit('<p class="review-body">'), F.col("lang"), F.lit(" "), F.col("source"), F.lit("</p>"))).otherwise(""), F.lit("</div>"),
+    )
+    got = pages.review_records(t.documents.select(key.alias("id"), html.alias("html")), "id", "html")
+    return got.select(
+        "id", F.col("review.overall_rating").alias("rating"), F.col("review.time").alias("time"), F.col("review.user_name").alias("author"),
+        F.col("review.from").alias("place"), F.col("review.title").alias("title"), F.col("review.review").alias("body"),
+    )
