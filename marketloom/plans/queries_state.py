@@ -11,7 +11,7 @@ from ..operators import sessions
 from ..session import checkpoint_dir
 from ..streaming import jobs
 from . import roles
-from .queries_load import _CURRENT_SQL, _LINES, _VERSION
+from .queries_load import _CURRENT_SQL, _CUT, _LINES, _VERSION
 from .registry import Tables, query
 
 _SLOTS = ["budget_max", "body_type", "fuel_type"]
@@ -128,19 +128,36 @@ def streamed_windows(t: Tables) -> DataFrame:
     out, progress = _folders(t, "windows")
     aggs = [F.count("*").alias("n"), F.sum("value").alias("total")]
     jobs.rolling_counts(_stream(t, "events"), "ts", ["event_type"], aggs, out, progress)
-    rows = jobs.read_newest_batch(t.spark, out)
+    rows = jobs.read_windows(t.spark, out, ["event_type"])
     return rows.select(F.col("window_start").cast("date").alias("window_start"), "event_type", "n", F.round("total", 2).alias("score"))
 
 
+def _two_arrivals(t: Tables, base: str, early_first: bool):
+    """Lines before and after a date, written one after the other; yields once each has arrived."""
+    cut = F.lit(_CUT).cast("timestamp_ntz")
+    parts = [t.lineitem.filter(F.col("l_shipdate") < cut), t.lineitem.filter(F.col("l_shipdate") >= cut)]
+    for part in parts if early_first else parts[::-1]:
+        part.select(*_LINES).write.mode("append").parquet(base)
+        yield jobs.parquet_stream(t.spark, base, part.select(*_LINES).schema)
+
+
 @query(_CURRENT_SQL.format(where="TRUE"))
 def streamed_latest(t: Tables) -> DataFrame:
+    """Two drains of one stream, the later lines first."""
     out, progress = _folders(t, "latest")
-    jobs.keep_current(_stream(t, "lineitem").select(*_LINES), ["l_partkey"], _VERSION, out, progress)
+    for stream in _two_arrivals(t, f"{out}-in", early_first=False):
+        jobs.keep_current(stream, ["l_partkey"], _VERSION, out, progress)
     return jobs.read_current(t.spark, out)
 
 
-@query(_CURRENT_SQL.format(where="TRUE"))
+@query("""
+WITH p AS (SELECT l_partkey, l_returnflag, l_quantity, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
+  lag(l_quantity) OVER w AS q, lag(l_returnflag) OVER w AS f, row_number() OVER w AS n FROM lineitem
+  WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice))
+SELECT * EXCLUDE (q, f, n) FROM p WHERE n = 1 OR l_quantity IS DISTINCT FROM q OR l_returnflag IS DISTINCT FROM f""")
 def streamed_changes(t: Tables) -> DataFrame:
+    """Two drains of one stream, whose log is that of the whole history."""
     out, progress = _folders(t, "changes")
-    jobs.log_changes(_stream(t, "lineitem").select(*_LINES), "l_partkey", ["l_quantity", "l_returnflag"], _VERSION, out, progress)
-    return t.spark.read.parquet(out).drop("batch")
+    for stream in _two_arrivals(t, f"{out}-in", early_first=True):
+        jobs.log_changes(stream, "l_partkey", ["l_quantity", "l_returnflag"], _VERSION, out, progress)
+    return jobs.read_log(t.spark, out).drop("batch")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from ..operators.changes import change_log_increment
+from ..operators.changes import change_history
 from ..operators.latest import latest_per_key
 from ..operators.sessions import normalize_events
 from ..sources import landing, tables
@@ -54,64 +55,103 @@ def land_files(files: DataFrame, target: str, checkpoint: str, run_id: str) -> N
     _drain(files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def keep_current(rows: DataFrame, keys: Sequence[str], version: Sequence[str], target: str, checkpoint: str) -> None:
+def keep_current(
+    rows: DataFrame, keys: Sequence[str], version: Sequence[str], target: str, checkpoint: str, buckets: int = 64
+) -> None:
     """Current row per key: the largest version wins, in whatever order rows arrive.
 
-    Batch n writes `target/state=n` from the state before it and its own rows; older states
-    are kept until the caller drops them.
+    The state lies in `buckets` by key hash. Batch n writes `target/state=n` with the buckets that its
+    rows touch and no others; older states of a bucket are kept until the caller drops them.
     """
     order = [F.col(c).desc_nulls_last() for c in version]
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        before = tables.read_or_none(batch.sparkSession, f"{target}/state={batch_id - 1}") if batch_id else None
-        merged = batch if before is None else before.unionByName(batch)
-        tables.write_snapshot(latest_per_key(merged, keys, order), f"{target}/state={batch_id}")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        states = tables.read_or_none(batch.sparkSession, target)
+        if states is not None:
+            # A repeated batch must not see what its first try wrote.
+            older = states.filter(F.col("state") < batch_id)
+            touched = placed.select("bucket").distinct()
+            placed = placed.unionByName(_newest_states(older).join(touched, "bucket", "left_semi").drop("state"))
+        tables.write_snapshot(latest_per_key(placed, keys, order), f"{target}/state={batch_id}", ["bucket"])
 
     _drain(rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _newest_states(states: DataFrame) -> DataFrame:
+    """Of every bucket the rows of its newest state; which that is follows from the folder names."""
+    newest = states.groupBy("bucket").agg(F.max("state").alias("state"))
+    return states.join(newest, ["bucket", "state"], "left_semi")
+
+
 def read_current(spark: SparkSession, target: str) -> DataFrame:
     """The newest state that `keep_current` wrote."""
-    states = spark.read.parquet(target)
-    newest = states.select(F.max("state")).first()[0]
-    return states.filter(F.col("state") == newest).drop("state")
+    return _newest_states(spark.read.parquet(target)).drop("state", "bucket")
 
 
-def log_changes(rows: DataFrame, key: str, tracked: Sequence[str], version: Sequence[str], target: str, checkpoint: str) -> None:
-    """Append the rows of each batch that change a key's last logged state."""
-    order = [F.col(c).desc_nulls_last() for c in version]
+def log_changes(
+    rows: DataFrame, key: str, tracked: Sequence[str], version: Sequence[str], target: str, checkpoint: str, buckets: int = 64
+) -> None:
+    """Append every row that changes the state of its key: within a batch, and against the last logged row.
+
+    Rows must arrive in the order of `version` from batch to batch; older ones than the last logged row
+    are left out. The last row per key is kept next to the log, in buckets as in `keep_current`, so a
+    batch reads the buckets it touches and not the log.
+    """
+    newest = [F.col(c).desc_nulls_last() for c in version]
+    oldest = [F.col(c).asc_nulls_first() for c in version]
 
     def compare(batch: DataFrame, batch_id: int) -> None:
-        state = latest_per_key(batch, [key], order)
-        log = tables.read_or_none(batch.sparkSession, target)
-        # A repeated batch must not see what its first try wrote.
-        grown = state if log is None else change_log_increment(state, log.filter(F.col("batch") < batch_id), key, tracked, version)
-        tables.write_snapshot(grown, f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        seen = change_history(batch, key, version, tracked, F.lit(0)).withColumn("bucket", bucket)
+        states = tables.read_or_none(spark, f"{target}/last")
+        if states is not None:
+            older = states.filter(F.col("state") < batch_id)
+            last = _newest_states(older).join(seen.select("bucket").distinct(), "bucket", "left_semi").drop("state")
+            after = [F.col(f"_last.{c}") for c in version]
+            past = F.struct(*version) > F.struct(*after)
+            known = last.select(F.col(key).alias("_key"), F.struct(*tracked, *[c for c in version if c not in tracked]).alias("_last"))
+            later = seen.join(known, F.col(key) == F.col("_key"), "left").filter(F.col("_key").isNull() | past)
+            # Only the first row of a key can repeat what was logged before it.
+            first = F.row_number().over(Window.partitionBy(key).orderBy(*oldest)) == 1
+            differs = F.lit(False)
+            for c in tracked:
+                differs = differs | ~F.col(c).eqNullSafe(F.col(f"_last.{c}"))
+            seen = later.withColumn("_first", first).filter(~F.col("_first") | F.col("_key").isNull() | differs).drop("_key", "_last", "_first")
+            state = latest_per_key(seen.unionByName(last), [key], newest)
+        else:
+            state = latest_per_key(seen, [key], newest)
+        tables.write_snapshot(seen.drop("bucket"), f"{target}/log/batch={batch_id}")
+        tables.write_snapshot(state, f"{target}/last/state={batch_id}", ["bucket"])
 
     _drain(rows.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def read_log(spark: SparkSession, target: str) -> DataFrame:
+    """All rows that `log_changes` wrote, with their `batch`."""
+    return spark.read.parquet(f"{target}/log")
+
+
 def rolling_counts(
     events: DataFrame, ts: str, by: Sequence[str], aggs: Sequence[Column], target: str, checkpoint: str,
     width: str = "7 days", slide: str = "1 day", watermark: str = "30 days",
 ) -> None:
-    """Sliding-window aggregates, every window rewritten as it grows (complete mode)."""
+    """Sliding-window aggregates; a batch writes the windows that it changed, and the watermark drops what can't change."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
     windows = timed.groupBy(F.window("_ts", width, slide).alias("_w"), *by).agg(*aggs)
     flat = windows.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "*").drop("_w")
 
-    def rewrite(batch: DataFrame, batch_id: int) -> None:
+    def write_changed(batch: DataFrame, batch_id: int) -> None:
         tables.write_snapshot(batch, f"{target}/batch={batch_id}")
 
-    writer = flat.writeStream.outputMode("complete").foreachBatch(rewrite).option("checkpointLocation", checkpoint)
+    writer = flat.writeStream.outputMode("update").foreachBatch(write_changed).option("checkpointLocation", checkpoint)
     _drain(writer.trigger(availableNow=True).start())
 
 
-def read_newest_batch(spark: SparkSession, target: str) -> DataFrame:
-    """The last complete result of `rolling_counts`."""
-    batches = spark.read.parquet(target)
-    newest = batches.select(F.max("batch")).first()[0]
-    return batches.filter(F.col("batch") == newest).drop("batch")
+def read_windows(spark: SparkSession, target: str, by: Sequence[str]) -> DataFrame:
+    """Every window as `rolling_counts` wrote it last."""
+    return latest_per_key(spark.read.parquet(target), ["window_start", *by], [F.col("batch").desc()]).drop("batch")
 
 
 def track_events(raw: DataFrame, columns: Mapping[str, Column], score: Column, target: str, checkpoint: str) -> None:

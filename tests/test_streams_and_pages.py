@@ -42,7 +42,7 @@ def test_change_log_stream(spark, tmp_path):
     for rows in ordered:
         drop_files(spark, folder, [rows])
         jobs.log_changes(source(spark, folder), "k", ["v"], ["day", "seq"], out, str(tmp_path / "ck"))
-    log = spark.read.parquet(out).select("k", "day", "v", "seq")
+    log = jobs.read_log(spark, out).select("k", "day", "v", "seq")
     whole = changes.change_history(spark.read.parquet(folder), "k", ["day", "seq"], ["v"], F.col("day"))
     assert {tuple(r) for r in log.collect()} == {tuple(r) for r in whole.select("k", "day", "v", "seq").collect()}
 
