@@ -77,16 +77,27 @@ def check_no_rows(failing: DataFrame, name: str, column: str, severity: str = ER
 
 
 def check_schema(df: DataFrame, expected: StructType) -> DataFrame:
-    """One row per expected column; a missing column or another type is one failure."""
+    """One row per expected column, from one pass over the table.
+
+    A missing column or another type is one failure; a column that must not be null fails once for
+    each row in which it is.
+    """
     actual = {f.name: f.dataType for f in df.schema.fields}
-    rows = [
-        ("schema", f.name, ERROR, 0 if actual.get(f.name) == f.dataType else 1,
-         "pass" if actual.get(f.name) == f.dataType else "fail")
-        for f in expected.fields
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "check string, column string, severity string, failures bigint, status string"
-    )
+
+    def failures(f) -> Column:
+        if actual.get(f.name) != f.dataType:
+            return F.max(F.lit(1))
+        return F.max(F.lit(0)) if f.nullable else F.count_if(F.col(f.name).isNull())
+
+    row = df.agg(*[F.coalesce(failures(f), F.lit(int(actual.get(f.name) != f.dataType))).alias(f.name) for f in expected.fields])
+    entries = F.array(*[F.struct(F.lit(f.name).alias("_c"), F.col(f.name).cast("bigint").alias("_n")) for f in expected.fields])
+    return _report(row.select(F.inline(entries)), "schema", F.col("_c"), F.lit(ERROR), F.col("_n"))
+
+
+def check_partitions(df: DataFrame, column: str, derived: Column, severity: str = ERROR) -> DataFrame:
+    """Rows that lie in another partition than the one that follows from their values."""
+    wrong = df.filter(~F.col(column).cast("string").eqNullSafe(derived.cast("string")))
+    return _single(wrong.agg(F.count("*").alias("_n")), "partitioning", column, severity)
 
 
 def union_reports(reports: Sequence[DataFrame]) -> DataFrame:

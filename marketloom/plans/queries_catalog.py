@@ -378,9 +378,19 @@ def quality_report(t: Tables) -> DataFrame:
     ])
 
 
-@query()
+@query("""
+WITH n AS (SELECT count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) FILTER (month(o_orderdate) = 2) AS february FROM orders),
+r AS (SELECT * FROM (VALUES ('schema', 'o_orderkey', 0), ('schema', 'o_custkey', 1), ('schema', 'o_orderdate', 0), ('schema', 'o_comment', 1)) v("check", "column", failures)
+UNION ALL SELECT 'schema', 'priority', urgent FROM n UNION ALL SELECT 'partitioning', 'o_month', february FROM n)
+SELECT "check", "column", 'error' AS severity, CAST(failures AS BIGINT) AS failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM r""")
 def schema_report(t: Tables) -> DataFrame:
+    """A type, a column and a value that are missing, and rows in a wrong partition, on purpose."""
     from pyspark.sql.types import StructType
 
-    expected = StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_comment string")
-    return quality.check_schema(t.orders, expected)
+    expected = StructType.fromDDL("o_orderkey bigint not null, o_custkey int, o_orderdate timestamp_ntz not null, o_comment string, priority string not null")
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    orders = t.orders.withColumns({
+        "priority": F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")),
+        "o_month": F.when(F.month("o_orderdate") == 2, "elsewhere").otherwise(month),
+    })
+    return quality.union_reports([quality.check_schema(orders, expected), quality.check_partitions(orders, "o_month", month)])
