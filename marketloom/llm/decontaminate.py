@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     """
     templates = materialise(item_templates(benchmark, window))
     bloom = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
-    bits = np.array([r["bit"] for r in templates.select("bit").distinct().collect()], np.int64)  # at most 2 ** BLOOM_BITS
+    bits = templates.select("bit").distinct().toArrow()["bit"].to_numpy().astype(np.int64)  # at most 2 ** BLOOM_BITS
     np.bitwise_or.at(bloom, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     widths = sorted(r["width"] for r in templates.select("width").distinct().collect())  # at most `window`
     document = ["doc_id", "same", "item_id"]

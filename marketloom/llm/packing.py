@@ -239,12 +239,19 @@ class _Plan:
         return {"key": (table[:, 0] << 44) + table[:, 1], "rank": table[:, 1], "sequence": table[:, 3], "per": table[:, 4], "offset": table[:, 5]}
 
 
-def plan(counts: dict[int, int], capacity: int = 4096, groups: int = 64, large_parts: int = 8) -> dict[str, np.ndarray]:
-    """Places for pieces by length: `counts` has how many there are of each length (at most `capacity` entries)."""
-    return _Plan(counts, capacity, groups, large_parts).arrays()
+#: Groups, and the part of the capacity above which a length is large. Few groups leave more to best fit, many round less.
+GROUPINGS = ((16, 4), (64, 4), (256, 8), (512, 4))
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 64, large_parts: int = 8) -> DataFrame:
+def plan(counts: dict[int, int], capacity: int = 4096, groupings: tuple[tuple[int, int], ...] = GROUPINGS) -> dict[str, np.ndarray]:
+    """Places for pieces by length: `counts` has how many there are of each length (at most `capacity` entries).
+
+    The plan is made for each of `groupings` and the one of fewest sequences is taken.
+    """
+    return min((_Plan(counts, capacity, *g) for g in groupings), key=lambda p: p.sequences).arrays()
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, groupings: tuple[tuple[int, int], ...] = GROUPINGS) -> DataFrame:
     """`sequence_id` and `offset` for every row of `pieces` (columns of `token_pieces`).
 
     A length that a third of all rows share is ranked in as many parts as there are shuffle partitions.
@@ -253,7 +260,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 64, large_parts:
     spark = pieces.sparkSession
     pieces = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"))
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
-    places = spark.sparkContext.broadcast(plan(counts, capacity, groups, large_parts))
+    places = spark.sparkContext.broadcast(plan(counts, capacity, groupings))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -74,7 +74,7 @@ def test_packing(spark):
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
     counts = {rng.randrange(1, 257): rng.randrange(1, 400) for _ in range(rng.choice((1, 5, 120)))}
-    p = packing.plan(counts, 256, groups=8)
+    p = packing.plan(counts, 256)
     filled: dict = {}
     for length, n in counts.items():
         for rank in range(n):
