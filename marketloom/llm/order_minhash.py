@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 14
     reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("doc_id", "n", "parity", "sketches")).alias("one")))
     reps = reps.select("copy_a", "copy_b", F.col("one.doc_id").alias("rep"), "one.n", "one.parity", "one.sketches")
     # A bucket is a sketch and its number; those of one member say nothing.
-    members = reps.select("rep", "n", "parity", F.posexplode("sketches").alias("k", "value")).select("rep", "n", "parity", F.xxhash64("k", "value").alias("bucket"))
+    members = reps.select("rep", "n", "parity", "sketches", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).drop("value")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared.select("bucket"), "bucket", "left_semi"))
     wanted = materialise(members.select("rep").distinct())
@@ -230,9 +230,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 14
             by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
             largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("top.root").alias("top"))
             outside = materialise(now.join(largest, "bucket"))
-            apart = outside.where("root <> top").select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"))
-            # Two members outside the largest class meet once.
-            met = outside.join(apart, "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity) & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))))
+            apart = outside.where("root <> top").select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("sketches").alias("sketches_b"))
+            # Two members meet in the first bucket they share, and two outside the largest class meet once there.
+            first = reduce(lambda a, b: a & b, ((F.col("k") <= i) | (F.get("sketches", F.lit(i)) != F.get("sketches_b", F.lit(i))) for i in range(sketches)))
+            met = outside.join(apart, "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity) & first & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))))
         pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
         pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
