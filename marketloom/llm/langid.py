@@ -100,9 +100,12 @@ def train(docs: DataFrame, max_docs: int = 1500, rarest: float = 0.1, least: int
     if len(by_lang) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in by_lang)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ids alone are ranked; Spark keeps the first `max_docs` of a language in every task before it shuffles them.
-    chosen = docs.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).drop("rank").distinct()
+    # Ids alone are ranked, first in 64 parts of a language, so that at most 64 * max_docs of them meet in a task.
+    chosen = docs.select("lang", "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
+    for within in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*within).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).drop("rank")
+    chosen = chosen.select("lang", "doc_id").distinct()
     sample = docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")  # at most 64 * max_docs ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
