@@ -164,7 +164,7 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> D
     return texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(cut, kind)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`doc_id, item_id, covered, verbatim` of every document that holds a benchmark item.
 
     A document holds an item if at least the share `coverage` of the item's templates lies in it, on
@@ -172,6 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     Null ids, null and empty texts, repeated rows and empty tables need no care: rows of one id and
     text are one document, a null id is an id of its own, empty texts have no windows.
     """
+    return found_items(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("verbatim").alias("verbatim"))
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+    """`doc_id, same, item_id, covered, verbatim`: as `contaminated`, but texts of one id stay apart by the hash `same`."""
     templates = materialise(item_templates(benchmark, window))
     bloom = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
     bits = templates.select("bit").distinct().toArrow()["bit"].to_numpy().astype(np.int64)  # at most 2 ** BLOOM_BITS
@@ -194,11 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
         .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"))
         .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"))
         .where(F.col("n") >= F.col("n_windows") * coverage)
-        .groupBy("doc_id", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("covered"), F.max("as_is").alias("verbatim"))
+        .select(*document, (F.col("n") / F.col("n_windows")).alias("covered"), F.col("as_is").alias("verbatim"))
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = found_items(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("same").alias("_bad_text")).distinct()
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (text == bad["_bad_text"]), "left_anti")

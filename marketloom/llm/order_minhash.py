@@ -19,6 +19,8 @@ similarity costs a comparison of parities for each pair of a bucket, inside the
 
 from __future__ import annotations
 
+import uuid
+
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -35,6 +37,7 @@ from .words import Numbered, blocks
 _STEP = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(2**63)
+_KEY = "struct<doc_id: bigint, same: bigint>"
 _LONGS = pa.list_(pa.int64())
 
 
@@ -113,14 +116,20 @@ def may_reach(similarity: float) -> Column:
     return close & (apart <= (F.col("n") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
+def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
+    """The rows with what tells documents apart: the id and a hash of the text, as ids may be null or stand for several texts."""
+    same = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn(name, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), same.alias("same")))
+
+
 def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5) -> DataFrame:
-    """`doc_id`, hash of the words (`copy_a`, `copy_b`), number of shingles `n`, their `parity`, and the `sketches`."""
+    """`key` (id and hash of the text), hash of the words (`copy_a`, `copy_b`), number of shingles `n`, their `parity`, and the `sketches`."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
             a, b, n, odd, found = [], [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words, own = shingles(text.as_py())
                 digest = xxhash.xxh3_128_intdigest(words.tobytes())
                 a.append((digest >> 64) - 2**63)
@@ -129,11 +138,12 @@ def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5)
                 odd.append(parity(own))
                 found.append(sketch(own, sketches, pick).view(np.int64) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, _LONGS), pa.array(found, _LONGS)],
-                names=["doc_id", "copy_a", "copy_b", "n", "parity", "sketches"],
+                [batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, _LONGS), pa.array(found, _LONGS)],
+                names=["doc_id", "same", "copy_a", "copy_b", "n", "parity", "sketches"],
             )
 
-    return texts(docs).mapInArrow(compute, "doc_id long, copy_a long, copy_b long, n int, parity array<long>, sketches array<long>")
+    kind = "doc_id long, same long, copy_a long, copy_b long, n int, parity array<long>, sketches array<long>"
+    return keyed(texts(docs)).select("key.doc_id", "key.same", "text").mapInArrow(compute, kind).select(F.struct("doc_id", "same").alias("key"), "copy_a", "copy_b", "n", "parity", "sketches")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
@@ -168,7 +178,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int
             keep = [aligned(known[x.as_py()], known[y.as_py()], similarity) >= similarity - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {_KEY}, b {_KEY}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,23 +210,30 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 14, pick: int = 3, width: int = 5, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """`doc_id, class_id, copy_of` for every row: the smallest id of its class, and of its copies.
 
     Texts that agree in all words, whatever the white space and case, are copies; null and empty texts
-    are copies of each other. Rows of one id are one document and share a class; a null id is an id
-    that comes before all others. An empty table gives an empty table.
+    are copies of each other. Rows of one id and text are one document; texts that differ are documents of
+    their own, also if their id is null or repeated, so ids name classes only as far as they are unique
+    (`classes` names them by id and text). A null id comes before all others. An empty table gives an empty table.
     """
-    docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    given = lambda c: F.nullif(f"{c}.doc_id", F.lit(_NO_ID))
+    return classes(docs, **options).select(given("key").alias("doc_id"), given("class").alias("class_id"), given("rep").alias("copy_of"))
+
+
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 14, pick: int = 3, width: int = 5, rounds: int = 2) -> DataFrame:
+    """`key, class, rep` for every row: the id and text hash of its document, and the smallest of its class and of its copies."""
+    docs = texts(docs)
     rows = materialise(sketched(docs, sketches, pick, width))
-    reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("doc_id", "n", "parity", "sketches")).alias("one")))
-    reps = reps.select("copy_a", "copy_b", F.col("one.doc_id").alias("rep"), "one.n", "one.parity", "one.sketches")
+    reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("key", "n", "parity", "sketches")).alias("one")))
+    reps = reps.select("copy_a", "copy_b", F.col("one.key").alias("rep"), "one.n", "one.parity", "one.sketches")
     # A bucket is a sketch and its number; those of one member say nothing.
     members = reps.select("rep", "n", "parity", "sketches", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).drop("value")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared.select("bucket"), "bucket", "left_semi"))
     wanted = materialise(members.select("rep").distinct())
-    bodies = materialise(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
+    bodies = materialise(keyed(docs, "rep").select("rep", "text").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
     done = None
     for turn in range(rounds + 1):
@@ -244,13 +261,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = 14
             labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         )
     whole = reps.select("copy_a", "copy_b", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
+    least = whole.groupBy("root").agg(F.min("rep").alias("class"))
     named = materialise(whole.join(least, "root"))
-    given = lambda c: F.nullif(c, F.lit(_NO_ID))
-    return rows.join(named, ["copy_a", "copy_b"]).select(given(F.col("doc_id")).alias("doc_id"), given(F.col("class_id")).alias("class_id"), given(F.col("rep")).alias("copy_of"))
+    return rows.join(named, ["copy_a", "copy_b"]).select("key", "class", "rep")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their class; one row of each."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents, with all their columns, that are the smallest of their class by id and text hash; one row of each."""
+    kept = classes(docs, **options).where(F.col("key") == F.col("class")).select("key").distinct()
+    key = f"_key_{uuid.uuid4().hex}"
+    mine = keyed(docs, key)
+    return mine.join(kept.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key]).drop(key)

@@ -177,6 +177,21 @@ def test_near_duplicates(spark):
     assert order_minhash.aligned(a, b, 0.3) == pytest.approx(146 / (296 * 2 - 146), abs=0.02)
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(2)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = one.replace(one.split()[30], "other")
+    docs = frame(spark, [(None, one), (None, two), (None, two), (None, ""), (4, two), (5, three), (5, near), (5, one), (6, three)])
+    kept = [r.text for r in order_minhash.one_of_each(docs).collect()]
+    assert len(kept) == 4 and {*kept} >= {two, "", three} and order_minhash.one_of_each(docs).columns == docs.columns
+    got = {(r.doc_id, r.class_id) for r in order_minhash.near_duplicates(docs).collect()}
+    assert got == {(None, None), (4, None), (5, 5), (5, None), (6, 5)}
+    item = "the quick brown fox jumps over the lazy dog and runs far into the dark wood"
+    held = [(None, item), (None, "a clean text without an id"), (7, item), (7, "another text of that id"), (8, None)]
+    clean = decontaminate.without_contaminated(frame(spark, held), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {*held[1:2], *held[3:]}
+
+
 def test_components_of_any_shape(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (201, 202)]
     got = {r.node: r.root for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
