@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, texts
@@ -113,7 +113,7 @@ def _slots(slots: dict[int, str], at: int, width: int) -> list[dict]:
 
 
 def item_templates(benchmark: DataFrame, window: int = 8, shortest: int = 4) -> DataFrame:
-    """`item_id, window, width, at, slots, n_windows` of the items' templates.
+    """`item_id, window, bit, width, item_at, item_rank, item_slots, n_windows` of the items' templates.
 
     An item shorter than the window is one template of its own width; items of fewer than `shortest`
     words, null and empty ones say too little and have none. Repeated items stay apart by their id.
@@ -130,10 +130,10 @@ def item_templates(benchmark: DataFrame, window: int = 8, shortest: int = 4) ->
                 width = min(window, len(hashes))
                 values, usable = templates.windows(hashes, literals, width)
                 bits = _bit(values)
-                rows += [(item, int(values[i].view(np.int64)), int(bits[i]), width, i, _slots(slots, i, width), int(usable.sum())) for i in np.nonzero(usable)[0].tolist()]
-            yield _batch(rows, ("item_id", "window", "bit", "width", "item_at", "item_slots", "n_windows"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _WINDOWS, pa.int32()))
+                rows += [(item, int(values[i].view(np.int64)), int(bits[i]), width, i, rank, _slots(slots, i, width), int(usable.sum())) for rank, i in enumerate(np.nonzero(usable)[0].tolist())]
+            yield _batch(rows, ("item_id", "window", "bit", "width", "item_at", "item_rank", "item_slots", "n_windows"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _WINDOWS, pa.int32()))
 
-    kind = "item_id long, window long, bit int, width int, item_at int, item_slots array<struct<place: int, value: string>>, n_windows int"
+    kind = "item_id long, window long, bit int, width int, item_at int, item_rank int, item_slots array<struct<place: int, value: string>>, n_windows int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     return items.mapInArrow(cut, kind)
 
@@ -164,18 +164,31 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> D
     return texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(cut, kind)
 
 
+def _longest_run(covered: str, window: int, passage: int) -> Column:
+    """The most templates of an alignment, sorted, that follow each other in the item and touch; 0 if there are less than `passage`."""
+    none = F.lit(0)
+    start = F.struct(F.lit(-2).alias("rank"), none.alias("at"), none.alias("run"), none.alias("best"))
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when((w["item_rank"] == a["rank"] + 1) & (w["item_at"] - a["at"] <= window), a["run"] + 1).otherwise(1)
+        return F.struct(w["item_rank"].alias("rank"), w["item_at"].alias("at"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.when(F.size(covered) >= passage, F.aggregate(covered, start, step, lambda a: a["best"])).otherwise(0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`doc_id, item_id, covered, verbatim` of every document that holds a benchmark item.
 
     A document holds an item if at least the share `coverage` of the item's templates lies in it, on
-    alignments whose slots are consistent; `verbatim` says that all slots have the item's values.
+    alignments whose slots are consistent, or a passage of it: a run of `passage` templates that follow
+    each other without a gap (20 words at least), whatever share of the item that is; `verbatim` says that all slots have the item's values.
     Null ids, null and empty texts, repeated rows and empty tables need no care: rows of one id and
     text are one document, a null id is an id of its own, empty texts have no windows.
     """
     return found_items(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("verbatim").alias("verbatim"))
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, passage: int = 13) -> DataFrame:
     """`doc_id, same, item_id, covered, verbatim`: as `contaminated`, but texts of one id stay apart by the hash `same`."""
     templates = materialise(item_templates(benchmark, window))
     bloom = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
@@ -187,7 +200,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage
         document_windows(docs, bloom, widths).join(templates.drop("bit"), ["window", "width"])
         .groupBy(*document, "n_windows", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(  # no more rows than the item has windows
-            F.collect_list("item_at").alias("covered"),
+            F.array_sort(F.collect_set(F.struct("item_rank", "item_at"))).alias("covered"),
             F.array_distinct(F.flatten(F.collect_list(F.transform(
                 F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"]["value"].alias("item"), s["slots"]["value"].alias("doc"))
             )))).alias("values"),
@@ -195,10 +208,10 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage
     )
     consistent = alignments.where(F.size("values") == F.size(F.array_distinct(F.col("values.item"))))
     return (
-        consistent.select(*document, "n_windows", F.explode("covered").alias("item_at"), F.forall("values", lambda v: v["item"] == v["doc"]).alias("as_is"))
-        .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"))
-        .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"))
-        .where(F.col("n") >= F.col("n_windows") * coverage)
+        consistent.select(*document, "n_windows", F.explode("covered.item_at").alias("item_at"), _longest_run("covered", window, passage).alias("run"), F.forall("values", lambda v: v["item"] == v["doc"]).alias("as_is"))
+        .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"), F.max("run").alias("run"))
+        .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"), F.max("run").alias("run"))
+        .where((F.col("n") >= F.col("n_windows") * coverage) | (F.col("run") >= passage))
         .select(*document, (F.col("n") / F.col("n_windows")).alias("covered"), F.col("as_is").alias("verbatim"))
     )
 

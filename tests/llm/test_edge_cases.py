@@ -113,6 +113,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def invented(n, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def held(spark, docs, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+
+
+def test_passages_of_long_items(spark):
+    item = invented(200)
+    docs = [(1, "before " + " ".join(item[50:110]) + " after"), (2, " ".join(item[:20])), (3, " ".join(item[:19])), (4, " ".join(item[i] for i in range(200) if i % 20))]
+    assert held(spark, docs, [" ".join(item)]) == {(1, 0), (2, 0), (4, 0)}
+
+
 def spans(rows, column):
     return {r.doc_id: [(s.kind, s.start, s.end) for s in sorted(r[column])] for r in rows}
 
