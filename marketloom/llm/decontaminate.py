@@ -4,7 +4,7 @@ Words become canonical: numbers, units and names are typed placeholders, the res
 without punctuation at its ends. Every window of eight canonical words of a benchmark item is a
 template. Windows of documents that a Bloom filter of fixed size lets through are hash-joined with
 the templates. Along one alignment, a slot value of the item must always stand for the same value
-of the document. So a question with other numbers or names is caught, and words that only look
+of the document; only passages long enough to tell on their own may lie beside a contradiction. So a question with other numbers or names is caught, and words that only look
 alike are not.
 """
 
@@ -164,6 +164,15 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> D
     return texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(cut, kind)
 
 
+def _agreeing(covered: str, places: str, values: str) -> Column:
+    """The templates of an alignment without those that contradict what most places of an item's value stand for; of ties the same value, then the largest."""
+    counted = F.transform(values, lambda v: F.struct(
+        v["item"].alias("item"), F.struct(F.size(F.filter(places, lambda p: (p["item"] == v["item"]) & (p["doc"] == v["doc"]))), v["item"] == v["doc"], v["doc"].alias("doc")).alias("rank")
+    ))
+    lost = F.filter(counted, lambda v: F.exists(counted, lambda u: (u["item"] == v["item"]) & (u["rank"] > v["rank"])))
+    return F.filter(covered, lambda w: ~F.exists(w["pairs"], lambda p: F.exists(lost, lambda x: (x["item"] == p["item"]) & (x["rank"]["doc"] == p["doc"]))))
+
+
 def _longest_run(covered: str, window: int, passage: int) -> Column:
     """The most templates of an alignment, sorted, that follow each other in the item and touch; 0 if there are less than `passage`."""
     none = F.lit(0)
@@ -181,7 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     A document holds an item if at least the share `coverage` of the item's templates lies in it, on
     alignments whose slots are consistent, or a passage of it: a run of `passage` templates that follow
-    each other without a gap (20 words at least), whatever share of the item that is; `verbatim` says that all slots have the item's values.
+    each other without a gap (20 words at least), whatever share of the item that is. Of an
+    alignment with two values for one, passages are sought in the templates that agree with the more
+    frequent value; its share does not count, as a short item with two roles changed is another question. `verbatim` says that all slots have the item's values.
     Null ids, null and empty texts, repeated rows and empty tables need no care: rows of one id and
     text are one document, a null id is an id of its own, empty texts have no windows.
     """
@@ -200,18 +211,24 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage
         document_windows(docs, bloom, widths).join(templates.drop("bit"), ["window", "width"])
         .groupBy(*document, "n_windows", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(  # no more rows than the item has windows
-            F.array_sort(F.collect_set(F.struct("item_rank", "item_at"))).alias("covered"),
-            F.array_distinct(F.flatten(F.collect_list(F.transform(
-                F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"]["value"].alias("item"), s["slots"]["value"].alias("doc"))
-            )))).alias("values"),
+            F.array_sort(F.collect_set(F.struct("item_rank", "item_at", F.transform(
+                F.arrays_zip("item_slots", "slots"),
+                lambda s: F.struct((F.col("item_at") + s["slots"]["place"]).alias("place"), s["item_slots"]["value"].alias("item"), s["slots"]["value"].alias("doc")),
+            ).alias("pairs")))).alias("covered")
         )
+        .withColumn("places", F.array_distinct(F.flatten("covered.pairs")))
+        .withColumn("values", F.array_distinct(F.transform("places", lambda p: F.struct(p["item"], p["doc"]))))
+        .withColumn("whole", F.size("values") == F.size(F.array_distinct(F.col("values.item"))))
+        .where(F.col("whole") | (F.size("covered") >= passage))
+        .withColumn("covered", F.when(F.col("whole"), F.col("covered")).otherwise(_agreeing("covered", "places", "values")))
+        .withColumn("run", _longest_run("covered", window, passage))
     )
-    consistent = alignments.where(F.size("values") == F.size(F.array_distinct(F.col("values.item"))))
     return (
-        consistent.select(*document, "n_windows", F.explode("covered.item_at").alias("item_at"), _longest_run("covered", window, passage).alias("run"), F.forall("values", lambda v: v["item"] == v["doc"]).alias("as_is"))
-        .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"), F.max("run").alias("run"))
-        .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"), F.max("run").alias("run"))
-        .where((F.col("n") >= F.col("n_windows") * coverage) | (F.col("run") >= passage))
+        alignments.where(F.col("whole") | (F.col("run") >= passage))
+        .select(*document, "n_windows", F.explode("covered.item_at").alias("item_at"), "run", "whole", F.forall("values", lambda v: v["item"] == v["doc"]).alias("as_is"))
+        .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"), F.max("run").alias("run"), F.max("whole").alias("whole"))
+        .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"), F.max("run").alias("run"), F.count_if("whole").alias("n_whole"))
+        .where((F.col("n_whole") >= F.col("n_windows") * coverage) | (F.col("run") >= passage))
         .select(*document, (F.col("n") / F.col("n_windows")).alias("covered"), F.col("as_is").alias("verbatim"))
     )
 

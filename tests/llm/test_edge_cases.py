@@ -129,6 +129,14 @@ def test_passages_of_long_items(spark):
     assert held(spark, docs, [" ".join(item)]) == {(1, 0), (2, 0), (4, 0)}
 
 
+def test_one_conflict_does_not_hide_a_copy(spark):
+    item = invented(60)
+    item[10] = item[30] = item[50] = "Anna"
+    other = [*item[:50], "Eve", *item[51:]]
+    both = [*item[:10], "Eve", *item[11:30], "Mia", *item[31:]]
+    assert held(spark, [(1, " ".join(other)), (2, " ".join(both))], [" ".join(item)]) == {(1, 0), (2, 0)}
+
+
 def spans(rows, column):
     return {r.doc_id: [(s.kind, s.start, s.end) for s in sorted(r[column])] for r in rows}
 
