@@ -2,7 +2,7 @@
 
 Words become canonical: numbers, units and names are typed placeholders, the rest is lower case
 without punctuation at its ends. Every window of eight canonical words of a benchmark item is a
-template. Windows of documents that a Bloom filter of fixed size lets through are hash-joined with
+template; items with few literals have windows of their plain words besides. Windows of documents that a Bloom filter of fixed size lets through are hash-joined with
 the templates. Along one alignment, a slot value of the item must always stand for the same value
 of the document; only passages long enough to tell on their own may lie beside a contradiction. So a question with other numbers or names is caught, and words that only look
 alike are not.
@@ -34,9 +34,14 @@ _PLACEHOLDER = np.array([0, 0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F, 0x165667B19E
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _IS_NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
 _LINE = "\x00"
+#: Characters of scripts that write no blanks between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_NO_BLANKS = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+_CHARACTER = re.compile(_NO_BLANKS)
+_PIECES = re.compile(rf"{_NO_BLANKS}|(?:(?!{_NO_BLANKS})\w)+")
 _STEP = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOOM_BITS = 22
+_EXACT = 1 << 32
 _WINDOWS = pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())]))
 
 
@@ -46,6 +51,7 @@ class Templates:
     def __init__(self, limit: int = 300_000):
         self.numbered = Numbered(self._describe, limit)
         self.kind, self.ends = np.zeros(limit + 1, np.int8), np.zeros(limit + 1, bool)
+        self.joined = np.zeros(limit + 1, bool)
         self.hash, self.bare = np.zeros(limit + 1, np.uint64), [""] * (limit + 1)
 
     def _describe(self, word: str, i: int) -> None:
@@ -62,10 +68,14 @@ class Templates:
         self.kind[i], self.bare[i] = kind, low
         self.ends[i] = word == _LINE or any(c in ".!?" for c in word[len(word.rstrip("\"')]}.!?#*$%&")) :])
         self.hash[i] = xxhash.xxh64_intdigest(low) if low else 0
+        self.joined[i] = _CHARACTER.search(low) is not None
 
-    def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """Per word its hash and whether it is a literal; the values of the words that aren't. A word that starts a sentence or line is no name."""
-        hashes, literals, slots, ended = [], [], {}, True
+    def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, str], np.ndarray]:
+        """Per word its hash and whether it is a literal; the values of the words that aren't. A word that starts a sentence or line is no name.
+
+        Last, the hashes of the words as they are in lower case; characters of scripts without blanks are words there.
+        """
+        hashes, literals, slots, ended, exact = [], [], {}, True, []
         done = 0
         for block in blocks(text):
             words = block.replace("\n", f" {_LINE} ").split()
@@ -78,27 +88,49 @@ class Templates:
                 literal = (kind == _LITERAL) | (kind == _NAME) & first
                 keep = kind != _NOTHING
                 literal, codes, kind = literal[keep], codes[keep], kind[keep]
+                exact.append(self._exact(codes))
                 hashes.append(np.where(literal, self.hash[codes], _PLACEHOLDER[kind]))
                 literals.append(literal)
                 slots.update((done + i, self.bare[codes[i]]) for i in np.nonzero(~literal)[0].tolist())
                 done += len(codes)
         none = np.zeros(0, np.uint64)
-        return np.concatenate(hashes or [none]), np.concatenate(literals or [none.astype(bool)]), slots
+        return np.concatenate(hashes or [none]), np.concatenate(literals or [none.astype(bool)]), slots, np.concatenate(exact or [none])
+
+    def _exact(self, codes: np.ndarray) -> np.ndarray:
+        plain, joined = self.hash[codes], self.joined[codes]
+        if not joined.any():
+            return plain
+        parts, at = [], 0
+        for i in np.nonzero(joined)[0].tolist():
+            pieces = _PIECES.findall(self.bare[codes[i]])
+            parts += [plain[at:i], np.fromiter((xxhash.xxh64_intdigest(p) for p in pieces), np.uint64, len(pieces))]
+            at = i + 1
+        return np.concatenate([*parts, plain[at:]])
 
     @staticmethod
     def windows(hashes: np.ndarray, literals: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at each word, and whether it has literals enough to mean something."""
-        n = len(hashes) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        out = np.full(n, width, np.uint64)
-        for j in range(width):
-            out = out * _STEP + hashes[j : j + n]
-            out ^= out >> np.uint64(29)
+        out = _rolled(hashes, width, width)
+        if not len(out):
+            return out, np.zeros(0, bool)
         known = np.concatenate(([0], np.cumsum(literals)))
         return out, known[width:] - known[:-width] >= _needed(width)
 
 
+def _rolled(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    n = max(0, len(hashes) - width + 1)
+    out = np.full(n, seed, np.uint64)
+    for j in range(width):
+        out = out * _STEP + hashes[j : j + n]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _verbatim(exact: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of the words as they are; never those of templates."""
+    return _rolled(exact, width, _EXACT + width)
+
+
 def _bit(windows: np.ndarray) -> np.ndarray:
     return ((windows * _SPREAD) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
@@ -113,10 +145,12 @@ def _slots(slots: dict[int, str], at: int, width: int) -> list[dict]:
 
 
 def item_templates(benchmark: DataFrame, window: int = 8, shortest: int = 4) -> DataFrame:
-    """`item_id, window, bit, width, item_at, item_rank, item_slots, n_windows` of the items' templates.
+    """`item_id, window, bit, width, exact, item_at, item_rank, item_slots, n_windows` of the items' templates.
 
     An item shorter than the window is one template of its own width; items of fewer than `shortest`
-    words, null and empty ones say too little and have none. Repeated items stay apart by their id.
+    words, null and empty ones say too little and have none. Where fewer than half of its windows
+    have the literals, or characters of scripts without blanks (two count as a word), an item has all
+    windows of its words as they are besides (`exact`): these hold verbatim and need no literals. Repeated items stay apart by their id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +158,20 @@ def item_templates(benchmark: DataFrame, window: int = 8, shortest: int = 4) ->
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, literals, slots = templates.canonical(text)
-                if len(hashes) < shortest:
-                    continue
-                width = min(window, len(hashes))
-                values, usable = templates.windows(hashes, literals, width)
+                hashes, literals, slots, exact = templates.canonical(text)
+                single = len(_CHARACTER.findall(text.lower()))
+                values, usable, width = np.zeros(0, np.uint64), np.zeros(0, bool), min(window, len(hashes))
+                if len(hashes) >= shortest:
+                    values, usable = templates.windows(hashes, literals, width)
+                if (single or 2 * usable.sum() < len(usable)) and 2 * len(exact) - single >= 2 * shortest:
+                    wide = min(window, len(exact))
+                    words = _verbatim(exact, wide)
+                    rows += [(item, v, b, wide, True, i, i, [], len(words)) for i, (v, b) in enumerate(zip(words.view(np.int64).tolist(), _bit(words).tolist(), strict=True))]
                 bits = _bit(values)
-                rows += [(item, int(values[i].view(np.int64)), int(bits[i]), width, i, rank, _slots(slots, i, width), int(usable.sum())) for rank, i in enumerate(np.nonzero(usable)[0].tolist())]
-            yield _batch(rows, ("item_id", "window", "bit", "width", "item_at", "item_rank", "item_slots", "n_windows"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _WINDOWS, pa.int32()))
+                rows += [(item, int(values[i].view(np.int64)), int(bits[i]), width, False, i, rank, _slots(slots, i, width), int(usable.sum())) for rank, i in enumerate(np.nonzero(usable)[0].tolist())]
+            yield _batch(rows, ("item_id", "window", "bit", "width", "exact", "item_at", "item_rank", "item_slots", "n_windows"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), _WINDOWS, pa.int32()))
 
-    kind = "item_id long, window long, bit int, width int, item_at int, item_rank int, item_slots array<struct<place: int, value: string>>, n_windows int"
+    kind = "item_id long, window long, bit int, width int, exact boolean, item_at int, item_rank int, item_slots array<struct<place: int, value: string>>, n_windows int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     return items.mapInArrow(cut, kind)
 
@@ -143,7 +181,7 @@ def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int, bool]]) -> DataFrame:
     """Windows of documents that may be templates, by the Bloom filter."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -152,15 +190,15 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> D
         for batch in batches:
             rows = []
             for doc, same, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                hashes, literals, slots = templates.canonical(text.as_py())
-                for width in widths:
-                    values, usable = templates.windows(hashes, literals, width)
+                hashes, literals, slots, words = templates.canonical(text.as_py())
+                for width, exact in widths:
+                    values, usable = (_verbatim(words, width), True) if exact else templates.windows(hashes, literals, width)
                     bit = _bit(values)
-                    usable &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    rows += [(doc, same, int(values[i].view(np.int64)), width, i, _slots(slots, i, width)) for i in np.nonzero(usable)[0].tolist()]
-            yield _batch(rows, ("doc_id", "same", "window", "width", "at", "slots"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _WINDOWS))
+                    usable = usable & ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+                    rows += [(doc, same, int(values[i].view(np.int64)), width, exact, i, [] if exact else _slots(slots, i, width)) for i in np.nonzero(usable)[0].tolist()]
+            yield _batch(rows, ("doc_id", "same", "window", "width", "exact", "at", "slots"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), _WINDOWS))
 
-    kind = "doc_id long, same long, window long, width int, at int, slots array<struct<place: int, value: string>>"
+    kind = "doc_id long, same long, window long, width int, exact boolean, at int, slots array<struct<place: int, value: string>>"
     return texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(cut, kind)
 
 
@@ -205,10 +243,10 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage
     bloom = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
     bits = templates.select("bit").distinct().toArrow()["bit"].to_numpy().astype(np.int64)  # at most 2 ** BLOOM_BITS
     np.bitwise_or.at(bloom, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-    widths = sorted(r["width"] for r in templates.select("width").distinct().collect())  # at most `window`
-    document = ["doc_id", "same", "item_id"]
+    widths = sorted((r["width"], r["exact"]) for r in templates.select("width", "exact").distinct().collect())  # at most `window` of either
+    document = ["doc_id", "same", "item_id", "exact"]
     alignments = (
-        document_windows(docs, bloom, widths).join(templates.drop("bit"), ["window", "width"])
+        document_windows(docs, bloom, widths).join(templates.drop("bit"), ["window", "width", "exact"])
         .groupBy(*document, "n_windows", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(  # no more rows than the item has windows
             F.array_sort(F.collect_set(F.struct("item_rank", "item_at", F.transform(
@@ -229,7 +267,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage
         .groupBy(*document, "n_windows", "item_at").agg(F.max("as_is").alias("as_is"), F.max("run").alias("run"), F.max("whole").alias("whole"))
         .groupBy(*document, "n_windows").agg(F.count("*").alias("n"), F.min("as_is").alias("as_is"), F.max("run").alias("run"), F.count_if("whole").alias("n_whole"))
         .where((F.col("n_whole") >= F.col("n_windows") * coverage) | (F.col("run") >= passage))
-        .select(*document, (F.col("n") / F.col("n_windows")).alias("covered"), F.col("as_is").alias("verbatim"))
+        .groupBy("doc_id", "same", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("covered"), F.max("as_is").alias("verbatim"))
     )
 
 

@@ -137,6 +137,16 @@ def test_one_conflict_does_not_hide_a_copy(spark):
     assert held(spark, [(1, " ".join(other)), (2, " ".join(both))], [" ".join(item)]) == {(1, 0), (2, 0)}
 
 
+def test_items_without_literals(spark):
+    sums, names = "Compute 12 + 7 * 3 - 4 / 2", "Name the capitals of France, Spain, Italy, Germany, Poland, Sweden and Norway"
+    han, kana, tiny = "一个农夫有十七只羊，除了九只以外都死了。还剩几只？", "東京から大阪までの距離は何キロですか", "什么是光"
+    items = [sums, names, han, kana, tiny]
+    docs = [(i, f"so: {x} and on") for i, x in enumerate(items)] + [
+        (10, f"他问：{han}我不知道。"), (11, "Compute 13 + 7 * 3 - 4 / 2"), (12, "We visit France, Spain, Italy and Greece."), (13, f"前文{kana[:6]}別の話です。"), (14, f"<p>{kana}</p>"), (15, f"a {sums.upper()}"),
+    ]
+    assert held(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (10, 2), (14, 3), (15, 0)}
+
+
 def spans(rows, column):
     return {r.doc_id: [(s.kind, s.start, s.end) for s in sorted(r[column])] for r in rows}
 
