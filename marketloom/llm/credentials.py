@@ -4,7 +4,8 @@ Three strong kinds stand on their own: an assignment to a secret's name, an acce
 hexadecimal number. Weak candidates mean something only together: an account or client id, a token
 that looks random, an endpoint. Each part reaches `reach` code points to either side; a weak part
 is reported if a part of another role lies in its reach. The join of these intervals looks at the
-nearest part of each role before and after only, so it is linear in the parts of a document.
+nearest part of each role that ends before and that starts after only, so it sorts the parts of a
+document and no more.
 """
 
 from __future__ import annotations
@@ -55,19 +56,23 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     # A match that fails leaves its document with a row.
     parts = parts.withColumn("kind", F.when((F.col("kind") != "assign") | (F.length(value) >= 12), F.col("kind")))
     parts = parts.withColumn("role", F.element_at(F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv)), F.col("kind")))
-    order = Window.partitionBy(*DOCUMENT).orderBy("start", "end", "kind")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # Each part is two events, its start and its end, so that parts that overlap do not hide those beside them.
+    events = F.array(*(F.struct(F.lit(x).alias("event"), F.col(x).alias("at")) for x in ("start", "end")))
+    parts = parts.select("*", F.inline(events))
+    document = Window.partitionBy(*DOCUMENT)
+    earlier, later = (document.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col("at").asc(), F.col("at").desc()))
     near = F.lit(False)
     for role in ("login", "secret", "endpoint"):
         other = F.col("role") != role
         # A part that lies inside another isn't one of two parts.
-        before = F.max(F.when(F.col("role") == role, F.col("end"))).over(earlier)
-        after = F.min(F.when(F.col("role") == role, F.col("start"))).over(later)
-        near = near | (other & (F.coalesce(F.col("start") - before, F.lit(2**31)).between(0, reach) | F.coalesce(after - F.col("end"), F.lit(2**31)).between(0, reach)))
+        before = F.max(F.when((F.col("role") == role) & (F.col("event") == "end"), F.col("at"))).over(earlier)
+        after = F.min(F.when((F.col("role") == role) & (F.col("event") == "start"), F.col("at"))).over(later)
+        gap = F.when(F.col("event") == "start", F.col("at") - before).otherwise(after - F.col("at"))
+        near = near | (other & F.coalesce(gap <= reach, F.lit(False)))
     strong = F.col("kind").isin(*_STRONG)
     span = F.struct("start", _rank(F.col("kind")).alias("rank"), "kind", "end")
     return parts.withColumn("near", near).groupBy(*DOCUMENT).agg(
-        F.collect_list(F.when(strong, span)).alias("base"), F.collect_list(F.when(~strong & F.col("near"), span)).alias("linked"),
+        F.collect_list(F.when(strong & (F.col("event") == "start"), span)).alias("base"), F.collect_set(F.when(~strong & F.col("near"), span)).alias("linked"),
     ).drop("_same")
 
 

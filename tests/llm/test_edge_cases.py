@@ -167,6 +167,13 @@ def test_secrets_are_linked(spark):
     assert credentials.digest(credentials.secrets(frame(spark, []))).count() == 0
 
 
+def test_overlapping_parts_hide_none(spark):
+    inside = "https://host.example/" + "0123456789" * 4
+    docs = [(1, f"{inside}, next: password = longsecretvalue"), (2, "https://a.example.org see https://h.org/user:ann.lee"), (3, f"{inside} alone")]
+    linked = spans(credentials.secrets(frame(spark, docs)).collect(), "linked")
+    assert linked[1] == [("endpoint", 0, 61)] and [s[0] for s in linked[2]] == ["endpoint", "login"] and linked[3] == []
+
+
 def test_personal_data(spark):
     docs = [(1, None), (2, ""), (3, "é a@b.c_d@e.ff, 1.2.3.4.5.6.7.256"), (4, "4111 1111 1111 1111 and +1 (136) 555-7479."), (None, "x@y.zz"), (5, "9" * 50_000), (5, "9" * 50_000), (6, "a" * 200_000)]
     docs += [(100 + i, f"Please call me, phone ({200 + i}) 555-{1000 + i}.") for i in range(30)] + [(200 + i, f"see version 1{i:02d}.555.{2000 + i}x build={300 + i}.555.{1000 + i}") for i in range(30)]
