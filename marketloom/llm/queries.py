@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam
+from . import audit, credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
@@ -117,5 +121,44 @@ FROM judged
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences)}
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL}
+AUDIT_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+), counted AS (
+  SELECT doc_id, part, text, len(words) AS n, len(list_distinct(words)) AS d
+  FROM (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM texts)
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    n < 200, 100 * d < 50 * n, 100 * length(regexp_replace(c.text, '[^A-Z]', '', 'g')) > 3 * length(c.text),
+    regexp_matches(c.text, '[#$%&*|]'), coalesce(f.first < c.doc_id, false)] AS fails
+  FROM counted c JOIN firsts f ON c.text = f.text LEFT JOIN marks m ON c.doc_id = m.doc_id
+), classes AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails
+), letters AS (SELECT unnest(range(1, 6)) AS f), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS turns FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), applied AS (
+  SELECT part, turns, step, turns[step] AS f, n, good, toxic, fails[turns[step]] AS fails_it,
+    list_contains([fails[t] FOR t IN turns[1 : step - 1]], true) AS gone, len([x FOR x IN fails IF x]) AS n_fails
+  FROM classes, orders, (SELECT unnest(range(1, 6)) AS step)
+), per_step AS (
+  SELECT part, turns, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails_it), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails_it), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails_it AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails_it), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND fails_it), 0)::BIGINT AS toxic_lost
+  FROM applied GROUP BY part, turns, step, f
+)
+SELECT part, array_to_string(['ABCDE'[t] FOR t IN turns], '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails,
+  good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM per_step
+"""
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences, op13_filter_audit)}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL, "op13_filter_audit": AUDIT_SQL}
