@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam
+from . import audit, credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam, substrings
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -121,6 +125,23 @@ FROM judged
 """
 
 
+SUBSTRING_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS passage FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY passage) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM again, (SELECT unnest(range(35)) AS k)
+), each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 AUDIT_SQL = """
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
@@ -160,5 +181,5 @@ SELECT part, array_to_string(['ABCDE'[t] FOR t IN turns], '') AS filter_order, s
 FROM per_step
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences, op13_filter_audit)}
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL, "op13_filter_audit": AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences, op12_substring_dedup, op13_filter_audit)}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL, "op12_substring_dedup": SUBSTRING_SQL, "op13_filter_audit": AUDIT_SQL}
