@@ -128,7 +128,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def read(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """Per row: hash of its words (`copy_a, copy_b`), their number, their SHA-256 joined by blanks, and the hashes (`grams`) at every place that is the smallest of a window."""
+    """Per row: hash of its words (`copy_a, copy_b`), their number, their SHA-256 joined by blanks, and the hashes (`grams`) at every place that is the smallest of a window, each twice at most."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(width, gram)
@@ -142,10 +142,16 @@ def read(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 # A place counts if it is the smallest of any window that lies in one text.
                 best = sliding(np.pad(np.where(inside, least, np.uint64(0)), span), span + 1, np.maximum)
                 places = np.flatnonzero(best == runs)
-                grams = runs[places].view(np.int64)
+                row = np.searchsorted(begins, places, side="right") - 1
+                by = np.lexsort((runs[places], row))
+                row, grams = row[by], runs[places][by].view(np.int64)
+                # Twice in one text says it all.
+                few = np.ones(len(row), bool)
+                few[2:] = (row[2:] != row[:-2]) | (grams[2:] != grams[:-2])
+                row, grams = row[few], grams[few]
             else:
-                places = grams = np.zeros(0, np.int64)
-            cuts = np.searchsorted(places, begins).astype(np.int32)
+                row = grams = np.zeros(0, np.int64)
+            cuts = np.searchsorted(row, np.arange(len(held) + 1)).astype(np.int32)
             joined = [b" ".join(w) for w in held]
             copies = [xxhash.xxh3_128_intdigest(x) for x in joined]
             yield pa.RecordBatch.from_arrays(
@@ -271,7 +277,8 @@ def repeated_runs(rows: DataFrame, docs: DataFrame, width: int, gram: int, crowd
     """`doc_id, same, runs` of one document of each group of equal words (`rows` of `read`): runs of words that occur again among these."""
     one = rows.groupBy(*_COPY).agg(F.min(F.struct(*_KEY, "grams")).alias("one")).select("one.*")
     members = materialise(one.select(*_KEY, F.explode("grams").alias("gram")))
-    shared = members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
+    # Written, so that a hash that very many texts hold can be split over tasks.
+    shared = materialise(members.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram"))
     wanted = members.join(shared, "gram", "left_semi").groupBy(*_KEY).agg(F.collect_set("gram").alias("wanted"))
     found = materialise(segments(keyed(docs).join(wanted, list(_KEY)), width, gram))
     contents = materialise(_contents(found))
