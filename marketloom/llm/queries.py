@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, credentials, decontaminate, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam, substrings
+from . import audit, credentials, decontaminate, hard_negatives, langid, licences, line_dedup, line_rules, order_minhash, packing, personal, quality_gam, substrings
 from .common import shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"))
 
@@ -125,6 +129,25 @@ FROM judged
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM (SELECT DISTINCT vec_id, label, embedding FROM embeddings)
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM rows a, rows r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 SUBSTRING_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -181,5 +204,5 @@ SELECT part, array_to_string(['ABCDE'[t] FOR t IN turns], '') AS filter_order, s
 FROM per_step
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences, op12_substring_dedup, op13_filter_audit)}
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL, "op12_substring_dedup": SUBSTRING_SQL, "op13_filter_audit": AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_decontamination, op4_secrets, op5_personal_data, op6_quality_gam, op7_order_minhash, op8_line_rules, op9_language_id, op10_licences, op11_hard_negatives, op12_substring_dedup, op13_filter_audit)}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_line_rules": LINE_RULES_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_substring_dedup": SUBSTRING_SQL, "op13_filter_audit": AUDIT_SQL}
