@@ -66,7 +66,8 @@ def failures(docs: DataFrame, part: str = "lang") -> DataFrame:
 
     judged = materialise(rows.mapInArrow(judge, "doc_id long, part string, fails int, copy binary"))
     # Texts that occur once are out of the join; a text that a third of all rows share is one row of its other side.
-    first = judged.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first")
+    # Written, so that the join can be split over tasks there.
+    first = materialise(judged.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("copy", "first"))
     later = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return judged.join(first, "copy", "left").select("doc_id", "part", F.when(later, F.col("fails").bitwiseOR(F.lit(_IDENTICAL))).otherwise(F.col("fails")).alias("fails"))
 

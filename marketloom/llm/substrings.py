@@ -333,10 +333,11 @@ def _found(docs: DataFrame, width: int, gram: int, crowded: int, shard_words: in
     """Rows as read, with their number of copies; and the texts that lose a part of their words."""
     rows = materialise(read(docs, width, gram))
     runs = materialise(repeated_runs(rows, docs, width, gram, crowded, shard_words))
-    copies = rows.groupBy(*_COPY).agg(F.count("*").alias("copies"))
-    rows = rows.drop("grams").join(copies, list(_COPY)).withColumn("whole", (F.col("copies") > 1) & (F.col("n_words") >= width))
+    # Written, so that a text that a third of all rows share can be split over tasks.
+    copies = materialise(rows.groupBy(*_COPY).agg(F.count("*").alias("copies")).where("copies > 1"))
+    rows = rows.drop("grams").join(copies, list(_COPY), "left").withColumn("whole", F.col("copies").isNotNull() & (F.col("n_words") >= width))
     # Texts that lose all are known; only the others are read again.
-    part = keyed(docs).join(runs, list(_KEY)).join(rows.where("copies = 1").select(*_KEY), list(_KEY), "left_semi")
+    part = keyed(docs).join(runs, list(_KEY)).join(rows.where("copies is null").select(*_KEY), list(_KEY), "left_semi")
     return rows, runs, without(part)
 
 
