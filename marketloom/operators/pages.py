@@ -44,13 +44,14 @@ def pending_links(links: DataFrame, landed: DataFrame, link: str, landed_link: s
 
 @dataclass(frozen=True)
 class Field:
-    """Text of the elements that match `selector`, the value of one of their attributes, or (`TAG`) their names."""
+    """Text of the elements that match `selector`, the value of one of their attributes, or their names (`TAG`) or which alternative of the selector they match (`WHICH`)."""
 
     selector: str
     attr: str | None = None
 
 
 TAG = ":tag"
+WHICH = ":which"
 _STEP = re.compile(r"^([a-z0-9\-]*)((?:[#.][\w\-]+)*)(?:\[([\w\-]+)(\*?)=([^\]]*)\])?$")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -78,14 +79,15 @@ def _fits(step: tuple, element: tuple) -> bool:
     return name is None or (own is not None and (value in own if substring else value == own))
 
 
-def _matches(chains: list[list[tuple]], stack: list[tuple]) -> bool:
-    for chain in chains:
+def _which(chains: list[list[tuple]], stack: list[tuple]) -> int | None:
+    """The first alternative that the innermost element matches."""
+    for n, chain in enumerate(chains):
         if not _fits(chain[-1], stack[-1]):
             continue
         above = iter(reversed(stack[:-1]))
         if all(any(_fits(step, e) for e in above) for step in reversed(chain[:-1])):
-            return True
-    return False
+            return n
+    return None
 
 
 class _Picker(HTMLParser):
@@ -102,13 +104,16 @@ class _Picker(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         self.stack.append((tag, values, set(values.get("class", "").split())))
         for name, (chains, attr) in self.fields.items():
-            if _matches(chains, self.stack):
+            which = _which(chains, self.stack)
+            if which is not None:
                 if attr is None:
                     # Reserve the place now, so that nested matches keep document order.
                     self.found[name].append("")
                     self.open.append((len(self.stack), name, len(self.found[name]) - 1, []))
                 elif attr == TAG:
                     self.found[name].append(tag)
+                elif attr == WHICH:
+                    self.found[name].append(str(which))
                 elif values.get(attr):
                     self.found[name].append(values[attr])
         if tag in _VOID:
@@ -151,7 +156,7 @@ class _RecordPicker(_Picker):
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
         element = (tag, values, set(values.get("class", "").split()))
-        if not self.inside and _matches(self.container, [*self.stack, element]):
+        if not self.inside and _which(self.container, [*self.stack, element]) is not None:
             self.inside = len(self.stack) + 1
             self.found = {name: [] for name in self.fields}
             self.records.append(self.found)
@@ -220,6 +225,7 @@ _WARRANTY = ", ".join(
     f"{dl}{part}" for dl in ("section.sds-page-section.warranty_section dl.fancy-description-list", "fuse-popover#cpo-popover dl") for part in ("", " dt", " dd")
 )
 _FEATURES = "div.highlight-feature, div.highlight-feature h3.features-spec-heading, div.highlight-feature li[data-qa=spec-value]"
+_BREAKDOWN = "section#consumer-reviews div.ratings-breakdown div.review-text, section#consumer-reviews div.ratings-breakdown div.review-text strong"
 LISTING_FIELDS = {
     "headline": Field("#vehicle-title"),
     "msrp": Field("div.msrp"),
@@ -242,22 +248,21 @@ LISTING_FIELDS = {
     "seller_images": Field("card-gallery.dealership-gallery img", "src"),
     "car_rating": Field("section#consumer-reviews div.rating-out-of span.rating-count"),
     "car_subtitle": Field("section#consumer-reviews div.subtitle"),
-    "breakdown": Field("section#consumer-reviews div.ratings-breakdown div.review-text"),
-    "breakdown_value": Field("section#consumer-reviews div.ratings-breakdown div.review-text strong"),
+    "breakdown": Field(_BREAKDOWN), "breakdown_kinds": Field(_BREAKDOWN, WHICH),
     "review_href": Field("fuse-button.review-btn-secondary[href*=write-a-review]", "href"),
 }
 # The block of one consumer review and its fields.
 REVIEW_BLOCK = "div.consumer-review-container"
+_PARTS = ".ratings-breakdown fuse-stack .review-text, .ratings-breakdown fuse-stack .review-text strong"
+_OLD_PARTS = ", ".join(f".review-breakdown--list li{part}" for part in ("", " .sds-definition-list__display-name", " .sds-definition-list__value"))
 REVIEW_FIELDS = {
     "rating": Field("fuse-rating, spark-rating", "rating"),
     "date": Field(".review-date"),
     "byline": Field(".review-byline div"),
     "author": Field(".author-details div"),
     "headline": Field("h3.title"),
-    "part": Field(".ratings-breakdown fuse-stack .review-text"),
-    "part_value": Field(".ratings-breakdown fuse-stack .review-text strong"),
-    "old_part": Field(".review-breakdown--list li .sds-definition-list__display-name"),
-    "old_value": Field(".review-breakdown--list li .sds-definition-list__value"),
+    "parts": Field(_PARTS), "part_kinds": Field(_PARTS, WHICH),
+    "old_parts": Field(_OLD_PARTS), "old_part_kinds": Field(_OLD_PARTS, WHICH),
     "clamp": Field("cars-line-clamp"),
     "feedback": Field("cars-line-clamp .review-feedback"),
     "body": Field("p.review-body"),
@@ -273,7 +278,7 @@ REVIEW_SLUG = r"([^/]+)/write-a-review"
 
 
 def _blocks(texts: str, tags: str, start: str) -> Column:
-    """Arrays of (text, tag) structs, one for each element `start` and what follows up to the next one."""
+    """Arrays of (text, tag) structs, one for each element `start` and what follows up to the next one; `tags` may be names or `WHICH`."""
     both = F.transform(F.arrays_zip(texts, tags), lambda x: F.struct(x[texts].alias("text"), x[tags].alias("tag")))
     at = F.filter(F.transform(tags, lambda tag, i: F.when(tag == start, i + 1)), lambda i: i.isNotNull())
     end = F.size(tags) + 1
@@ -304,16 +309,19 @@ def _nonempty(items: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
-def _labelled_numbers(texts: str, values: str) -> Column:
-    """Map label -> number from texts that hold the number and, besides it, the label."""
-    entries = F.transform(
-        F.arrays_zip(texts, values),
-        lambda e: F.struct(F.trim(F.replace(e[texts], e[values], F.lit(""))).alias("label"), e[values].alias("value")),
-    )
-    found = _map_of(F.filter(entries, lambda e: e["value"] != ""))
+def _numbers(entries: Column) -> Column:
+    """Map label -> number of the entries that have a value; a value that is no number is NULL."""
+    found = _map_of(F.filter(entries, lambda e: e["value"].isNotNull()))
     return F.transform_values(found, lambda _, v: v.try_cast("double"))
 
 
+def _labelled_numbers(texts: str, kinds: str) -> Column:
+    """Map label -> number from elements (kind 0) that hold the label and, in an element of their own (kind 1), the number."""
+    return _numbers(F.transform(_blocks(texts, kinds, "0"), lambda b: F.struct(
+        F.trim(F.replace(b[0]["text"], F.coalesce(_first_of(b, "1"), F.lit("")), F.lit(""))).alias("label"), _first_of(b, "1").alias("value")
+    )))
+
+
 def listing_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Selected fields of detail pages, with the review count read from the page text."""
     counted = pages.withColumn("review_count", patterns.review_count(F.col(html)))
@@ -327,9 +335,12 @@ def review_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     who = patterns.byline(F.coalesce(first("author"), F.get("byline", F.lit(1))))
     clamp = F.when(F.size("clamp") > 0, F.replace(F.get("clamp", F.lit(0)), F.coalesce(first("feedback"), F.lit("\u0000")), F.lit("")))
     text = F.nullif(F.coalesce(clamp, first("body")), F.lit(""))
-    parts = F.coalesce(_labelled_numbers("part", "part_value"), F.map_from_arrays(
-        F.when(F.size("old_part") > 0, F.array_distinct("old_part")), F.transform("old_value", lambda v: v.try_cast("double"))
+    # Label and value of one entry; an entry without either says nothing, and of equal labels the last counts.
+    old = _numbers(F.filter(
+        F.transform(_blocks("old_parts", "old_part_kinds", "0"), lambda b: F.struct(_first_of(b, "1").alias("label"), _first_of(b, "2").alias("value"))),
+        lambda e: e["label"].isNotNull(),
     ))
+    parts = F.coalesce(_labelled_numbers("parts", "part_kinds"), old)
     review = F.struct(
         first("rating").try_cast("double").alias("overall_rating"),
         F.coalesce(first("date"), first("byline")).alias("time"),
@@ -396,7 +407,7 @@ def listing_records(fields: DataFrame, key: str, site: str, images: int | None =
     car = F.struct(
         first("car_rating").try_cast("double").alias("car_rating"),
         F.col("review_count").alias("car_rating_count"),
-        _labelled_numbers("breakdown", "breakdown_value").alias("ratings"),
+        _labelled_numbers("breakdown", "breakdown_kinds").alias("ratings"),
         patterns.percentage(first("car_subtitle")).alias("percentage_recommend"),
         slug.alias("car_model"), urls.slug_brand(slug).alias("brand"), urls.slug_name(slug).alias("car_name"),
         car_link.alias("car_link"), F.concat(car_link, F.lit("consumer-reviews/?page_size=40")).alias("review_link"),

@@ -121,6 +121,28 @@ def item_similarity(t: Tables) -> DataFrame:
     return near.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("bigint")})
 
 
+_BOTS = f"""shoppers AS (SELECT * FROM ev UNION ALL
+  SELECT -item, b AS "user", item, CASE WHEN item % 4 = b % 4 THEN 'purchase' ELSE 'view' END, 0, TIMESTAMP '2024-01-20'
+  FROM items, (VALUES (-1), (-2)) bots(b) WHERE item BETWEEN CASE b WHEN -1 THEN 1 ELSE 501 END AND CASE b WHEN -1 THEN 1000 ELSE 1500 END)"""
+
+
+@query(f"""WITH {roles.INTERACTIONS}, {roles.ITEMS}, {_BOTS}, {_SIM.replace("FROM ev", "FROM shoppers")}
+SELECT item, neighbor, round(score, 6) AS score, rank FROM sim""")
+def bot_similarity(t: Tables) -> DataFrame:
+    """Item similarity with two bots among the users, who look at a thousand items each, half of them the same."""
+    item = F.col("item")
+    bots = roles.items(t).select("item", F.explode(F.array(F.lit(-1), F.lit(-2))).alias("user"))
+    bots = bots.filter(item.between(F.when(F.col("user") == -1, 1).otherwise(501), F.when(F.col("user") == -1, 1000).otherwise(1500)))
+    seen = bots.select(
+        (-item).alias("event_id"), F.col("user").cast("bigint").alias("user"), "item",
+        F.when(item % 4 == F.col("user") % 4, "purchase").otherwise("view").alias("kind"), F.lit(0.0).alias("score"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("ts"),
+    )
+    near = similarity.item_similarity(
+        roles.interactions(t).unionByName(seen), "user", "item", "kind", "ts", roles.as_of(), roles.WEIGHTS, CFG.time_decay_lambda, CFG.lookback_days, 50,
+    )
+    return near.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("bigint")})
+
+
 @query(f"""WITH {_vector_sql(10)} SELECT seed AS query, item AS id, round(score, 6) AS score, n AS rank FROM vn""")
 def vector_neighbors(t: Tables) -> DataFrame:
     e = _embeddings(t)

@@ -251,19 +251,32 @@ def listing_pages(t: Tables) -> DataFrame:
 
 @query("""
 SELECT doc_id AS id, CAST(1 + doc_id % 5 AS DOUBLE) AS rating, '5/' || (1 + doc_id % 28) || '/2023' AS time, lang AS author, source AS place,
-  CASE WHEN doc_id % 3 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || source END AS body
+  CASE WHEN doc_id % 3 <> 0 THEN source END AS title, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || source END AS body,
+  CASE WHEN doc_id % 5 = 0 THEN 4.5 WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 4 AS DOUBLE) END AS comfort,
+  CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 7 AS DOUBLE) END AS value
 FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
 def review_pages(t: Tables) -> DataFrame:
-    """Pages of reviews, of which those without title and text are none."""
+    """Pages of reviews, of which those without title and text are none.
+
+    A breakdown of the old kind has a label twice, of which the last counts, one without a value, and one whose value is no number.
+    """
     key = F.col("doc_id")
+    name, value = '<li><span class="sds-definition-list__display-name">{}</span>', '<span class="sds-definition-list__value">'
+    old = F.concat(
+        F.lit('<ul class="review-breakdown--list">' + name.format("Comfort") + value + "1</span></li>" + name.format("Style") + "</li>" + name.format("Value") + value),
+        key % 7, F.lit("</span></li>" + name.format("Comfort") + value), F.when(key % 4 == 3, "good").otherwise((key % 4).cast("string")), F.lit("</span></li></ul>"),
+    )
+    new = F.lit('<div class="ratings-breakdown"><fuse-stack><div class="review-text">Style</div></fuse-stack><fuse-stack><div class="review-text">Comfort <strong>4.5</strong></div></fuse-stack></div>')
     html = F.concat(
         F.lit('<div class="consumer-review-container"><fuse-rating rating="'), 1 + key % 5, F.lit('"></fuse-rating><div class="review-date">5/'), 1 + key % 28,
         F.lit('/2023</div><div class="author-details"><div>By '), F.col("lang"), F.lit(" from "), F.col("source"), F.lit("</div></div>"),
         F.when(key % 3 != 0, F.concat(F.lit('<h3 class="title">'), F.col("source"), F.lit("</h3>"))).otherwise(""),
-        F.when(key % 2 == 0, F.concat(F.lit('<p class="review-body">'), F.col("lang"), F.lit(" "), F.col("source"), F.lit("</p>"))).otherwise(""), F.lit("</div>"),
+        F.when(key % 2 == 0, F.concat(F.lit('<p class="review-body">'), F.col("lang"), F.lit(" "), F.col("source"), F.lit("</p>"))).otherwise(""),
+        F.when(key % 5 == 0, new).otherwise(old), F.lit("</div>"),
     )
     got = pages.review_records(t.documents.select(key.alias("id"), html.alias("html")), "id", "html")
     return got.select(
         "id", F.col("review.overall_rating").alias("rating"), F.col("review.time").alias("time"), F.col("review.user_name").alias("author"),
         F.col("review.from").alias("place"), F.col("review.title").alias("title"), F.col("review.review").alias("body"),
+        F.col("review.ratings_breakdown.Comfort").alias("comfort"), F.col("review.ratings_breakdown.Value").alias("value"),
     )
