@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sessions
 from ..session import checkpoint_dir
-from ..streaming import jobs
+from ..streaming import jobs, timelines
 from . import roles
 from .queries_load import _CURRENT_SQL, _CUT, _LINES, _VERSION
 from .registry import Tables, query
@@ -150,14 +150,28 @@ def streamed_latest(t: Tables) -> DataFrame:
     return jobs.read_current(t.spark, out)
 
 
-@query("""
+_HISTORY = """
 WITH p AS (SELECT l_partkey, l_returnflag, l_quantity, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
   lag(l_quantity) OVER w AS q, lag(l_returnflag) OVER w AS f, row_number() OVER w AS n FROM lineitem
   WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice))
-SELECT * EXCLUDE (q, f, n) FROM p WHERE n = 1 OR l_quantity IS DISTINCT FROM q OR l_returnflag IS DISTINCT FROM f""")
+SELECT * EXCLUDE (q, f, n) FROM p WHERE n = 1 OR l_quantity IS DISTINCT FROM q OR l_returnflag IS DISTINCT FROM f"""
+
+
+@query(_HISTORY)
 def streamed_changes(t: Tables) -> DataFrame:
     """Two drains of one stream, whose log is that of the whole history."""
     out, progress = _folders(t, "changes")
     for stream in _two_arrivals(t, f"{out}-in", early_first=True):
         jobs.log_changes(stream, "l_partkey", ["l_quantity", "l_returnflag"], _VERSION, out, progress)
     return jobs.read_log(t.spark, out).drop("batch")
+
+
+@query(_HISTORY)
+def streamed_timelines(t: Tables) -> DataFrame:
+    """Five arrivals of lines dealt by hash, so that most come late; the log is that of the whole history."""
+    out, progress = _folders(t, "timelines")
+    lines = t.lineitem.select(*_LINES)
+    for n in range(5):
+        lines.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == n).write.mode("append").parquet(f"{out}-in")
+        timelines.log_timelines(jobs.parquet_stream(t.spark, f"{out}-in", lines.schema), "l_partkey", ["l_quantity", "l_returnflag"], _VERSION, out, progress)
+    return timelines.read_timelines(t.spark, out)
