@@ -36,6 +36,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*steps: DataFrame | None) -> None:
+    """Delete what `materialise` wrote for these frames; nothing may read them any more."""
+    for step in steps:
+        if step is not None:
+            context = step.sparkSession.sparkContext
+            for folder in {f.rsplit("/", 1)[0] for f in step.inputFiles()}:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                if path.getName().startswith("step-"):
+                    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder of this run below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -3,25 +3,25 @@
 A document is its sequence of five-word shingles, each labelled with its occurrence. A sketch takes
 the `pick` smallest labelled shingles under a hash and keeps them in text order, so that it agrees
 for texts that agree in content and in order. Documents that share one of `sketches` sketches are
-candidates; a banded alignment of their shingles verifies them: what lies in both in the same order,
-over what lies in either, must reach `similarity`. The band is as wide as a pair that reaches it
-can need, so it loses nothing.
+candidates; a banded alignment of their words verifies them: the words that lie in both in the same order,
+over those that lie in either, must reach `similarity`. One changed word costs one word there, not the five shingles that
+hold it. The band is as wide as a pair that reaches it can need, so it loses nothing.
 
-Before two texts are aligned, the parities of their shingles in 1024 cells give a lower bound of how
-many shingles are in one of them only; a pair that this bound rules out goes no further.
+Before two texts are aligned, the parities of their words in 1024 cells give a lower bound of how
+many words are in one of them only; a pair that this bound rules out goes no further.
 
-Copies collapse first. Within a bucket of equal sketches nobody meets everybody: for `rounds` rounds
+Copies collapse first. Only buckets of equal sketches with several members are kept, as pairs of bucket and
+document; sizes, parities and words are joined to the pairs that are left. Within a bucket nobody meets everybody: for `rounds` rounds
 each member meets one hub of its bucket, and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
 compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
-similarity costs a comparison of parities for each pair of a bucket, inside the join.
+similarity costs a comparison of parities for each pair of a bucket, inside a join that deals the bucket to many tasks.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, materialise, texts
+from .common import Cache, forget, materialise, texts
 from .words import Numbered, blocks
 
 _STEP = np.uint64(0x100000001B3)
@@ -103,9 +103,9 @@ def sketch(shingles: np.ndarray, sketches: int, pick: int) -> np.ndarray:
     return out
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Of each of 1024 cells, whether an odd number of shingles lies in it, as 16 numbers."""
-    cells = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+def parity(words: np.ndarray) -> np.ndarray:
+    """Of each of 1024 cells, whether an odd number of words lies in it, as 16 numbers."""
+    cells = np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
@@ -122,8 +122,8 @@ def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
     return docs.withColumn(name, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), same.alias("same")))
 
 
-def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5) -> DataFrame:
-    """`key` (id and hash of the text), hash of the words (`copy_a`, `copy_b`), number of shingles `n`, their `parity`, and the `sketches`."""
+def sketched(docs: DataFrame, sketches: int = 32, pick: int = 3, width: int = 5) -> DataFrame:
+    """`key` (id and hash of the text), hash of the words (`copy_a`, `copy_b`), their number `n`, their `parity`, and the `sketches`."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
@@ -134,8 +134,8 @@ def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5)
                 digest = xxhash.xxh3_128_intdigest(words.tobytes())
                 a.append((digest >> 64) - 2**63)
                 b.append((digest & 2**64 - 1) - 2**63)
-                n.append(len(own))
-                odd.append(parity(own))
+                n.append(len(words))
+                odd.append(parity(words))
                 found.append(sketch(own, sketches, pick).view(np.int64) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, _LONGS), pa.array(found, _LONGS)],
@@ -146,39 +146,68 @@ def sketched(docs: DataFrame, sketches: int = 14, pick: int = 3, width: int = 5)
     return keyed(texts(docs)).select("key.doc_id", "key.same", "text").mapInArrow(compute, kind).select(F.struct("doc_id", "same").alias("key"), "copy_a", "copy_b", "n", "parity", "sketches")
 
 
+def word_arrays(docs: DataFrame) -> DataFrame:
+    """`rep` and the `words` of the texts as 32-bit hashes, in bytes."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for batch in batches:
+            words = [(shingles.words(text.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["rep", "words"])
+
+    return docs.select("rep", "text").mapInArrow(compute, f"rep {_KEY}, words binary")
+
+
+def common(a: list[int], b: list[int], band: int) -> int:
+    """How many words lie in both in the same order, no two of them more than `band` places apart.
+
+    Bit-parallel: of the places of `a` near the current one of `b`, a 0 stands where the longest common part gets longer.
+    """
+    where: dict[int, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    width = 2 * band + 1
+    whole = (1 << width) - 1
+    now, low, found = whole, 0, 0
+    for i, word in enumerate(b):
+        if i - band > low:  # the lowest place leaves the band
+            low += 1
+            found += 1 - (now & 1)
+            now = now >> 1 | 1 << (width - 1)
+        met = where.get(word, 0) >> low & whole & now
+        if met:
+            now = (now + met | now - met) & whole
+    return found + width - now.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
-    """Shingles in both and in the same order over shingles in either; 0 where it surely is below `similarity`."""
-    least = similarity / (1 + similarity) * (len(a) + len(b))
-    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(common) < least - 1e-9:
+    """Words in both and in the same order over words in either; 0 where it surely is below `similarity`."""
+    total = len(a) + len(b)
+    apart = int(total * (1 - similarity) / (1 + similarity) + 1e-9)  # words in one only, at most
+    if abs(len(a) - len(b)) > apart or not total:
         return 0.0
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    j = j[np.abs(i - j) <= max(len(a), len(b)) - least + 1e-9]  # the band
-    if not (np.diff(j) > 0).all():  # the longest part in the same order
-        tails: list[int] = []
-        for x in j.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        m = len(tails)
-    else:
-        m = len(j)
-    return m / (len(a) + len(b) - m)
-
-
-def verified(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """The pairs `a, b` of `bodies` (`rep, text`) whose alignment reaches `similarity`."""
-    left, right = bodies.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), bodies.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1])
+    tail = int(differ[0]) if len(differ) else short - head
+    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    # What the longer middle has more of can't be in both, so it is no reason to look further aside.
+    m = head + tail + (common(x, y, min(apart, max(len(x), len(y)))) if x and y else 0)
+    return m / (total - m)
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs `a, b` of `bodies` (`rep, words`) whose alignment reaches `similarity`."""
+    left, right = (bodies.select(F.col("rep").alias(c), F.col("words").alias(f"words_{c}")) for c in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
+        array = lambda x: np.frombuffer(x.as_py(), np.uint32)
         for batch in batches:
-            # A hub comes again and again; a few are kept.
-            known = Cache(lambda text: shingles(text)[1], 64)
-            keep = [aligned(known[x.as_py()], known[y.as_py()], similarity) >= similarity - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [aligned(array(x), array(y), similarity) >= similarity - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {_KEY}, b {_KEY}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(compare, f"a {_KEY}, b {_KEY}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,10 +217,12 @@ def components(links: DataFrame) -> DataFrame:
     and what points to one node becomes one node. Ties are broken by an order that changes with the
     round, so that a path shrinks as fast as a star.
     """
-    steps, edges = [], links.select("a", "b").distinct()
+    steps, edges, before = [], links.select("a", "b").distinct(), None
     turn = 0
     while True:
         both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        forget(before)
+        before = both
         if both.isEmpty():
             break
         degree = both.groupBy("a").agg(F.count("*").alias("degree"))
@@ -222,48 +253,73 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return classes(docs, **options).select(given("key").alias("doc_id"), given("class").alias("class_id"), given("rep").alias("copy_of"))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 14, pick: int = 3, width: int = 5, rounds: int = 2) -> DataFrame:
-    """`key, class, rep` for every row: the id and text hash of its document, and the smallest of its class and of its copies."""
+def _not_apart(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs `a, b` that `facts` (`rep, n, parity`) leave room for."""
+    left, right = facts.select(F.col("rep").alias("a"), "n", "parity"), facts.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    return pairs.join(left, "a").join(right, "b").where(may_reach(similarity)).select("a", "b")
+
+
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick: int = 3, width: int = 5, rounds: int = 2, crowd: int = 256) -> DataFrame:
+    """`key, class, rep` for every row: the id and text hash of its document, and the smallest of its class and of its copies.
+
+    In the last round a bucket is dealt out in parts of about `crowd` members.
+    """
     docs = texts(docs)
     rows = materialise(sketched(docs, sketches, pick, width))
-    reps = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min(F.struct("key", "n", "parity", "sketches")).alias("one")))
-    reps = reps.select("copy_a", "copy_b", F.col("one.key").alias("rep"), "one.n", "one.parity", "one.sketches")
+    # Written, so that a text that a third of all rows share can be split over tasks.
+    copies = materialise(rows.groupBy("copy_a", "copy_b").agg(F.min("key").alias("rep")))
+    facts = rows.select("key", "n", "parity", "sketches").join(copies.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    facts = materialise(facts.withColumnRenamed("key", "rep"))
     # A bucket is a sketch and its number; those of one member say nothing.
-    members = reps.select("rep", "n", "parity", "sketches", F.posexplode("sketches").alias("k", "value")).withColumn("bucket", F.xxhash64("k", "value")).drop("value")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(members.join(shared.select("bucket"), "bucket", "left_semi"))
+    members = facts.select("rep", F.posexplode("sketches").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("bucket"))
+    shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"))
+    members = materialise(members.join(shared, "bucket", "left_semi"))
     wanted = materialise(members.select("rep").distinct())
-    bodies = materialise(keyed(docs, "rep").select("rep", "text").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
+    bodies = materialise(word_arrays(keyed(docs, "rep").select("rep", "text").join(wanted, "rep", "left_semi")).dropDuplicates(["rep"]))
+    known = materialise(facts.join(wanted, "rep", "left_semi"))
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
     done = None
     for turn in range(rounds + 1):
-        now = members.join(labels.withColumnRenamed("node", "rep"), "rep")
+        now = materialise(members.join(labels.withColumnRenamed("node", "rep"), "rep"))
+        by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+        steps = [now]
         if turn < rounds:
-            hub = now.groupBy("bucket").agg(
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root", "parity")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")
-            ).where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.root").alias("root_b"), F.col("hub.parity").alias("parity_b"))
-            met = now.join(materialise(hub), "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity))
+            hub = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+            hub = materialise(hub.where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.root").alias("root_b")))
+            met = now.join(hub, "bucket").where("root <> root_b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            steps.append(hub)
+            pairs = met if done is None else met.join(done, ["a", "b"], "left_anti")
+            pairs = _not_apart(pairs, known, similarity)
         else:
-            by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-            largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("top.root").alias("top"))
-            outside = materialise(now.join(largest, "bucket"))
-            apart = outside.where("root <> top").select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("sketches").alias("sketches_b"))
+            largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes"), F.sum("size").alias("size"))
+            largest = materialise(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
+            outside = materialise(now.join(largest, "bucket").join(known, "rep"))
+            # A bucket of many is dealt out: one side by hash, the other to each part.
+            dealt = outside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            apart = outside.where("root <> top").select(
+                "bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("sketches").alias("sketches_b"),
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+            )
+            steps += [largest, outside]
             # Two members meet in the first bucket they share, and two outside the largest class meet once there.
-            first = reduce(lambda a, b: a & b, ((F.col("k") <= i) | (F.get("sketches", F.lit(i)) != F.get("sketches_b", F.lit(i))) for i in range(sketches)))
-            met = outside.join(apart, "bucket").where((F.col("root") != F.col("root_b")) & may_reach(similarity) & first & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))))
-        pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        done = pairs if done is None else done.unionByName(pairs)
-        found = verified(pairs, bodies, similarity, width)
+            shares = [F.get("sketches", F.lit(i)) == F.get("sketches_b", F.lit(i)) for i in range(sketches)]
+            first = reduce(lambda other, i: F.when(shares[i], F.xxhash64(F.lit(i), F.get("sketches", F.lit(i)))).otherwise(other), reversed(range(sketches)), F.lit(None).cast("bigint"))
+            met = dealt.join(apart, ["bucket", "part"]).where((F.col("root") != F.col("root_b")) & may_reach(similarity) & ((F.col("root") == F.col("top")) | (F.col("rep") < F.col("b"))) & (F.col("bucket") == first))
+            pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        found = materialise(verified(pairs, bodies, similarity))
         ends = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))  # noqa: B023, E731
-        merged = components(materialise(found).join(ends("a", "root_a"), "a").join(ends("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        labels = materialise(
-            labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
-    whole = reps.select("copy_a", "copy_b", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        merged = components(found.join(ends("a", "root_a"), "a").join(ends("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        before = labels
+        labels = materialise(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        done = pairs if done is None else done.unionByName(pairs)
+        forget(*steps, found, *([before] if turn else []))
+    forget(members, shared, known, bodies, facts)
+    whole = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = whole.groupBy("root").agg(F.min("rep").alias("class"))
-    named = materialise(whole.join(least, "root"))
-    return rows.join(named, ["copy_a", "copy_b"]).select("key", "class", "rep")
+    named = materialise(whole.join(least, "root").select("copy_a", "copy_b", "class", "rep"))
+    return rows.select("key", "copy_a", "copy_b").join(named, ["copy_a", "copy_b"]).select("key", "class", "rep")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -205,17 +205,42 @@ def test_near_duplicates(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
     edited = [*words[:150], "other", *words[151:]]
-    far = [w if rng.random() < 0.9 else "z" + w for w in words]
+    near = [w if rng.random() < 0.9 else "z" + w for w in words]
+    far = [w if rng.random() < 0.8 else "z" + w for w in words]
     moved = words[150:] + words[:150]
-    docs = [(5, " ".join(words)), (3, " ".join(edited)), (9, " ".join(words).upper() + "\n"), (4, " ".join(far)), (8, None), (7, ""), (None, "one two three"), (6, "one two three"), (2, "one  two"), (6, "one two three"), (1, "a b " * 40_000)]
+    docs = [(5, " ".join(words)), (3, " ".join(edited)), (9, " ".join(words).upper() + "\n"), (4, " ".join(far)), (10, " ".join(near)), (8, None), (7, ""), (None, "one two three"), (6, "one two three"), (2, "one  two"), (6, "one two three"), (1, "a b " * 40_000)]
     got = {r.doc_id: (r.class_id, r.copy_of) for r in order_minhash.near_duplicates(frame(spark, docs)).collect()}
-    assert got == {5: (3, 5), 3: (3, 3), 9: (3, 5), 4: (4, 4), 8: (7, 7), 7: (7, 7), None: (None, None), 6: (None, None), 2: (2, 2), 1: (1, 1)}
+    assert got == {5: (3, 5), 3: (3, 3), 9: (3, 5), 4: (4, 4), 10: (3, 10), 8: (7, 7), 7: (7, 7), None: (None, None), 6: (None, None), 2: (2, 2), 1: (1, 1)}
     one = order_minhash.one_of_each(frame(spark, docs))
     assert one.columns == frame(spark, docs).columns and sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 2, 3, 4, 7]
     assert order_minhash.near_duplicates(frame(spark, [])).count() == 0
     # What lies in both in another order counts once for the order that holds most.
-    a, b = (order_minhash.Shingles()(" ".join(x))[1] for x in (words, moved))
-    assert order_minhash.aligned(a, b, 0.3) == pytest.approx(146 / (296 * 2 - 146), abs=0.02)
+    a, b = (order_minhash.Shingles()(" ".join(x))[0] for x in (words, moved))
+    assert order_minhash.aligned(a, b, 0.3) == pytest.approx(150 / (300 * 2 - 150))
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_of_words():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.randrange(rng.choice([2, 5, 90])) for _ in range(rng.randrange(60))]
+        b = [x for x in a if rng.random() < rng.choice([0.7, 0.95, 1])]
+        for _ in range(rng.randrange(6)):
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(90))
+        m = longest_common(a, b)
+        want = m / (len(a) + len(b) - m) if a or b else 0.0
+        assert order_minhash.common(a, b, 70) == m
+        for least in (0.5, 0.8, 0.95):
+            got = order_minhash.aligned(np.array(a, np.uint32), np.array(b, np.uint32), least)
+            assert (got >= least - 1e-9) == (want >= least - 1e-9) and (got < least - 1e-9 or got == pytest.approx(want))
 
 
 def test_texts_of_one_id_stay_apart(spark):
