@@ -12,7 +12,7 @@ many words are in one of them only; a pair that this bound rules out goes no fur
 
 Copies collapse first. Only buckets of equal sketches with several members are kept, as pairs of bucket and
 document; sizes, parities and words are joined to the pairs that are left. Within a bucket nobody meets everybody: for `rounds` rounds
-each member meets one hub of its bucket, and links join classes. Then a member outside the largest
+each member meets one of its buckets' hubs, and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
 compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
 similarity costs a comparison of parities for each pair of a bucket, inside a join that deals the bucket to many tasks.
@@ -273,10 +273,11 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
     # A bucket is a sketch and its number; those of one member say nothing.
     members = facts.select("rep", F.posexplode("sketches").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("bucket"))
     shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"))
-    members = materialise(members.join(shared, "bucket", "left_semi"))
+    # Merged at every size, so that a small corpus shows what a large one costs.
+    members = materialise(members.join(shared.hint("merge"), "bucket", "left_semi"))
     wanted = materialise(members.select("rep").distinct())
-    bodies = materialise(word_arrays(keyed(docs, "rep").select("rep", "text").join(wanted, "rep", "left_semi")).dropDuplicates(["rep"]))
-    known = materialise(facts.join(wanted, "rep", "left_semi"))
+    bodies = materialise(word_arrays(keyed(docs, "rep").select("rep", "text").join(wanted.hint("merge"), "rep", "left_semi")).dropDuplicates(["rep"]))
+    known = materialise(facts.join(wanted.hint("merge"), "rep", "left_semi"))
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
     done = None
     for turn in range(rounds + 1):
@@ -286,7 +287,9 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
         if turn < rounds:
             hub = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
             hub = materialise(hub.where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.root").alias("root_b")))
-            met = now.join(hub, "bucket").where("root <> root_b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            # A member meets the hub with which it shares most buckets, so a round makes no more pairs than there are members.
+            met = now.join(hub, "bucket").where("root <> root_b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
+            met = met.groupBy("rep").agg(F.max(F.struct("shared", "b")).alias("most")).select(F.least("rep", "most.b").alias("a"), F.greatest("rep", "most.b").alias("b")).distinct()
             steps.append(hub)
             pairs = met if done is None else met.join(done, ["a", "b"], "left_anti")
             pairs = _not_apart(pairs, known, similarity)
@@ -317,7 +320,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
         forget(*steps, found, *([before] if turn else []))
     forget(members, shared, known, bodies, facts)
     whole = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("class"))
+    least = materialise(whole.groupBy("root").agg(F.min("rep").alias("class")))
     named = materialise(whole.join(least, "root").select("copy_a", "copy_b", "class", "rep"))
     return rows.select("key", "copy_a", "copy_b").join(named, ["copy_a", "copy_b"]).select("key", "class", "rep")
 
