@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, latest
 from ..session import checkpoint_dir
 from ..sources import landing, tables
+from ..sources.versions import VersionedTable
 from .registry import Tables, query
 
 
@@ -146,6 +147,22 @@ def merged_rows(t: Tables) -> DataFrame:
     return tables.merge_by_key(old, new, ["l_partkey"], keep=["first_seen"])
 
 
+@query(f"""
+WITH o AS ({_OLD_SQL}), n AS ({_NEW_SQL}), late AS (SELECT * FROM n WHERE l_partkey % 50 = 7),
+r AS (SELECT * FROM late UNION ALL SELECT * FROM o WHERE l_partkey NOT IN (SELECT l_partkey FROM late))
+SELECT coalesce(n.l_partkey, r.l_partkey) AS l_partkey, CASE WHEN n.l_partkey IS NULL THEN r.l_quantity ELSE n.l_quantity END AS l_quantity,
+  CAST(CASE WHEN r.l_partkey IS NULL THEN n.l_shipdate ELSE r.l_shipdate END AS DATE) AS first_seen
+FROM r FULL JOIN n ON r.l_partkey = n.l_partkey""")
+def versioned_rows(t: Tables) -> DataFrame:
+    """A table that is written whole, then has a few keys replaced, then all new ones merged; three versions."""
+    old, new = (df.select("l_partkey", "l_quantity", F.col("l_shipdate").cast("date").alias("first_seen")) for df in _split(t))
+    table = VersionedTable(t.spark, _scratch(t, "versions"), ["l_partkey"])
+    table.refresh(old)
+    table.replace(new.filter(F.col("l_partkey") % 50 == 7))
+    table.merge(new, keep=["first_seen"])
+    return table.read()
+
+
 @query("""
 SELECT event_id, ts > (SELECT max(ts) FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-20') AS past_mark
 FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-20')""")

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..config import RecoConfig
 from ..operators import changes, quality, rollups, similarity, text
+from ..operators.latest import latest_per_key
+from ..session import cut_lineage
 from ..sources import landing, tables
+from ..sources.versions import VersionedTable
 from . import marketplace
 
 
@@ -32,6 +35,10 @@ class Warehouse:
     def price_history(self) -> str:
         return f"{self.root}/price_history"
 
+    @property
+    def last_prices(self) -> str:
+        return f"{self.root}/last_prices"
+
     def mart(self, name: str, run_id: str) -> str:
         return f"{self.root}/{name}/run={run_id}"
 
@@ -72,16 +79,23 @@ def build_marts(spark: SparkSession, house: Warehouse, run_id: str, before: str
 
 
 def append_changes(spark: SparkSession, house: Warehouse, core: marketplace.Core, run_id: str, load_time: Column) -> None:
-    """Append changed prices, mileages and states to the month partitions of the log.
+    """Append changed prices, mileages and states to the log, in folders by month and run.
 
-    A repeated run finds its own rows in the log and adds none.
+    The last logged row per vehicle lies in a table of its own, so the log is written and not read. A run
+    that is repeated overwrites its own folders of the log: the table of last rows changes after the log.
     """
-    state = marketplace.price_state(core)
-    log = tables.read_or_none(spark, house.price_history)
-    tracked = ["price", "mileage", "status"]
-    grown = state if log is None else changes.change_log_increment(state, log, "vin", tracked)
-    grown = grown.withColumns({"inserted_at": load_time, "run_id": F.lit(run_id)})
-    tables.append_partitioned(grown, house.price_history, F.col("crawl_date"))
+    tracked, order = ["price", "mileage", "status"], [F.col("crawl_date").desc_nulls_last(), F.col("inserted_at").desc()]
+    last = VersionedTable(spark, house.last_prices, ["vin"])
+    if not last.versions():
+        log = tables.read_or_none(spark, house.price_history)
+        if log is not None:  # a log from before there was such a table
+            last.refresh(latest_per_key(log, ["vin"], order).drop("month"))
+    known, state = last.read(), marketplace.price_state(core)
+    grown = state if known is None else changes.change_log_increment(state, known, "vin", tracked)
+    grown = cut_lineage(grown.withColumns({"inserted_at": load_time, "run_id": F.lit(run_id)}))
+    months = grown.withColumn("month", F.date_format("crawl_date", "yyyy-MM")).hint("rebalance", F.col("month"))
+    months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "run_id").parquet(house.price_history)
+    last.change(grown, lambda old, new: latest_per_key(old.unionByName(new), ["vin"], order))
 
 
 def refresh_rollups(spark: SparkSession, house: Warehouse, run_id: str, events: DataFrame, as_of: Column, cfg: RecoConfig) -> None:
