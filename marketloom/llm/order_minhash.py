@@ -12,7 +12,7 @@ many words are in one of them only; a pair that this bound rules out goes no fur
 
 Copies collapse first. Only buckets of equal sketches with several members are kept, as pairs of bucket and
 document; sizes, parities and words are joined to the pairs that are left. Within a bucket nobody meets everybody: for `rounds` rounds
-each member meets one of its buckets' hubs, and links join classes. Then a member outside the largest
+the members outside the largest class of their buckets meet a few hubs (1, 4, 16, ...), and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
 compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
 similarity costs a comparison of parities for each pair of a bucket, inside a join that deals the bucket to many tasks.
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Cache, forget, materialise, texts
 from .words import Numbered, blocks
@@ -259,7 +260,7 @@ def _not_apart(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(may_reach(similarity)).select("a", "b")
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick: int = 3, width: int = 5, rounds: int = 2, crowd: int = 256) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick: int = 3, width: int = 5, rounds: int = 4, crowd: int = 256) -> DataFrame:
     """`key, class, rep` for every row: the id and text hash of its document, and the smallest of its class and of its copies.
 
     In the last round a bucket is dealt out in parts of about `crowd` members.
@@ -283,27 +284,33 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
     for turn in range(rounds + 1):
         now = materialise(members.join(labels.withColumnRenamed("node", "rep"), "rep"))
         by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        steps = [now]
+        largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes"), F.sum("size").alias("size"))
+        largest = materialise(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
+        # Buckets of one class are done with.
+        before, members = members, materialise(now.join(largest, "bucket"))
+        forget(before, now, largest)
+        outside = members.where("root <> top")
         if turn < rounds:
-            hub = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-            hub = materialise(hub.where("low <> high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.root").alias("root_b")))
-            # A member meets the hub with which it shares most buckets, so a round makes no more pairs than there are members.
-            met = now.join(hub, "bucket").where("root <> root_b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
-            met = met.groupBy("rep").agg(F.max(F.struct("shared", "b")).alias("most")).select(F.least("rep", "most.b").alias("a"), F.greatest("rep", "most.b").alias("b")).distinct()
-            steps.append(hub)
+            # Four times as many hubs as in the round before, for fewer and fewer members; a member takes those with which it shares most buckets.
+            hubs = 4**turn
+            by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+            hub = members.select("bucket", "rep", "root").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= hubs)
+            hub = materialise(hub.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b")))
+            met = outside.join(hub, "bucket").where("root <> root_b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
+            met = met.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("shared"), "b"))).where(F.col("place") <= hubs)
+            met = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            steps = [hub]
             pairs = met if done is None else met.join(done, ["a", "b"], "left_anti")
             pairs = _not_apart(pairs, known, similarity)
         else:
-            largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes"), F.sum("size").alias("size"))
-            largest = materialise(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
-            outside = materialise(now.join(largest, "bucket").join(known, "rep"))
+            full = materialise(members.join(known, "rep"))
             # A bucket of many is dealt out: one side by hash, the other to each part.
-            dealt = outside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-            apart = outside.where("root <> top").select(
+            dealt = full.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            apart = full.where("root <> top").select(
                 "bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b"), F.col("sketches").alias("sketches_b"),
                 F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
             )
-            steps += [largest, outside]
+            steps = [full]
             # Two members meet in the first bucket they share, and two outside the largest class meet once there.
             shares = [F.get("sketches", F.lit(i)) == F.get("sketches_b", F.lit(i)) for i in range(sketches)]
             first = reduce(lambda other, i: F.when(shares[i], F.xxhash64(F.lit(i), F.get("sketches", F.lit(i)))).otherwise(other), reversed(range(sketches)), F.lit(None).cast("bigint"))
@@ -314,11 +321,11 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
         found = materialise(verified(pairs, bodies, similarity))
         ends = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))  # noqa: B023, E731
         merged = components(found.join(ends("a", "root_a"), "a").join(ends("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        before = labels
+        before, members = labels, members.select("rep", "bucket")
         labels = materialise(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         done = pairs if done is None else done.unionByName(pairs)
         forget(*steps, found, *([before] if turn else []))
-    forget(members, shared, known, bodies, facts)
+    forget(members, shared, known, bodies, facts, done)
     whole = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = materialise(whole.groupBy("root").agg(F.min("rep").alias("class")))
     named = materialise(whole.join(least, "root").select("copy_a", "copy_b", "class", "rep"))
