@@ -12,7 +12,7 @@ many words are in one of them only; a pair that this bound rules out goes no fur
 
 Copies collapse first. Only buckets of equal sketches with several members are kept, as pairs of bucket and
 document; sizes, parities and words are joined to the pairs that are left. Within a bucket nobody meets everybody: for `rounds` rounds
-the members outside the largest class of their buckets meet a few hubs (1, 4, 16, ...), and links join classes. Then a member outside the largest
+the members outside the largest class of their buckets meet a few hubs (1, 8, 64), and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
 compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
 similarity costs a comparison of parities for each pair of a bucket, inside a join that deals the bucket to many tasks.
@@ -260,7 +260,7 @@ def _not_apart(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(may_reach(similarity)).select("a", "b")
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick: int = 3, width: int = 5, rounds: int = 4, crowd: int = 256) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick: int = 3, width: int = 5, rounds: int = 3, crowd: int = 256) -> DataFrame:
     """`key, class, rep` for every row: the id and text hash of its document, and the smallest of its class and of its copies.
 
     In the last round a bucket is dealt out in parts of about `crowd` members.
@@ -282,26 +282,29 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
     labels = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
     done = None
     for turn in range(rounds + 1):
-        now = materialise(members.join(labels.withColumnRenamed("node", "rep"), "rep"))
+        now = materialise(members.join(labels.withColumnRenamed("node", "rep"), "rep")) if turn else members.withColumn("root", F.col("rep"))
         by_class = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
         largest = by_class.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("classes"), F.sum("size").alias("size"))
         largest = materialise(largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
         # Buckets of one class are done with.
         before, members = members, materialise(now.join(largest, "bucket"))
-        forget(before, now, largest)
-        outside = members.where("root <> top")
+        forget(before, largest, *([now] if turn else []))
         if turn < rounds:
-            # Four times as many hubs as in the round before, for fewer and fewer members; a member takes those with which it shares most buckets.
-            hubs = 4**turn
+            # Eight times as many hubs as in the round before, for fewer and fewer members; a member takes those with which it shares most buckets.
+            hubs = 8**turn
+            facts_of = known.select("rep", "n", "parity")
             by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
             hub = members.select("bucket", "rep", "root").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= hubs)
-            hub = materialise(hub.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b")))
-            met = outside.join(hub, "bucket").where("root <> root_b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
+            hub = hub.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
+            outside, near = members.where("root <> top").select("bucket", "rep", "root"), F.col("root") != F.col("root_b")
+            if turn:  # few enough to carry their parities, so that no hub is met in vain
+                outside, near = outside.join(facts_of, "rep"), near & may_reach(similarity)
+                hub = hub.join(facts_of.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b")), "b")
+            met = outside.join(hub, "bucket").where(near).groupBy("rep", "b").agg(F.count("*").alias("shared"))
             met = met.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("shared"), "b"))).where(F.col("place") <= hubs)
             met = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-            steps = [hub]
-            pairs = met if done is None else met.join(done, ["a", "b"], "left_anti")
-            pairs = _not_apart(pairs, known, similarity)
+            pairs, steps = met if done is None else met.join(done, ["a", "b"], "left_anti"), []
+            pairs = pairs if turn else _not_apart(pairs, known, similarity)
         else:
             full = materialise(members.join(known, "rep"))
             # A bucket of many is dealt out: one side by hash, the other to each part.
