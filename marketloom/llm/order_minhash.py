@@ -12,7 +12,7 @@ many words are in one of them only; a pair that this bound rules out goes no fur
 
 Copies collapse first. Only buckets of equal sketches with several members are kept, as pairs of bucket and
 document; sizes, parities and words are joined to the pairs that are left. Within a bucket nobody meets everybody: for `rounds` rounds
-the members outside the largest class of their buckets meet a few hubs (first 1, then 12), and links join classes. Then a member outside the largest
+the members outside the largest class of their buckets meet a few hubs (first 1, then 16), and links join classes. Then a member outside the largest
 class of its bucket meets those members that are still in another class. So each pair of a bucket is
 compared or already in one class, and no link is lost. A family whose pairs mostly lie just below the
 similarity costs a comparison of parities for each pair of a bucket, inside a join that deals the bucket to many tasks.
@@ -291,7 +291,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, pick:
         forget(before, largest, *([now] if turn else []))
         if turn < rounds:
             # One hub at first, then some for those who are still outside; a member takes the hubs with which it shares most buckets.
-            hubs = 12 if turn else 1
+            hubs = 16 if turn else 1
             facts_of = known.select("rep", "n", "parity")
             by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
             hub = members.select("bucket", "rep", "root").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= hubs)
