@@ -1,10 +1,10 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-A slot of the filter is a mask with one bit for each language. The mask of an n-gram is the `and` of
-its slots, so one look returns all languages that contain it. A text's bits are counted by language,
+A slot of the filter is a mask with one bit for each language, in slices of 64. The mask of an n-gram
+is the `and` of its slots, so one look a slice returns all languages that contain it. A text's bits are counted by language,
 corrected by the share of bits that chance sets, and the largest count decides.
 
-The filter has a fixed size. Its n-grams are counted over at most `max_docs` documents of each
+The filter has a fixed size for each slice. Its n-grams are counted over at most `max_docs` documents of each
 language, taken by the hash of their id.
 """
 
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import id_share, materialise
+from .words import blocks
 
 SIZES = (3, 4, 5)
 SLOT_BITS = 20
-MAX_LANGUAGES = 64
+SLICE = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _STEP = np.uint64(0x100000001B3)
-_CHUNK = 300_000
 _LETTERS: list[np.ndarray] = []
 
 
@@ -38,11 +38,9 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hashes of the n-grams of the text's words, lower case, a blank at either end, chunk by chunk; none without a letter."""
-    overlap = max(SIZES) - 1
-    for at in range(0, len(text), _CHUNK):
-        part = text[max(0, at - overlap) : at + _CHUNK].lower()
-        points = np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Hashes of the n-grams of the text's words, lower case, a blank at either end, block by block; none without a letter."""
+    for part in blocks(text):
+        points = np.frombuffer(f" {part.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         points = np.where(letters()[points], points, np.uint32(32)).astype(np.uint64)
         blank = points == 32
         points = points[~(blank & np.concatenate(([False], blank[:-1])))]  # one blank between words
@@ -65,7 +63,7 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filter:
-    """Masks by slot, the languages by bit, and the chance that an n-gram which a language lacks seems to be in it."""
+    """Masks by slice and slot, the languages by slice and bit, and the chance that an n-gram which a language lacks seems to be in it."""
 
     masks: np.ndarray
     languages: list[str]
@@ -77,9 +75,10 @@ class Filter:
         total, n = np.zeros(len(self.languages)), 0
         for hashes in grams(text):
             a, b = slots(hashes)
-            found = self.masks[a] & self.masks[b]
-            n += len(found)
-            total += [np.count_nonzero(found >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))]
+            n += len(hashes)
+            for at, masks in zip(range(0, len(total), SLICE), self.masks, strict=True):
+                found = masks[a] & masks[b]
+                total[at : at + SLICE] += _per_bit(found[found != 0], min(SLICE, len(total) - at))
         if not n and not any(map(str.isalpha, text)) or not self.languages:
             return "und", 0.0
         count = np.maximum(0.0, (total - n * self.chance) / (1 - self.chance))
@@ -89,6 +88,10 @@ class Filter:
         return self.languages[best], float(count[best] / count.sum())
 
 
+def _per_bit(masks: np.ndarray, bits: int) -> list[int]:
+    return [np.count_nonzero(masks >> np.uint64(i) & np.uint64(1)) for i in range(bits)]
+
+
 def train(docs: DataFrame, max_docs: int = 1500, rarest: float = 0.1, least: int = 3) -> Filter:
     """The filter of all languages of `docs` (`doc_id, text, lang`, none null).
 
@@ -96,17 +99,15 @@ def train(docs: DataFrame, max_docs: int = 1500, rarest: float = 0.1, least: int
     language where it is most common, so that a foreign passage in a text sets no bit.
     """
     spark = docs.sparkSession
-    by_lang = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(by_lang) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    by_lang = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     languages = sorted(r["lang"] for r in by_lang)
     # Ids alone are ranked, first in 64 parts of a language, so that at most 64 * max_docs of them meet in a task.
     chosen = docs.select("lang", "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
     for within in (["lang", "part"], ["lang"]):
         order = Window.partitionBy(*within).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).drop("rank")
-    chosen = chosen.select("lang", "doc_id").distinct()
-    sample = docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")  # at most 64 * max_docs ids
+    chosen = materialise(chosen.select("lang", "doc_id").distinct())  # written, so that the join knows its size
+    sample = docs.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,20 +121,20 @@ def train(docs: DataFrame, max_docs: int = 1500, rarest: float = 0.1, least: int
     size = counted.groupBy("lang").agg(F.sum("n").alias("size"))
     rate = counted.join(F.broadcast(size), "lang").withColumn("rate", F.col("n") / F.col("size"))  # a row for each language
     most = Window.partitionBy("gram")
-    bit = F.element_at(F.create_map(*(x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i)))), F.col("lang")) if languages else F.lit(0)
-    inside = rate.withColumn("most", F.max("rate").over(most)).where((F.col("n") >= least) & (F.col("rate") >= F.col("most") * rarest)).select("gram", bit.alias("bit"))
+    bits = spark.createDataFrame(list(enumerate(languages)), "bit int, lang string")
+    inside = rate.withColumn("most", F.max("rate").over(most)).where((F.col("n") >= least) & (F.col("rate") >= F.col("most") * rarest)).join(F.broadcast(bits), "lang").select("gram", "bit")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(1).to_numpy(zero_copy_only=False)
+            part, bit = np.divmod(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), SLICE)
             for at in slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.left_shift(1, bits.astype(np.int64)))], names=["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at), pa.array(np.left_shift(np.int64(1), bit))], names=["slice", "slot", "mask"])
 
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
-    filled = inside.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    table = filled.toPandas()  # at most 2 ** SLOT_BITS rows
-    masks[table["slot"].to_numpy(np.int64)] = table["mask"].to_numpy(np.int64).view(np.uint64)
-    fill = np.array([np.count_nonzero(masks >> np.uint64(i) & np.uint64(1)) / len(masks) for i in range(len(languages))])
+    masks = np.zeros((-(-len(languages) // SLICE), 1 << SLOT_BITS), np.uint64)
+    filled = inside.mapInArrow(place, "slice long, slot long, mask long").groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask"))
+    table = filled.toPandas()  # at most 2 ** SLOT_BITS rows for each 64 languages
+    masks[table["slice"].to_numpy(np.int64), table["slot"].to_numpy(np.int64)] = table["mask"].to_numpy(np.int64).view(np.uint64)
+    fill = np.array([x for part in masks for x in _per_bit(part, SLICE)][: len(languages)]) / (1 << SLOT_BITS)
     return Filter(masks, languages, np.minimum(0.9, fill ** len(_MIX)), by_lang[0]["lang"] if by_lang else "und")
 
 
