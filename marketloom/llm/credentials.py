@@ -2,10 +2,11 @@
 
 Three strong kinds stand on their own: an assignment to a secret's name, an access id and a long
 hexadecimal number. Weak candidates mean something only together: an account or client id, a token
-that looks random, an endpoint. Each part reaches `reach` code points to either side; a weak part
-is reported if a part of another role lies in its reach. The join of these intervals looks at the
-nearest part of each role that ends before and that starts after only, so it sorts the parts of a
-document and no more.
+that looks random, an endpoint. Each part reaches `reach` code points to either side, within its scope;
+a login or an endpoint is reported if a secret lies in its reach, a random token if a login or an
+endpoint does. Blank lines, rulers, section heads and `}, {` end a scope. The join of these intervals
+looks at the nearest part of each role that ends before and that starts after only, so it sorts the
+parts of a scope and no more.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 #: Weak kinds.
 LOGIN = r"""(?i:user(?:name)?|login|account(?:_?id)?|client_?id|tenant_?id|access_?key_?id)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}+"""
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,60}[0-9])(?=[A-Za-z0-9+/_-]{0,60}[A-Z])(?=[A-Za-z0-9+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 ENDPOINT = r"(?i:https?|s3|gs|jdbc:[a-z]{2,12}|mongodb|redis|amqp|postgres(?:ql)?|mysql)://[A-Za-z0-9._:@/-]{4,}+"
+#: What ends a scope: a blank line, a ruler, a section head, one block closed and the next opened.
+SCOPE = r"\n[\x20\t\r]*+(?=\n)|\n(?:-{3,}+|={3,}+|\*{3,}+)|\n\[[^\]\n]{1,200}+\]|\}[\x20\t\r\n]*+,?[\x20\t\r\n]*+\{"
 _STRONG = ("assign", "access", "hex")
 _ROLES = {"assign": "secret", "access": "login", "hex": "secret", "login": "login", "random": "secret", "endpoint": "endpoint"}
 
@@ -51,7 +54,9 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
         ("assign", ASSIGN, text_has_sign & _has("passw", "secret", "token", "api")), ("access", ACCESS, F.contains("text", F.lit("AKIA"))), ("hex", HEX, None),
         ("login", LOGIN, text_has_sign & _has("user", "login", "account", "client", "tenant", "access")),
         ("random", RANDOM, None), ("endpoint", ENDPOINT, F.contains("text", F.lit("://"))),
+        ("scope", SCOPE, F.contains("text", F.lit("://")) | text_has_sign & _has("user", "login", "account", "client", "tenant", "access")),
     ])
+    parts = parts.withColumns({"mark": F.coalesce(F.col("kind") == "scope", F.lit(False)), "kind": F.nullif("kind", F.lit("scope"))})
     value = F.regexp_extract("found", r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
     # A match that fails leaves its document with a row.
     parts = parts.withColumn("kind", F.when((F.col("kind") != "assign") | (F.length(value) >= 12), F.col("kind")))
@@ -59,11 +64,15 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     # Each part is two events, its start and its end, so that parts that overlap do not hide those beside them.
     events = F.array(*(F.struct(F.lit(x).alias("event"), F.col(x).alias("at")) for x in ("start", "end")))
     parts = parts.select("*", F.inline(events))
-    document = Window.partitionBy(*DOCUMENT)
-    earlier, later = (document.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col("at").asc(), F.col("at").desc()))
+    # No part holds a mark, so both its ends lie in one scope.
+    marked = F.count_if(F.col("mark") & (F.col("event") == "end")).over(Window.partitionBy(*DOCUMENT).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.withColumn("scope", marked)
+    scope = Window.partitionBy(*DOCUMENT, "scope")
+    earlier, later = (scope.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col("at").asc(), F.col("at").desc()))
     near = F.lit(False)
     for role in ("login", "secret", "endpoint"):
-        other = F.col("role") != role
+        # One of two parts must be a secret.
+        other = (F.col("role") != role) & ((F.col("role") == "secret") | F.lit(role == "secret"))
         # A part that lies inside another isn't one of two parts.
         before = F.max(F.when((F.col("role") == role) & (F.col("event") == "end"), F.col("at"))).over(earlier)
         after = F.min(F.when((F.col("role") == role) & (F.col("event") == "start"), F.col("at"))).over(later)
