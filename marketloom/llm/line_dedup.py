@@ -49,16 +49,19 @@ def line_keys(docs: DataFrame, shortest: int = 20) -> DataFrame:
 def batch_run(keys: DataFrame, batches: int = 1) -> DataFrame:
     """The run of a batch of `line_keys`: per key the documents that hold it and the largest.
 
-    A row is a document: a line that it repeats counts once, so keys are made distinct before they
-    leave their row; a key that a third of all documents hold is counted on the map side. With
-    `batches`, documents are dealt to that many and counted by `batch`.
+    A line that a document repeats counts once: keys are made distinct before they leave their row, and
+    those of ids with several rows once more across these. A key that a third of all documents hold is
+    counted on the map side. With `batches`, documents are dealt to that many and counted by `batch`.
     """
+    several = materialise(keys.groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_id"))
     ordered = F.array_sort("keys")
     again = lambda k, i: F.get(F.col("ordered"), i - 1)
     repeats = keys.withColumn("ordered", F.when(F.size(F.array_distinct(F.col("keys.key_a"))) < F.size("keys"), ordered))
     distinct = F.filter("ordered", lambda k, i: ~F.coalesce((again(k, i)["key_a"] == k["key_a"]) & (again(k, i)["key_b"] == k["key_b"]), F.lit(False)))
     own = repeats.select("_id", F.pmod(F.xxhash64("_id"), F.lit(batches)).alias("batch"), F.coalesce(distinct, "keys").alias("keys"))
-    return own.select("_id", "batch", F.inline("keys")).groupBy("batch", *KEY).agg(F.count("*").alias("docs"), F.max("_id").alias("largest"))
+    lines = lambda rows: rows.select("_id", "batch", F.inline("keys")).select("_id", "batch", *KEY)
+    once, again_and_again = lines(own.join(several, "_id", "left_anti")), lines(own.join(several, "_id", "left_semi")).distinct()
+    return once.unionByName(again_and_again).groupBy("batch", *KEY).agg(F.count("*").alias("docs"), F.max("_id").alias("largest"))
 
 
 def _with_ids(docs: DataFrame) -> DataFrame:

@@ -47,6 +47,14 @@ def test_line_keys_beyond_ascii(spark):
     assert got == {i: int(i != last[lower(x)]) for i, x in texts}
 
 
+def test_lines_of_repeated_rows_count_once(spark):
+    other = "one more line that some documents hold"
+    texts = [(1, LINE), (2, LINE), (2, LINE), (2, f"{LINE}\nb"), (3, f"{other}\n{other}"), (4, other), (4, f"a\n{other}"), (5, other), (None, LINE[::-1]), (None, f"x\n{LINE[::-1]}"), (None, LINE[::-1])]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_result(spark, frame(spark, texts)))
+    # The first line is in two documents only, whatever the rows.
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 0), (1, 1, 0), (2, 1, 0), (2, 1, 0), (2, 2, 0), (3, 2, 2), (4, 1, 1), (4, 2, 1), (5, 1, 0)]
+
+
 def test_line_runs_go_on_with_new_batches(spark):
     runs = line_dedup.LineRuns(spark, shared_folder(spark, "t"), fanout=2)
     batches = [[(1, LINE)], [(2, LINE + "\n" + LINE), (3, "another line that is long enough")], [(4, LINE)], [(5, "no such line so far, I think")]]
@@ -169,9 +177,23 @@ def test_secrets_are_linked(spark):
 
 def test_overlapping_parts_hide_none(spark):
     inside = "https://host.example/" + "0123456789" * 4
-    docs = [(1, f"{inside}, next: password = longsecretvalue"), (2, "https://a.example.org see https://h.org/user:ann.lee"), (3, f"{inside} alone")]
+    docs = [(1, f"{inside}, next: password = longsecretvalue"), (2, "https://a.example.org see https://h.org/user:ann.lee"), (3, f"{inside} alone"), (4, f"user: ann.lee {inside} 0123456789abcdef")]
+    linked = spans(credentials.secrets(frame(spark, docs)).collect(), "linked")
+    assert linked[1] == [("endpoint", 0, 61)] and linked[2] == linked[3] == [] and [s[0] for s in linked[4]] == ["login", "endpoint"]
+
+
+def test_weak_parts_need_a_secret_in_their_scope(spark):
+    token = "Zk3vQ9xT7mB2nL5pR8wY1cD4"
+    long = "Zk" * 60 + "7" + "x" * 79
+    docs = [
+        (1, "user: anna. See https://example.com/about"), (2, f"user: ann.lee\n\n{token}"), (3, f"user: ann.lee\n \t\n{token}"), (4, f"user: ann.lee\n{token}"),
+        (5, f"[a]\nuser: ann.lee\n[b]\n{token}"), (6, f'{{"user": "ann.lee"}}, {{"x": "{token}"}}'), (7, f'{{"user": "ann.lee", "more": {{"x": "{token}"}}}}'), (8, f"user: ann.lee\n---\n{token}"),
+        (9, f"client_id: app.one {long}"), (10, "client_id: app.one " + "zk" * 100), (11, f"user: a.b\n\nuser: c.d {token}\n\nhttps://example.com/about"),
+    ]
     linked = spans(credentials.secrets(frame(spark, docs)).collect(), "linked")
-    assert linked[1] == [("endpoint", 0, 61)] and [s[0] for s in linked[2]] == ["endpoint", "login"] and linked[3] == []
+    both = ["login", "random"]
+    assert {k: [s[0] for s in v] for k, v in linked.items() if v} == {4: both, 7: both, 9: both, 11: both}
+    assert linked[9][1] == ("random", 19, 219) and linked[11][0][1] == 11
 
 
 def test_personal_data(spark):
@@ -289,6 +311,22 @@ def test_language(spark):
     assert langid.predicted(docs.limit(0)).count() == 0
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = random.Random(9)
+    words = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(300)}
+    rows = [(i * 10 + k, " ".join(rng.choices(own, k=40)), lang) for i, (lang, own) in enumerate(words.items()) for k in range(4)]
+    got = langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {k: lang for k, _, lang in rows}
+    assert len(got) == 1200 and sum(r.lang_pred == want[r.doc_id] for r in got if r.held_out) >= 0.97 * sum(r.held_out for r in got)
+
+
+def test_n_grams_of_long_texts_are_those_of_their_words():
+    text = " ".join(f"wort{i}" + "abcdefgh"[i % 8] for i in range(120_000))
+    found = np.sort(np.concatenate(list(langid.grams(text))))
+    apart = np.sort(np.concatenate([h for part in (text[: text.index(" ", 250_000)], text[text.index(" ", 250_000) :]) for h in langid.grams(part)]))
+    assert len(text) > 1_000_000 and np.array_equal(found, apart)
+
+
 def test_licences(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
