@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import mileage_text
 from ..operators import analytics, latest, marts, nested, quality, ranges, rollups, search
+from ..session import checkpoint_dir
+from ..sources.daily import DailyEvents
 from . import roles
 from .registry import Tables, query
 
 # ---- rollups -------------------------------------------------------------------------
 
 
-@query(f"""
+_POPULAR_SQL = f"""
 WITH {roles.ITEMS}, {roles.INTERACTIONS},
 c AS (SELECT item, count(*) AS total_interactions, count(*) FILTER (kind = 'view') AS views, count(*) FILTER (kind IN ('click', 'signup')) AS saves,
   count(*) FILTER (kind = 'purchase') AS contacts, sum(score) FILTER (ts > TIMESTAMP '2024-01-01') AS pop FROM ev GROUP BY item)
 SELECT i.item, title, brand, price, coalesce(total_interactions, 0) AS total_interactions, coalesce(views, 0) AS views,
   coalesce(saves, 0) AS saves, coalesce(contacts, 0) AS contacts, round(coalesce(pop, 0), 2) AS pop_score_30d
-FROM items i LEFT JOIN c USING (item)""")
+FROM items i LEFT JOIN c USING (item)"""
+_TRENDING_SQL = f"""
+WITH {roles.ITEMS}, {roles.INTERACTIONS},
+c AS (SELECT item, count(*) FILTER (ts > TIMESTAMP '2024-01-24') AS a, count(*) FILTER (ts <= TIMESTAMP '2024-01-24' AND ts > TIMESTAMP '2024-01-17') AS b FROM ev GROUP BY item)
+SELECT model, brand, CAST(coalesce(sum(a), 0) AS BIGINT) AS interactions_7d, CAST(coalesce(sum(b), 0) AS BIGINT) AS interactions_prior_7d
+FROM items LEFT JOIN c USING (item) GROUP BY model, brand"""
+
+
+@query(_POPULAR_SQL)
 def popular_items(t: Tables) -> DataFrame:
     rolled = rollups.popularity(
         roles.items(t).select("item", "title", "brand", "price"), roles.interactions(t),
@@ -28,15 +40,32 @@ def popular_items(t: Tables) -> DataFrame:
     return rolled.withColumn("pop_score_30d", F.round("pop_score_30d", 2))
 
 
-@query(f"""
-WITH {roles.ITEMS}, {roles.INTERACTIONS},
-c AS (SELECT item, count(*) FILTER (ts > TIMESTAMP '2024-01-24') AS a, count(*) FILTER (ts <= TIMESTAMP '2024-01-24' AND ts > TIMESTAMP '2024-01-17') AS b FROM ev GROUP BY item)
-SELECT model, brand, CAST(coalesce(sum(a), 0) AS BIGINT) AS interactions_7d, CAST(coalesce(sum(b), 0) AS BIGINT) AS interactions_prior_7d
-FROM items LEFT JOIN c USING (item) GROUP BY model, brand""")
+@query(_TRENDING_SQL)
 def trending_models(t: Tables) -> DataFrame:
     return rollups.trending(roles.items(t), roles.interactions(t), "item", "item", "ts", ["model", "brand"], roles.as_of())
 
 
+def _daily(t: Tables) -> DailyEvents:
+    """Event counts by day after five refreshes, each with the log as far as it went."""
+    log = roles.interactions(t)
+    daily = DailyEvents(t.spark, f"{checkpoint_dir(t.spark)}/marketloom-daily-{uuid.uuid4().hex}", "item", "kind", "score", "ts", roles.COUNTERS)
+    for end in ("2024-01-06 05:00:00", "2024-01-12 17:00:00", "2024-01-18 00:00:00", "2024-01-25 23:00:00"):
+        daily.refresh(log.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    daily.refresh(log)
+    return daily
+
+
+@query(_POPULAR_SQL)
+def refreshed_popularity(t: Tables) -> DataFrame:
+    rolled = _daily(t).popularity(roles.items(t).select("item", "title", "brand", "price"), "item", roles.interactions(t), roles.as_of())
+    return rolled.withColumn("pop_score_30d", F.round("pop_score_30d", 2))
+
+
+@query(_TRENDING_SQL)
+def refreshed_trending(t: Tables) -> DataFrame:
+    return _daily(t).trending(roles.items(t), "item", roles.interactions(t), ["model", "brand"], roles.as_of())
+
+
 @query(f"""
 WITH {roles.ITEMS}
 SELECT 'brand' AS facet, brand AS value FROM items UNION SELECT 'fuel', fuel FROM items
