@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RecoConfig
-from ..operators import changes, quality, rollups, similarity, text
+from ..operators import changes, quality, similarity, text
 from ..operators.latest import latest_per_key
 from ..session import cut_lineage
 from ..sources import landing, tables
+from ..sources.daily import DailyEvents
 from ..sources.versions import VersionedTable
 from . import marketplace
 
@@ -39,6 +41,10 @@ class Warehouse:
     def last_prices(self) -> str:
         return f"{self.root}/last_prices"
 
+    @property
+    def daily_events(self) -> str:
+        return f"{self.root}/daily_events"
+
     def mart(self, name: str, run_id: str) -> str:
         return f"{self.root}/{name}/run={run_id}"
 
@@ -98,15 +104,17 @@ def append_changes(spark: SparkSession, house: Warehouse, core: marketplace.Core
     last.change(grown, lambda old, new: latest_per_key(old.unionByName(new), ["vin"], order))
 
 
-def refresh_rollups(spark: SparkSession, house: Warehouse, run_id: str, events: DataFrame, as_of: Column, cfg: RecoConfig) -> None:
-    """Popularity, trending and item similarity from the event log (vehicle_id, user_id, interaction_type, ...)."""
+def refresh_rollups(spark: SparkSession, house: Warehouse, run_id: str, events: DataFrame, as_of: Column, cfg: RecoConfig, full: bool = False) -> None:
+    """Popularity, trending and item similarity from the event log (vehicle_id, user_id, interaction_type, ...).
+
+    The first two come from counts by day, so only events since the newest day counted are read, or all of them with `full`.
+    """
+    daily = DailyEvents(spark, house.daily_events, "vehicle_id", "interaction_type", "interaction_score", "created_at")
+    daily.refresh(events, since=date.min if full else None)
     items = spark.read.parquet(house.mart("vehicles", run_id))
     shown = items.select("vehicle_id", "title", "brand", "car_model", "price", "primary_image_url", "car_rating")
-    popular = rollups.popularity(
-        shown, events, "vehicle_id", "vehicle_id", "interaction_type", "interaction_score", "created_at", as_of
-    )
-    tables.write_snapshot(popular, house.mart("popular_vehicles", run_id))
-    moving = rollups.trending(items, events, "vehicle_id", "vehicle_id", "created_at", ["car_model", "brand"], as_of)
+    tables.write_snapshot(daily.popularity(shown, "vehicle_id", events, as_of), house.mart("popular_vehicles", run_id))
+    moving = daily.trending(items, "vehicle_id", events, ["car_model", "brand"], as_of)
     tables.write_snapshot(moving, house.mart("trending_models", run_id))
     near = similarity.item_similarity(
         events, "user_id", "vehicle_id", "interaction_type", "created_at", as_of, cfg.interaction_weights,
@@ -164,7 +172,7 @@ def run_weekly_load(
     append_changes(spark, house, core, run_id, load_time)
     run_checks(spark, house, core, run_id, events, load_time)
     if events is not None:
-        refresh_rollups(spark, house, run_id, events, load_time, cfg or RecoConfig())
+        refresh_rollups(spark, house, run_id, events, load_time, cfg or RecoConfig(), full)
     if embedding is not None:
         embed_documents(spark, house, run_id, before, F.lit(crawl_date).cast("date") if crawl_date else None, embedding)
     return counts

@@ -44,7 +44,7 @@ class DailyEvents:
     def uncounted(self, events: DataFrame, since: date | None = None) -> DataFrame:
         """The events that a refresh reads; the limit is a literal, so that it reaches the scan."""
         first = since or self.newest_day()
-        return events if first is None else events.filter((F.col(self.ts) >= F.lit(first).cast(events.schema[self.ts].dataType)) | F.col(self.ts).isNull())
+        return events if first is None else events.filter((F.col(self.ts) >= F.lit(first.isoformat()).cast(events.schema[self.ts].dataType)) | F.col(self.ts).isNull())
 
     def refresh(self, events: DataFrame, since: date | None = None) -> None:
         """Count the days of `events` from the newest one known, or from `since`, and replace them."""
