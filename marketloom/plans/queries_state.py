@@ -11,7 +11,7 @@ from ..operators import sessions
 from ..session import checkpoint_dir
 from ..streaming import jobs, timelines
 from . import roles
-from .queries_load import _CURRENT_SQL, _CUT, _LINES, _VERSION
+from .queries_load import _CURRENT_SQL, _CUT, _FILES_SQL, _LINES, _VERSION, _files
 from .registry import Tables, query
 
 _SLOTS = ["budget_max", "body_type", "fuel_type"]
@@ -175,3 +175,15 @@ def streamed_timelines(t: Tables) -> DataFrame:
         lines.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == n).write.mode("append").parquet(f"{out}-in")
         timelines.log_timelines(jobs.parquet_stream(t.spark, f"{out}-in", lines.schema), "l_partkey", ["l_quantity", "l_returnflag"], _VERSION, out, progress)
     return timelines.read_timelines(t.spark, out)
+
+
+@query(f"""
+WITH {_FILES_SQL} SELECT DISTINCT sha256(content) AS file_hash, vin, slug AS car_model_slug FROM files WHERE n % 7 >= 2""")
+def streamed_landing(t: Tables) -> DataFrame:
+    """Two arrivals of files, the second with contents of the first among its own."""
+    out, progress = _folders(t, "landing")
+    files = _files(t)
+    for n in range(2):
+        files.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == n).write.mode("append").parquet(f"{out}-in")
+        jobs.land_files(jobs.parquet_stream(t.spark, f"{out}-in", files.schema), out, progress, "stream")
+    return t.spark.read.parquet(out).select("file_hash", "vin", "car_model_slug")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
 from ..operators.nested import is_object, parse_payload, text_at
-from ..session import allow_repeated_keys
+from ..session import allow_repeated_keys, written
+from .landed import LandedIndex
+from .tables import append_partitioned, read_or_none
 
 # Where page number and crawl date sit in a file path.
 PAGE_IN_PATH = r"/(?:dt=\d{4}-\d{2}-\d{2}|raw_data)/(\d+)/"
@@ -105,24 +108,41 @@ def load_landing(
     run_id: str,
     ingested_at: Column,
     crawl_date: str | None = None,
+    index: LandedIndex | None = None,
 ) -> dict[str, int]:
-    """Append the new files of a slice (or, without a date, of everything) to the landing table.
+    """Append the new files of a slice (or, without a date, of everything) to the landing table, see `land`."""
+    source = "incremental" if crawl_date else "initial"
+    return land(scan_files(spark, root, crawl_date), target, run_id, source, ingested_at, index)
 
-    Returns the scanned (non-empty), parsed, rejected and inserted counts; `rejected_files` says why a
-    file was rejected. Running it again appends nothing.
-    """
-    from .tables import append_if_absent, append_partitioned, read_or_none
 
-    files, scanned = observed(scan_files(spark, root, crawl_date), f"scanned-{run_id}")
-    rows, parsed = observed(parse_documents(files), f"parsed-{run_id}")
-    rows = stamp_load(rows, "incremental" if crawl_date else "initial", run_id, ingested_at)
-    fresh = append_if_absent(rows, read_or_none(spark, target), ["file_hash"], tie_break=["file_path"])
-    fresh, inserted = observed(fresh, f"inserted-{run_id}")
+def land(files: DataFrame, target: str, run_id: str, source: str, ingested_at: Column, index: LandedIndex | None = None) -> dict[str, int]:
+    """Append the new ones of `files` (`path, content`; no path comes twice) to the landing table at `target`.
+
+    The index of landed hashes (beside the table, unless `index` is another one) says which are new, so the
+    table is not read and known files are not parsed. Files are read twice: for their hashes, and the new ones to be
+    parsed. Of files with equal contents the one with the smallest path lands.
+
+    Returns the scanned (non-empty), parsed, rejected and inserted counts, where what is known counts as it did when
+    it came; `rejected_files` says why a file was rejected. Running it again appends nothing, and a load that
+    died can be repeated.
+    """
+    spark = files.sparkSession
+    landed = index or LandedIndex(spark, f"{target.rstrip('/')}_index")
+    landed.recover(read_or_none(spark, target))
+    seen = written(files.select("path", file_key(F.col("content")).alias("file_hash")))
+    known = written(landed.known(seen))
+    new = written(seen.join(known, "file_hash", "left_anti").groupBy("file_hash").agg(F.min("path").alias("path")))
+    rows = stamp_load(parse_documents(files.join(new.select("path"), "path", "left_semi")), source, run_id, ingested_at)
+    fresh, inserted = observed(rows, f"inserted-{run_id}-{uuid.uuid4().hex}")
+    landed.begin(run_id)
     with _whole_plans(spark):
         append_partitioned(fresh, target, F.col("crawl_date"), "crawl_month")
-    return {
-        "scanned": scanned.get["rows"],
-        "parsed": parsed.get["rows"],
-        "rejected": scanned.get["rows"] - parsed.get["rows"],
-        "inserted": inserted.get["rows"],
-    }
+    table = read_or_none(spark, target)  # None while nothing but rejected files came
+    own = new.limit(0) if table is None else table.where(F.col("run_id") == run_id)
+    own = own.select("file_hash").distinct().withColumn("ok", F.lit(True))
+    judged = written(new.join(own, "file_hash", "left").select("file_hash", F.coalesce("ok", F.lit(False)).alias("ok")))
+    landed.add(judged)
+    landed.done(run_id)
+    good = known.unionByName(judged).where("ok")
+    scanned, parsed = seen.count(), seen.join(good, "file_hash", "left_semi").count()
+    return {"scanned": scanned, "parsed": parsed, "rejected": scanned - parsed, "inserted": inserted.get["rows"]}

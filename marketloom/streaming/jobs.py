@@ -15,9 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..functions.keys import file_key
 from ..operators.changes import change_history
 from ..operators.latest import latest_per_key
 from ..operators.sessions import normalize_events
+from ..session import written
 from ..sources import landing, tables
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -43,16 +45,20 @@ def _drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def land_files(files: DataFrame, target: str, checkpoint: str, run_id: str) -> None:
-    """Append the files whose hash is new to the landing table."""
+def land_files(files: DataFrame, target: str, checkpoint: str, run_id: str, within: str = "7 days") -> None:
+    """Append the files whose contents are new to the landing table.
+
+    Contents that arrived before, `within` some time, are dropped by the stream's own state; any older ones by the index
+    of landed hashes. The time is that of arrival, so no file is too late. Of equal contents in one batch any may land.
+    """
+    arrived = files.withColumns({"file_hash": file_key(F.col("content")), "arrived": F.current_timestamp()})
+    once = arrived.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["file_hash"]).select("path", "content")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = landing.stamp_load(landing.parse_documents(batch), "incremental", run_id, F.current_timestamp())
-        # A repeated batch finds its own rows in the table and adds none.
-        fresh = tables.append_if_absent(rows, tables.read_or_none(batch.sparkSession, target), ["file_hash"], ["file_path"])
-        tables.append_partitioned(fresh, target, F.col("crawl_date"), "crawl_month")
+        # Written once, as a load reads its files twice. A batch that is repeated finds what it landed.
+        landing.land(written(batch), target, run_id, "incremental", F.current_timestamp())
 
-    _drain(files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    _drain(once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def keep_current(
