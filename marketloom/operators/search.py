@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .grams import containing
 from .latest import top_n_per_key
 
 # Sort keys a caller may use and the columns behind them.
@@ -139,42 +141,48 @@ def exclude_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
     return df.filter(~low.isin(*[v.lower() for v in values]))
 
 
+def exclude_asked(df: DataFrame, col: str, asked: DataFrame, query: str, values: str) -> DataFrame:
+    """`exclude_values` with a list of values for each query; a query without a row or list excludes nothing."""
+    pairs = asked.select(query, F.explode(values).alias("_value")).select(query, F.lower("_value").alias("_value")).distinct()
+    return df.withColumn("_value", F.lower(F.coalesce(F.col(col), F.lit("")))).join(pairs, [query, "_value"], "left_anti").drop("_value").select(*df.columns)
+
+
 def within_score(df: DataFrame, col: str, limit: float | None = None) -> DataFrame:
     """Drop hits whose score (a distance) is above a threshold; no threshold keeps all."""
     return df if limit is None else df.filter(F.col(col) <= limit)
 
 
-def _requested(items: DataFrame, requests: DataFrame, c: Columns, by_year: bool) -> DataFrame:
-    """Requests joined to the items of their brand that carry the model text (and year) in the title."""
-    title, wanted = F.col(f"i.{c.title}"), F.lower(F.col("r.req_model"))
-    named = F.lower(title).contains(wanted)
-    if by_year:
-        named = named & (F.col("r.req_year").isNull() | title.contains(F.col("r.req_year").cast("string")))
-    elif c.name:
-        named = named | F.lower(F.col(f"i.{c.name}")).contains(wanted)
-    same_brand = F.col(f"i.{c.brand}") == F.col("r.req_brand")
-    return items.filter(F.col(c.title).isNotNull()).alias("i").join(requests.alias("r"), same_brand & named)
-
-
 def compare_items(items: DataFrame, requests: DataFrame, c: Columns) -> DataFrame:
     """One row per request (req_id, req_brand, req_model, req_year) with its cheapest match and market stats.
 
+    The cheapest match carries the model text (and year) in its title; the stats are of all priced items of the brand with that
+    text in title or name. Requests of one brand and text meet the items that hold its rarest piece, once for all of them.
     Requests without a match come back with `found` false and NULLs.
     """
-    match = top_n_per_key(
-        _requested(items, requests, c, by_year=True), ["req_id"],
-        [F.col(f"i.{c.price}").asc_nulls_last(), F.col(f"i.{c.key}")], 1,
-    ).select("req_id", *[F.col(f"i.{x}").alias(x) for x in (c.key, c.title, c.price, *c.extra)])
-    priced = _requested(items.filter(F.col(c.price) > 0), requests, c, by_year=False)
-    stats = priced.groupBy("req_id").agg(
-        F.avg(c.price).alias("avg_price"), F.min(c.price).alias("min_price"),
-        F.max(c.price).alias("max_price"), F.count("*").alias("total_listings"),
+    # A needle does not reach over the mark between title and name.
+    both = F.concat_ws("\x00", c.title, c.name) if c.name else F.col(c.title)
+    cols = list(dict.fromkeys([c.key, c.title, c.price, *c.extra]))
+    rows = items.filter(F.col(c.title).isNotNull()).select(F.col(c.brand).alias("req_brand"), F.struct(*cols).alias("_item"), both.alias("_text"))
+    texts = requests.select("req_brand", "req_model").filter(F.col("req_model").isNotNull())
+    met = written(containing(rows, ["_text"], texts, ["req_model"], within=["req_brand"]).drop("_text"))
+    own = {x: F.col("_item")[x] for x in cols}
+    years = requests.select("req_brand", "req_model", "req_year").distinct()
+    titled = F.lower(own[c.title]).contains(F.lower("req_model")) & (F.col("req_year").isNull() | own[c.title].contains(F.col("req_year").cast("string")))
+    best = top_n_per_key(
+        met.join(years, ["req_brand", "req_model"]).filter(titled), ["req_brand", "req_model", "req_year"], [own[c.price].asc_nulls_last(), own[c.key]], 1
+    ).select(F.struct("req_brand", "req_model").alias("_named"), F.col("req_year").alias("_year"), *[own[x].alias(x) for x in cols])
+    same = (F.struct("req_brand", "req_model") == F.col("_named")) & F.col("req_year").eqNullSafe(F.col("_year"))
+    match = requests.join(best, same).select("req_id", *cols)
+    price = own[c.price]
+    stats = met.filter(price > 0).groupBy("req_brand", "req_model").agg(
+        F.avg(price).alias("avg_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.count("*").alias("total_listings"),
     )
-    own = F.coalesce(F.col(c.price), F.lit(0.0))
+    stats = requests.select("req_id", "req_brand", "req_model").join(stats, ["req_brand", "req_model"]).drop("req_brand", "req_model")
+    alone = F.coalesce(F.col(c.price), F.lit(0.0))
     found = F.col(c.key).isNotNull()
     out = requests.join(match, "req_id", "left").join(stats, "req_id", "left")
     return out.withColumns({
         "found": found,
-        **{s: F.when(found, F.coalesce(F.col(s), own)) for s in ("avg_price", "min_price", "max_price")},
+        **{s: F.when(found, F.coalesce(F.col(s), alone)) for s in ("avg_price", "min_price", "max_price")},
         "total_listings": F.when(found, F.coalesce(F.col("total_listings"), F.lit(1))),
     })

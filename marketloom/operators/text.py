@@ -265,13 +265,8 @@ def hashed_tfidf(df: DataFrame, text: str, dims: int = 256, out: str = "embeddin
     return made.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 
 
-def hybrid_hits(rows: DataFrame, row_key: str, semantic: DataFrame, semantic_key: str, score: str, queries: DataFrame, query: str) -> DataFrame:
-    """Hard-filter rows and semantic hits side by side, per query: (query, key, source, score).
-
-    `rows` are the few rows that a shared filter search left for all of `queries`; they travel as one
-    array value. `semantic` has the hits of each query.
-    """
-    listed = rows.agg(F.collect_list(row_key)).scalar()
-    hard = queries.select(query, F.explode(listed).alias("key"), F.lit("filter").alias("source"), F.lit(None).cast("double").alias("score"))
+def hybrid_hits(rows: DataFrame, row_key: str, semantic: DataFrame, semantic_key: str, score: str, query: str) -> DataFrame:
+    """Hard-filter rows and semantic hits of each query side by side: (query, key, source, score)."""
+    hard = rows.select(query, F.col(row_key).alias("key"), F.lit("filter").alias("source"), F.lit(None).cast("double").alias("score"))
     soft = semantic.select(query, F.col(semantic_key).alias("key"), F.lit("semantic").alias("source"), F.col(score).alias("score"))
     return hard.unionByName(soft)

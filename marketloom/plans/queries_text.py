@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pages, search, text, vectors
+from ..operators import pages, requests, search, text, vectors
 from ..sources import tables
 from . import roles
 from .registry import Tables, query
@@ -147,19 +145,45 @@ f AS (SELECT kind, item, row_number() OVER (PARTITION BY kind ORDER BY price ASC
 SELECT query, item AS key, 'filter' AS source, NULL::DOUBLE AS score FROM asked JOIN f USING (kind)
 UNION ALL SELECT query, item, 'semantic', round(score, 6) FROM hits JOIN asked USING (query) JOIN items ON id = item WHERE lower(brand) <> lower(unwanted)""")
 def hybrid_retrieval(t: Tables) -> DataFrame:
-    """Queries of three kinds, each with its own price limit and unwanted brand; queries of a kind share one filter search."""
+    """Every query has a price limit and an unwanted brand of its own, one vector search and one constraint search answer them all."""
     items = roles.items(t)
     columns = search.Columns(key="item", status="transmission", fuel="fuel")
-    asked = t.embeddings.filter("label = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") % 3).alias("kind"))
-    answers = []
-    for kind in range(3):
-        brand = f"Brand#{1 + kind}"
-        own = asked.filter(F.col("kind") == kind).select("query")
-        rows = search.constraint_search(items, columns, limit=6, price_max=930 + 20 * kind, exclude_brands=[brand])
-        hits = _retrieved(t).join(own, "query", "left_semi").join(items, F.col("id") == F.col("item"))
-        hits = search.exclude_values(hits, "brand", [brand]).withColumn("score", F.round("score", 6))
-        answers.append(text.hybrid_hits(rows, "item", hits, "item", "score", own, "query"))
-    return reduce(DataFrame.unionByName, answers)
+    kind = F.col("vec_id") % 3
+    asked = t.embeddings.filter("label = 0").select(
+        F.col("vec_id").alias("query"), (930 + 20 * kind).alias("price_max"), F.array(F.concat(F.lit("Brand#"), 1 + kind)).alias("exclude_brands")
+    )
+    rows = requests.answer_requests(items, columns, asked, "query", limit=6)
+    hits = _retrieved(t).join(items, F.col("id") == F.col("item"))
+    hits = search.exclude_asked(hits, "brand", asked.select("query", "exclude_brands"), "query", "exclude_brands")
+    return text.hybrid_hits(rows, "item", hits.withColumn("score", F.round("score", 6)), "item", "score", "query")
+
+
+_ASKED = """asked AS (SELECT c_custkey AS query, CASE WHEN c_custkey % 3 = 0 THEN 'Brand#' || (c_custkey % 27) END AS brand,
+  CASE c_custkey % 4 WHEN 0 THEN 'BOLT' WHEN 1 THEN 'in' WHEN 2 THEN '' END AS model,
+  CASE WHEN c_custkey % 5 > 0 THEN 850.0::DOUBLE + c_custkey % 1000 END AS price_min, CASE WHEN c_custkey % 7 > 0 THEN 950.0::DOUBLE + c_custkey % 1100 END AS price_max,
+  CASE WHEN c_custkey % 6 = 1 THEN c_mktsegment[1:1] END AS fuel_type,
+  CASE WHEN c_custkey % 2 = 0 THEN ['Brand#' || (c_nationkey + 1), 'Brand#7'] ELSE [] END AS exclude_brands FROM customer)"""
+
+
+@query(f"""
+WITH {roles.ITEMS}, {_ASKED},
+m AS (SELECT query, item, price, row_number() OVER (PARTITION BY query ORDER BY price ASC NULLS LAST, item) AS position FROM asked a JOIN items i
+  ON (a.brand IS NULL OR i.brand = a.brand) AND (a.model IS NULL OR contains(lower(title), lower(a.model))) AND (price_min IS NULL OR price >= price_min)
+  AND (price_max IS NULL OR price <= price_max) AND (fuel_type IS NULL OR contains(lower(fuel), lower(fuel_type))) AND (len(exclude_brands) = 0 OR NOT list_contains(exclude_brands, i.brand)))
+SELECT query, position, item, price FROM m WHERE position <= 6""")
+def constraint_requests(t: Tables) -> DataFrame:
+    """A request per customer, with limits, texts, brands and exclusions that differ from request to request."""
+    n = F.col("c_custkey")
+    asked = t.customer.select(
+        n.alias("query"), F.when(n % 3 == 0, F.concat(F.lit("Brand#"), n % 27)).alias("brand"),
+        F.when(n % 4 == 0, "BOLT").when(n % 4 == 1, "in").when(n % 4 == 2, "").alias("model"),
+        F.when(n % 5 > 0, 850 + n % 1000).alias("price_min"), F.when(n % 7 > 0, 950 + n % 1100).alias("price_max"),
+        F.when(n % 6 == 1, F.left("c_mktsegment", F.lit(1))).alias("fuel_type"),
+        F.when(n % 2 == 0, F.array(F.concat(F.lit("Brand#"), F.col("c_nationkey") + 1), F.lit("Brand#7"))).otherwise(F.array().cast("array<string>")).alias("exclude_brands"),
+    )
+    columns = search.Columns(key="item", status="transmission", fuel="fuel")
+    found = requests.answer_requests(roles.items(t), columns, asked, "query", limit=6)
+    return found.select("query", F.col("position").cast("bigint").alias("position"), "item", "price")
 
 
 # ---- pages ---------------------------------------------------------------------------
