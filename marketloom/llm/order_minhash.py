@@ -218,10 +218,11 @@ def components(links: DataFrame) -> DataFrame:
     and what points to one node becomes one node. Ties are broken by an order that changes with the
     round, so that a path shrinks as fast as a star.
     """
-    steps, edges, before = [], links.select("a", "b").distinct(), None
+    steps, edges, before = [], links, None
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     turn = 0
     while True:
-        both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = materialise(edges.select(F.inline(ways)).distinct())
         forget(before)
         before = both
         if both.isEmpty():
@@ -232,7 +233,7 @@ def components(links: DataFrame) -> DataFrame:
         points = materialise(best.join(degree, "a").select("a", F.least("best", key("a"))["v"].alias("to")))
         steps.append(points)
         other = points.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
-        edges = both.join(points, "a").join(other, "b").where("to < to_b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).distinct()
+        edges = both.join(points, "a").join(other, "b").where("to < to_b").select(F.col("to").alias("a"), F.col("to_b").alias("b"))
         turn += 1
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
