@@ -59,8 +59,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table below the checkpoint folder: unlike a checkpoint, its columns can be pruned and it carries no constraints along."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+def written(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """`df` as a table below the checkpoint folder: unlike a checkpoint, its columns can be pruned and it carries no constraints along.
+
+    `reader` is the session that reads the table, if not that of `df`: a stream with state runs its batches in a session without AQE.
+    """
+    path = f"{checkpoint_dir(reader or df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -56,7 +56,8 @@ def land_files(files: DataFrame, target: str, checkpoint: str, run_id: str, with
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # Written once, as a load reads its files twice. A batch that is repeated finds what it landed.
-        landing.land(written(batch), target, run_id, "incremental", F.current_timestamp())
+        # Loaded in the caller's session: the stream's own has no AQE, so that every task would write a file to every bucket.
+        landing.land(written(batch, files.sparkSession), target, run_id, "incremental", F.current_timestamp())
 
     _drain(once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
