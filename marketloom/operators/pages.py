@@ -79,46 +79,109 @@ def _fits(step: tuple, element: tuple) -> bool:
     return name is None or (own is not None and (value in own if substring else value == own))
 
 
-def _which(chains: list[list[tuple]], stack: list[tuple]) -> int | None:
-    """The first alternative that the innermost element matches."""
-    for n, chain in enumerate(chains):
-        if not _fits(chain[-1], stack[-1]):
-            continue
-        above = iter(reversed(stack[:-1]))
-        if all(any(_fits(step, e) for e in above) for step in reversed(chain[:-1])):
-            return n
-    return None
+#: States and elements that a matcher remembers at most; beyond that it starts anew.
+_REMEMBERED = 1 << 15
+
+
+class _State:
+    """What of an element and those around it matters: the steps that each fits, of those that fit any."""
+
+    __slots__ = ("path", "next")
+
+    def __init__(self, path: tuple[int, ...]):
+        self.path, self.next = path, {}
+
+
+class _Matcher:
+    """Which fields the innermost element matches.
+
+    Pages of one site repeat few elements in few places. So the steps of all selectors that an element fits are looked up by its
+    tag and the attributes that selectors name, and the fields that it matches by the steps that it and those around it fit.
+    """
+
+    def __init__(self, fields: Mapping[str, tuple[list, str | None]]):
+        steps: list[tuple] = []
+        number = lambda step: steps.index(step) if step in steps else (steps.append(step), len(steps) - 1)[1]
+        self.fields = [(name, attr, [[number(step) for step in chain] for chain in chains]) for name, (chains, attr) in fields.items()]
+        self.steps = steps
+        self.named = ["id", "class", *sorted({s[3] for s in steps if s[3]} - {"id", "class"})]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.root, self.states, self.elements = _State(()), 0, {}
+
+    def start(self) -> _State:
+        """The state outside of all elements, at the start of a page."""
+        if self.states > _REMEMBERED:
+            self._forget()
+        return self.root
+
+    def _fitting(self, tag: str, attrs: Mapping[str, str]) -> int:
+        key = (tag, *map(attrs.get, self.named))
+        found = self.elements.get(key)
+        if found is None:
+            element = (tag, attrs, set(attrs.get("class", "").split()))
+            found = sum(1 << i for i, step in enumerate(self.steps) if _fits(step, element))
+            if len(self.elements) < _REMEMBERED:
+                self.elements[key] = found
+        return found
+
+    def enter(self, state: _State, tag: str, attrs: Mapping[str, str]) -> tuple[_State, list[tuple]]:
+        """The state inside of an element and (name, attribute, alternative) of the fields that it matches."""
+        fitting = self._fitting(tag, attrs)
+        if not fitting:
+            return state, []
+        found = state.next.get(fitting)
+        if found is None:
+            inner = _State((*state.path, fitting))
+            hits = [(name, attr, self._which(chains, inner.path)) for name, attr, chains in self.fields]
+            found = state.next[fitting] = (inner, [hit for hit in hits if hit[2] is not None])
+            self.states += 1
+        return found
+
+    @staticmethod
+    def _which(chains: list[list[int]], path: tuple[int, ...]) -> int | None:
+        """The first alternative that the innermost element matches."""
+        for n, chain in enumerate(chains):
+            if not path[-1] >> chain[-1] & 1:
+                continue
+            above = iter(reversed(path[:-1]))
+            if all(any(e >> step & 1 for e in above) for step in reversed(chain[:-1])):
+                return n
+        return None
 
 
 class _Picker(HTMLParser):
     """Collects the values of all fields in document order in one pass."""
 
-    def __init__(self, fields: Mapping[str, tuple[list, str | None]]):
+    def __init__(self, matcher: _Matcher, names: list[str]):
         super().__init__(convert_charrefs=True)
-        self.fields = fields
-        self.found: dict[str, list[str]] = {name: [] for name in fields}
-        self.stack: list[tuple] = []
+        self.matcher, self.names, self.outside = matcher, names, matcher.start()
+        self.found: dict[str, list[str]] = {name: [] for name in names}
+        self.stack: list[tuple[str, _State]] = []
         self.open: list[tuple[int, str, int, list[str]]] = []
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
-        self.stack.append((tag, values, set(values.get("class", "").split())))
-        for name, (chains, attr) in self.fields.items():
-            which = _which(chains, self.stack)
-            if which is not None:
-                if attr is None:
-                    # Reserve the place now, so that nested matches keep document order.
-                    self.found[name].append("")
-                    self.open.append((len(self.stack), name, len(self.found[name]) - 1, []))
-                elif attr == TAG:
-                    self.found[name].append(tag)
-                elif attr == WHICH:
-                    self.found[name].append(str(which))
-                elif values.get(attr):
-                    self.found[name].append(values[attr])
+        state, hits = self.matcher.enter(self.stack[-1][1] if self.stack else self.outside, tag, values)
+        self.stack.append((tag, state))
+        for name, attr, which in hits:
+            self._take(name, attr, which, tag, values)
         if tag in _VOID:
             self._close(len(self.stack) - 1)
 
+    def _take(self, name, attr, which, tag, values):
+        if attr is None:
+            # Reserve the place now, so that nested matches keep document order.
+            self.found[name].append("")
+            self.open.append((len(self.stack), name, len(self.found[name]) - 1, []))
+        elif attr == TAG:
+            self.found[name].append(tag)
+        elif attr == WHICH:
+            self.found[name].append(str(which))
+        elif values.get(attr):
+            self.found[name].append(values[attr])
+
     def handle_endtag(self, tag):
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
@@ -126,16 +189,19 @@ class _Picker(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if not self.open:
+            return
         piece = data.strip()
         if piece and not (self.stack and self.stack[-1][0] in ("script", "style")):
             for _, _, _, pieces in self.open:
                 pieces.append(piece)
 
     def _close(self, depth: int):
-        for entry in [e for e in self.open if e[0] > depth]:
-            _, name, place, pieces = entry
-            self.found[name][place] = "".join(pieces)
-            self.open.remove(entry)
+        if self.open and self.open[-1][0] > depth:
+            for entry in [e for e in self.open if e[0] > depth]:
+                _, name, place, pieces = entry
+                self.found[name][place] = "".join(pieces)
+                self.open.remove(entry)
         del self.stack[depth:]
 
     def done(self) -> dict[str, list[str]]:
@@ -144,29 +210,31 @@ class _Picker(HTMLParser):
         return self.found
 
 
+#: Name under which a matcher finds the containers of records.
+_BOX = ":box"
+
+
 class _RecordPicker(_Picker):
     """Like `_Picker`, with a separate set of values for every container element."""
 
-    def __init__(self, fields, container: list):
-        super().__init__(fields)
-        self.container = container
+    def __init__(self, matcher: _Matcher, names: list[str]):
+        super().__init__(matcher, names)
         self.records: list[dict[str, list[str]]] = []
         self.inside = 0
 
-    def handle_starttag(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        element = (tag, values, set(values.get("class", "").split()))
-        if not self.inside and _which(self.container, [*self.stack, element]) is not None:
-            self.inside = len(self.stack) + 1
-            self.found = {name: [] for name in self.fields}
+    def _take(self, name, attr, which, tag, values):
+        if name != _BOX:
+            super()._take(name, attr, which, tag, values)
+        elif not self.inside:
+            self.inside = len(self.stack)
+            self.found = {n: [] for n in self.names}
             self.records.append(self.found)
-        super().handle_starttag(tag, attrs)
 
     def _close(self, depth: int):
         super()._close(depth)
         if self.inside > depth:
             self.inside = 0
-            self.found = {name: [] for name in self.fields}
+            self.found = {name: [] for name in self.names}
 
 
 def _compiled(spec: Mapping[str, Field]) -> dict[str, tuple[list, str | None]]:
@@ -180,13 +248,14 @@ def _schema(pages: DataFrame, keep: list[str], spec: Mapping[str, Field]) -> str
 
 def extract_fields(pages: DataFrame, keep: list[str], html: str, spec: Mapping[str, Field]) -> DataFrame:
     """(keep..., <field> array<string> ...): every match of every field, in document order."""
-    compiled = _compiled(spec)
+    compiled, names = _compiled(spec), list(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = _Matcher(compiled)
         for b in batches:
             rows = []
             for page in b[html]:
-                picker = _Picker(compiled)
+                picker = _Picker(matcher, names)
                 picker.feed(page or "")
                 rows.append(picker.done())
             yield b[keep].assign(**{name: [r[name] for r in rows] for name in spec})
@@ -196,13 +265,15 @@ def extract_fields(pages: DataFrame, keep: list[str], html: str, spec: Mapping[s
 
 def extract_records(pages: DataFrame, keep: list[str], html: str, container: str, spec: Mapping[str, Field]) -> DataFrame:
     """One row (keep..., <field> array<string> ...) per container element of a page."""
-    compiled, box = _compiled(spec), _compile(container)
+    # The container first, so that a record begins before the fields that its own element matches.
+    compiled, names = {_BOX: (_compile(container), None), **_compiled(spec)}, list(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = _Matcher(compiled)
         for b in batches:
             rows, at = [], []
             for i, page in enumerate(b[html]):
-                picker = _RecordPicker(compiled, box)
+                picker = _RecordPicker(matcher, names)
                 picker.feed(page or "")
                 picker.done()
                 rows.extend(picker.records)

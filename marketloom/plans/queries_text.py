@@ -240,7 +240,8 @@ def dealer_pages(t: Tables) -> DataFrame:
         F.col("c_nationkey"), F.lit('</a></div><table class="dealer-hours">'), F.when(key % 2 == 0, "<tr><td>Sales</td></tr>").otherwise(""),
         F.lit("<tr><td>Monday:</td><td>"), F.col("c_mktsegment"), F.lit("</td></tr>"), F.when(key % 5 == 0, "<tr><td>Sunday:</td><td></td></tr>").otherwise(""), F.lit("</table>"),
     )
-    made = t.customer.select(key.alias("id"), html.alias("html"))
+    # Dealt before the pages are made: a narrow table of a few megabytes is one task, its pages are work for many.
+    made = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").repartition("c_custkey").select(key.alias("id"), html.alias("html"))
     got = pages.dealer_records(pages.extract_fields(made, ["id"], "html", pages.DEALER_FIELDS), "id")
     return got.select(
         "id", F.col("phone_info.Used").alias("used"), F.col("phone_info.Unknown").alias("untitled"), F.col("phone_info.New").alias("new"),
@@ -265,7 +266,9 @@ def listing_pages(t: Tables) -> DataFrame:
         F.when(F.col("p_size") % 2 == 0, "").otherwise('</dl><dl class="fancy-description-list">'), F.lit("<dt>Drive</dt><dd>w"), F.col("p_size"),
         F.lit('</dd></dl></section><fuse-gallery-grid id="gallery"><img>'), F.lit('<img src="a.jpg?w=1">' * 7), F.lit("</fuse-gallery-grid>"),
     )
-    got = pages.listing_records(pages.listing_fields(t.part.select(F.col("p_partkey").alias("id"), html.alias("html")), "id", "html"), "id", "https://site.example")
+    # Dealt before the pages are made, as for dealers.
+    dealt = t.part.select("p_partkey", "p_name", "p_retailprice", "p_type", "p_brand", "p_size").repartition("p_partkey")
+    got = pages.listing_records(pages.listing_fields(dealt.select(F.col("p_partkey").alias("id"), html.alias("html")), "id", "html"), "id", "https://site.example")
     return got.select(
         "id", F.col("post.new_used").alias("condition"), F.col("post.title").alias("title"), F.col("post.price").cast("bigint").alias("price"),
         F.col("post.basic_desc.VIN").alias("vin"), F.col("post.feature_des.Safety")[0].alias("safety"), F.col("post.warranty_des.Basic").alias("basic_warranty"),

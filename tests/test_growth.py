@@ -4,6 +4,8 @@ import glob
 
 from pyspark.sql import functions as F
 
+from marketloom.operators import pages
+from marketloom.plans.registry import all_queries
 from marketloom.streaming import jobs
 
 
@@ -16,3 +18,27 @@ def test_streamed_loads_write_a_bucket_of_the_index_once(spark, tmp_path):
     files = glob.glob(f"{target}_index/hashes/run=*/bucket=*/*.parquet")
     # One task for every bucket, not each task a file for each.
     assert len(files) == len({f.rsplit("/", 1)[0] for f in files})
+
+
+def _dealt_plan(spark, tmp_path, name, table, columns, row):
+    spark.createDataFrame([row], columns).write.parquet(f"{tmp_path}/{table}.parquet")
+    plan = all_queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("MapInPandas") :]
+
+
+def test_listing_pages_are_parsed_by_more_tasks_than_their_narrow_table_has(spark, tmp_path):
+    columns = "p_partkey bigint, p_name string, p_retailprice double, p_type string, p_brand string, p_size int"
+    assert "Exchange hashpartitioning(p_partkey" in _dealt_plan(spark, tmp_path, "listing_pages", "part", columns, (1, "n", 9.0, "t", "b", 3))
+
+
+def test_selectors_are_matched_once_for_elements_that_repeat(monkeypatch):
+    calls, fits = [], pages._fits
+    monkeypatch.setattr(pages, "_fits", lambda *a: (calls.append(1), fits(*a))[1])
+    matcher = pages._Matcher(pages._compiled(pages.LISTING_FIELDS))
+    for n in range(20):
+        picker = pages._Picker(matcher, list(pages.LISTING_FIELDS))
+        picker.feed(f'<h1 id="vehicle-title">Used {n}</h1><fuse-gallery-grid id="gallery"><img src="{n}"></fuse-gallery-grid>')
+        found = picker.done()
+        assert (found["headline"], found["images"]) == ([f"Used {n}"], [str(n)])
+    # Three different elements, each held against every step once.
+    assert len(calls) == 3 * len(matcher.steps)
