@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +151,9 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = 250, overlap: i
     return df.filter(F.length(text) > 0).select(key, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
+#: Characters of texts that are cut before their chunks are handed on.
+CHUNKED_AT_ONCE = 1 << 20
+
 # Where texts are split, coarsest first.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -214,14 +218,25 @@ def word_chunks(df: DataFrame, key: str, text: str, size: int = 250, overlap: in
     """(key, chunk_no, chunk): chunks cut at paragraph, line and word boundaries."""
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # A batch is up to 10,000 rows, however long: the chunks of about `CHUNKED_AT_ONCE` characters are Python strings at a time.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [split_text(t, size, overlap) if t else [] for t in b[text]]
-            out = pd.DataFrame({key: b[key], "chunk": lists}).explode("chunk").dropna(subset=["chunk"])
-            out["chunk_no"] = out.groupby(level=0).cumcount()
-            yield out[[key, "chunk_no", "chunk"]]
-
-    return df.select(key, text).mapInPandas(run, f"{key} {key_type}, chunk_no int, chunk string")
+            keys, texts = b.column(0), b.column(1)
+            held, at, numbers, chunks = 0, [], [], []
+            for i in range(b.num_rows):
+                whole = texts[i].as_py()
+                found = split_text(whole, size, overlap) if whole else []
+                at.extend([i] * len(found))
+                numbers.extend(range(len(found)))
+                chunks.extend(found)
+                held += len(whole or "")
+                if held >= CHUNKED_AT_ONCE or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], [key, "chunk_no", "chunk"]
+                    )
+                    held, at, numbers, chunks = 0, [], [], []
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {key_type}, chunk_no int, chunk string")
 
 
 def chunk_id(key: Column, chunk_no: Column, namespace: uuid.UUID = POINT_NAMESPACE) -> Column:

@@ -2,9 +2,11 @@
 
 import glob
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from marketloom.operators import pages
+from marketloom.operators import pages, text
 from marketloom.plans.registry import all_queries
 from marketloom.streaming import jobs
 
@@ -42,3 +44,29 @@ def test_selectors_are_matched_once_for_elements_that_repeat(monkeypatch):
         assert (found["headline"], found["images"]) == ([f"Used {n}"], [str(n)])
     # Three different elements, each held against every step once.
     assert len(calls) == 3 * len(matcher.steps)
+
+
+class _Frame:
+    """Stands in for a frame and hands back the function that would run in its tasks."""
+
+    schema = StructType([StructField("id", LongType()), StructField("text", StringType())])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_chunks_of_a_batch_of_long_texts_are_handed_on_in_parts():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": [None, "", *["word " * 20_000] * 38]})
+    parts = list(text.word_chunks(_Frame(), "id", "text")(iter([batch])))
+    assert len(parts) >= 3 and max(sum(map(len, p.column(2).to_pylist())) for p in parts) < 2 * text.CHUNKED_AT_ONCE
+    whole = pa.Table.from_batches(parts)
+    assert whole["chunk"].to_pylist() == text.split_text("word " * 20_000) * 38
+    assert whole["chunk_no"].to_pylist()[:3] == [0, 1, 2] and sorted(set(whole["id"].to_pylist())) == list(range(2, 40))
+
+
+def test_dealer_pages_are_parsed_by_more_tasks_than_their_narrow_table_has(spark, tmp_path):
+    columns = "c_custkey bigint, c_nationkey int, c_mktsegment string"
+    assert "Exchange hashpartitioning(c_custkey" in _dealt_plan(spark, tmp_path, "dealer_pages", "customer", columns, (1, 2, "m"))
