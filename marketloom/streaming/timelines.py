@@ -5,8 +5,11 @@ key. A late row takes its place between its neighbours: it may have to be logged
 its successor into a change or into a repetition. The job therefore writes additions and
 withdrawals, and the log is what is left of them.
 
-The state of a key is the rows that a late one could still fall between, and the last row before
-them. It lies in RocksDB, so it need not fit in memory. With an allowed lateness, a timer per key drops
+Without an allowed lateness all rows are state. They lie in buckets of keys, a batch reads the buckets that its
+rows touch, places all rows of their keys by one window, and writes the buckets anew.
+
+With an allowed lateness, the state of a key is the rows that a late one could still fall between, and the last row before
+them. It lies in RocksDB, so it need not fit in memory, and a timer per key drops
 all but the last of the rows that the watermark has passed.
 """
 
@@ -17,6 +20,11 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
+
+from ..session import written
+from ..sources import tables
+from .jobs import _newest_states
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,8 +34,8 @@ _EVENT_TIME, _MILLIS = "_event_time", "_event_millis"
 class Timeline(StatefulProcessor):
     """Rows of one key in order, each with whether the log holds it."""
 
-    def __init__(self, columns: Sequence[str], schema: str, version: Sequence[str], tracked: Sequence[str], timed: bool):
-        self.columns, self.schema, self.timed = list(columns), schema, timed
+    def __init__(self, columns: Sequence[str], schema: str, version: Sequence[str], tracked: Sequence[str]):
+        self.columns, self.schema = list(columns), schema
         self.version = [self.columns.index(c) for c in version]
         self.tracked = [self.columns.index(c) for c in tracked]
 
@@ -60,7 +68,7 @@ class Timeline(StatefulProcessor):
             kept.append((*row[:-1], logged))
         if kept:
             self.rows.put(kept)
-        if self.timed and new:
+        if new:
             self.handle.registerTimer(max(self._millis(r) for r in new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -85,32 +93,59 @@ class Timeline(StatefulProcessor):
         pass
 
 
+def _log_all(rows: DataFrame, key: str, tracked: Sequence[str], version: Sequence[str], target: str, checkpoint: str, buckets: int) -> None:
+    """`log_timelines` with all rows as state: `checkpoint/held/state=n` has the buckets that batch n touched."""
+    spark, columns, held = rows.sparkSession, rows.columns, f"{checkpoint.rstrip('/')}/held"
+    # Rows that were there stay before equal ones; of those in one batch any order will do, but always the same.
+    order = [*[F.col(c).asc_nulls_first() for c in version], "_batch", *[c for c in columns if c not in version]]
+    state_of = F.struct(F.lit(1), *tracked)
+
+    def place(batch: DataFrame, batch_id: int) -> None:
+        arrived = written(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), spark)
+        placed = arrived.withColumns({"_batch": F.lit(batch_id).cast("bigint"), "_logged": F.lit(False)})
+        states = tables.read_or_none(spark, held)
+        if states is not None:
+            # A repeated batch must not see what its first try wrote.
+            older = _newest_states(states.filter(F.col("state") < batch_id))
+            placed = placed.unionByName(older.join(arrived.select("bucket").distinct(), "bucket", "left_semi").drop("state"))
+        before = F.lag(state_of).over(Window.partitionBy("bucket", key).orderBy(*order))
+        judged = written(placed.withColumn("_now", ~before.eqNullSafe(state_of)), spark)
+        changes = judged.filter("_now <> _logged").select(*columns, F.when(F.col("_now"), 1).otherwise(-1).alias("change"))
+        tables.write_snapshot(changes, f"{target}/batch={batch_id}")
+        kept = judged.withColumn("_logged", F.col("_now")).drop("_now").hint("rebalance", F.col("bucket"))
+        tables.write_snapshot(kept, f"{held}/state={batch_id}", ["bucket"])
+
+    rows.writeStream.foreachBatch(place).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def log_timelines(
     rows: DataFrame, key: str, tracked: Sequence[str], version: Sequence[str], target: str, checkpoint: str,
-    event_time: str | None = None, lateness: str | None = None,
+    event_time: str | None = None, lateness: str | None = None, buckets: int = 64,
 ) -> None:
     """Write what a drain of `rows` adds to the change log and what it withdraws, as `change` 1 and -1.
 
     Rows may come in any order. With `event_time`, the first column of `version`, and `lateness`, rows that come later than that are left
     out, and state is dropped accordingly; without them all rows are kept as state. `version` must be total per key;
-    of rows that agree in it, the first to arrive comes first.
+    of rows that agree in it, the first to arrive comes first. `buckets` holds for all drains of a log.
     """
     spark, given = rows.sparkSession, rows.schema
     timed = event_time is not None and lateness is not None
+    if not timed:
+        _log_all(rows, key, tracked, version, target, checkpoint, buckets)
+        return
     # Times travel as numbers and texts of the same order, so that they are the same in rows and in state.
     plain = {"timestamp": lambda c: F.unix_micros(c), "timestamp_ntz": lambda c: c.cast("string")}
     whole = {"timestamp": lambda c: F.timestamp_micros(c), "timestamp_ntz": lambda c: c.cast("timestamp_ntz")}
-    if timed:
-        rows = rows.withColumn(_EVENT_TIME, F.col(event_time).cast("timestamp")).withWatermark(_EVENT_TIME, lateness).withColumn(_MILLIS, F.unix_millis(_EVENT_TIME))
+    rows = rows.withColumn(_EVENT_TIME, F.col(event_time).cast("timestamp")).withWatermark(_EVENT_TIME, lateness).withColumn(_MILLIS, F.unix_millis(_EVENT_TIME))
     times = {f.name: f.dataType.typeName() for f in given if f.dataType.typeName() in plain}
     rows = rows.withColumns({c: plain[kind](F.col(c)) for c, kind in times.items()})
     fields = [f for f in rows.schema if f.name != _EVENT_TIME]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    timeline = Timeline([f.name for f in fields], schema, version, tracked, timed)
+    timeline = Timeline([f.name for f in fields], schema, version, tracked)
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        changes = rows.groupBy(key).transformWithState(timeline, f"{schema}, change int", "append", "eventTime" if timed else "none")
+        changes = rows.groupBy(key).transformWithState(timeline, f"{schema}, change int", "append", "eventTime")
         changes = changes.drop(_MILLIS).withColumns({c: whole[kind](F.col(c)) for c, kind in times.items()})
         writer = changes.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
         writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -124,5 +159,5 @@ def log_timelines(
 def read_timelines(spark: SparkSession, target: str) -> DataFrame:
     """The change log: rows that were added more often than withdrawn."""
     changes = spark.read.parquet(target)
-    columns = [c for c in changes.columns if c != "change"]
+    columns = [c for c in changes.columns if c not in ("change", "batch")]
     return changes.groupBy(*columns).agg(F.sum("change").alias("change")).filter("change > 0").drop("change")
