@@ -7,6 +7,8 @@ too short or repeat themselves. All of it is computed within the row: no text is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,13 @@ def line_fails(line: Column) -> Column:
     chars = F.length(F.regexp_replace(line, _GAP, F.lit("")))
     marks = lambda pattern: F.size(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
     words = marks(_GAP) + 1
-    symbols = chars - F.length(F.regexp_replace(F.regexp_replace(line, _GAP, F.lit("")), _SYMBOLS, F.lit("")))
+    symbols = F.length(line) - F.length(F.regexp_replace(line, _SYMBOLS, F.lit("")))
+    # Looked for one by one, as a pattern of alternatives would be tried at every character; the one-element array binds the lower case.
+    said = lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE))
+    furniture = F.get(F.transform(F.array(F.lower(line)), said), F.lit(0))
     return (
         ~line.rlike(r"\p{L}") | (symbols * 10 >= chars) | (marks("[!?]{2,}") * 4 >= words)
-        | (marks(r"[\x20\x09][|»·>][\x20\x09]") >= 3) | line.rlike(MENU) | F.lower(line).rlike("|".join(BOILERPLATE))
+        | (marks(r"[\x20\x09][|»·>][\x20\x09]") >= 3) | line.rlike(MENU) | furniture
     )
 
 

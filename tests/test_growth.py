@@ -1,14 +1,17 @@
 """Steps whose cost must not grow faster than their input."""
 
 import glob
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from marketloom.operators import pages, text
+from marketloom.llm import line_rules
+from marketloom.operators import pages, recall, text, vectors
 from marketloom.plans.registry import all_queries
-from marketloom.streaming import jobs
+from marketloom.streaming import jobs, timelines
 
 
 def test_streamed_loads_write_a_bucket_of_the_index_once(spark, tmp_path):
@@ -70,3 +73,55 @@ def test_chunks_of_a_batch_of_long_texts_are_handed_on_in_parts():
 def test_dealer_pages_are_parsed_by_more_tasks_than_their_narrow_table_has(spark, tmp_path):
     columns = "c_custkey bigint, c_nationkey int, c_mktsegment string"
     assert "Exchange hashpartitioning(c_custkey" in _dealt_plan(spark, tmp_path, "dealer_pages", "customer", columns, (1, 2, "m"))
+
+
+def test_seeds_of_equal_attributes_and_price_share_one_list(spark, monkeypatch):
+    columns = "item bigint, price double, rating double, a string, b string"
+    rows = [(n, 10.0 if n % 2 else None, float(n % 4), "x", "y" if n % 3 else None) for n in range(60)]
+    items = spark.createDataFrame(rows, columns)
+    asked, made = [], recall._groups_to_read
+    monkeypatch.setattr(recall, "_groups_to_read", lambda df, *rest: (asked.append(df.select("seed").distinct().count()), made(df, *rest))[1])
+    monkeypatch.setattr(recall, "PER_LIST", 7)
+    weights = {"a": 2.0, "b": 1.0}
+    found = recall.content_neighbors(items, items.select("item"), weights, k=5, band=0.1)
+    got = {}
+    for r in sorted(found.collect(), key=str):
+        got.setdefault(r.seed, set()).add((r.item, r.score))
+
+    def score(s, o):
+        near = o[1] is not None and s[1] is not None and s[1] * 0.9 <= o[1] <= s[1] * 1.1
+        return 2.0 + (s[4] is not None and s[4] == o[4]) + near
+
+    # Two prices times two values of b.
+    assert asked == [4]
+    for s in (r for r in rows if r[1] is not None):
+        best = sorted((o for o in rows if o[0] != s[0]), key=lambda o: (-score(s, o), -o[2], o[0]))[:5]
+        assert got[s[0]] == {(o[0], score(s, o)) for o in best}
+    assert all(len(v) == 5 and n not in {i for i, _ in v} for n, v in got.items()) and len(got) == 60
+
+
+def test_timelines_without_lateness_need_no_state_of_python_workers(spark, tmp_path, monkeypatch):
+    monkeypatch.delattr(timelines, "Timeline")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in ([("a", 3, 1), ("b", 1, 1)], [("a", 1, 1), ("a", 2, 2), (None, 1, None)], [("a", 4, 1), (None, 2, 5)]):
+        spark.createDataFrame(batch, "k string, at int, v int").write.mode("append").parquet(source)
+        timelines.log_timelines(jobs.parquet_stream(spark, source, spark.read.parquet(source).schema), "k", ["v"], ["at"], out, str(tmp_path / "progress"))
+    assert {tuple(r) for r in timelines.read_timelines(spark, out).collect()} == {("a", 1, 1), ("a", 2, 2), ("a", 3, 1), ("b", 1, 1), (None, 1, None), (None, 2, 5)}
+
+
+def test_scores_of_a_pair_of_blocks_are_not_in_memory_at_once():
+    rng, n = np.random.default_rng(1), 4096
+    vectors_, ids = rng.normal(size=(n, 8)), np.arange(n)
+    tracemalloc.start()
+    found = sum(len(part) for part in vectors._best_of_block(ids, vectors_, ids, vectors_, 3, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All scores are 134 MB, without their order.
+    assert found == 3 * n and peak < 100e6
+
+
+def test_phrases_are_looked_for_one_by_one(spark):
+    lines = ["ALL Rights Reserved 2020", "plain words", "", "Cookie Policy", "mentions légales: tous DROITS réservés"]
+    made = spark.createDataFrame([(x,) for x in lines], "line string").select(line_rules.line_fails(F.col("line")).alias("fails"))
+    assert [r.fails for r in made.collect()] == [True, False, True, True, True]
+    assert "reserved|" not in made._jdf.queryExecution().optimizedPlan().toString()
