@@ -125,3 +125,35 @@ def test_phrases_are_looked_for_one_by_one(spark):
     made = spark.createDataFrame([(x,) for x in lines], "line string").select(line_rules.line_fails(F.col("line")).alias("fails"))
     assert [r.fails for r in made.collect()] == [True, False, True, True, True]
     assert "reserved|" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_that_all_requests_share_are_dealt_by_what_comes_out(spark, monkeypatch):
+    for name, value in (("PAIRS_PER_TASK", 64), ("PER_LIST", 7), ("CROWDED", 3)):
+        monkeypatch.setattr(recall, name, value, raising=False)
+    # Seed 0 meets every request; requests, seeds, items and scores may be null, rows may repeat.
+    asked = [(n if n < 199 else None, s) for n in range(200) for s in (0, n % 50 + 1)] + [(5, 0), (6, None)]
+    near = [(s, (s + i) % 60 if i else None, None if i == 1 else 1.0 + (s * 7 + i) % 11) for s in range(51) for i in range(6)] + [(None, 3, 9.0)]
+    seed_items, neighbors = spark.createDataFrame(asked, "request bigint, item bigint"), spark.createDataFrame(near, "seed bigint, item bigint, score double")
+    found = recall.from_neighbors(seed_items, neighbors)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    best = {}
+    for request, seed in asked:
+        for _, item, score in (x for x in near if x[0] == seed and seed is not None):
+            had = best.setdefault((request, item), score)
+            best[request, item] = max((x for x in (had, score) if x is not None), default=None)
+    top = {}
+    for (request, _), score in best.items():
+        top[request] = max(top.get(request, 0.0), score or 0.0)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == len(best)
+    assert {(r.request, r.item): r.score for r in rows} == {k: None if v is None else v / top[k[0]] for k, v in best.items()}
+    # Few bytes are read, yet the pairs lie in many tasks, and none of them are held before they are dealt.
+    assert len({r.task for r in rows}) > 20 and max(sum(r.task == t for r in rows) for t in {r.task for r in rows}) < len(rows) / 20
+    assert plan.index("partial_max(score") < plan.index("Exchange hashpartitioning(request")
+
+
+def test_recent_seeds_are_read_from_where_they_are_written(spark):
+    seeds = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 8, 3), (1, 9, 4), (1, 6, 5), (2, 7, 1)], "request bigint, item bigint, recency int")
+    recent = recall.recent_seed_items(seeds)
+    assert {tuple(r) for r in recent.collect()} == {(1, 7, 1), (1, 8, 3), (1, 9, 4), (2, 7, 1)}
+    assert "Window" not in recent._jdf.queryExecution().executedPlan().toString()
