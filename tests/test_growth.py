@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input."""
 
 import glob
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from marketloom import session
 from marketloom.llm import line_rules
 from marketloom.operators import pages, recall, text, vectors
 from marketloom.plans.registry import all_queries
@@ -152,6 +154,33 @@ def test_lists_that_all_requests_share_are_dealt_by_what_comes_out(spark, monkey
     assert plan.index("partial_max(score") < plan.index("Exchange hashpartitioning(request")
 
 
+def test_seeds_are_answered_in_parts_whose_pairs_are_not_on_disk_together(spark, monkeypatch):
+    rows = [(n if n < 79 else None, 10.0 + n % 13 if n % 5 else None, float(n % 4), f"x{n % 3}", f"y{n % 7}" if n % 4 else None) for n in range(80)] + [(3, 13.0, 3.0, "x0", "y3")]
+    items = spark.createDataFrame(rows, "item bigint, price double, rating double, a string, b string")
+    near = lambda: recall.content_neighbors(items, items.select("item"), {"a": 2.0, "b": 1.0}, k=5, band=0.1)
+    whole = near()
+    monkeypatch.setattr(recall, "PAIRS_AT_ONCE", 256, raising=False)
+    parts = near()
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    # What is handed on is read from where the parts were written.
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") > 3
+    assert "Exchange" in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for d in disk.localDirs() for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    for step in (session.written, session.cut_lineage):
+        before = shuffles()
+        made = step(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+        until = time.time() + 20
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.1)
+        assert not shuffles() - before and {r.n for r in made.collect()} == {142, 143}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_recent_seeds_are_read_from_where_they_are_written(spark):
     seeds = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 8, 3), (1, 9, 4), (1, 6, 5), (2, 7, 1)], "request bigint, item bigint, recency int")
     recent = recall.recent_seed_items(seeds)
