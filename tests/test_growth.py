@@ -3,6 +3,7 @@
 import glob
 import time
 import tracemalloc
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from marketloom import session
+from marketloom.config import RecoConfig
 from marketloom.llm import line_rules
 from marketloom.operators import pages, recall, text, vectors
+from marketloom.plans import recommend
 from marketloom.plans.registry import all_queries
 from marketloom.streaming import jobs, timelines
 
@@ -168,6 +171,26 @@ def test_seeds_are_answered_in_parts_whose_pairs_are_not_on_disk_together(spark,
     assert "Exchange" in whole._jdf.queryExecution().executedPlan().toString()
 
 
+def test_item_pages_are_made_in_parts_from_lists_made_once(spark, monkeypatch):
+    start = datetime(2024, 1, 30)
+    rows = [(n, f"b{n % 3}", f"m{n % 6}", 100.0 + n, float(n % 5), start, f"f{n % 2}") for n in range(40)] + [(None, "b1", "m1", 101.0, 2.0, start, "f1"), (7, "b2", "m1", 103.0, 1.0, start, "f0")]
+    items = spark.createDataFrame(rows, "item bigint, brand string, model string, price double, rating double, crawled_at timestamp_ntz, fuel string")
+    similarity = spark.createDataFrame([(n, (n * 3 + 1) % 40, 0.5 + n / 100, 1) for n in range(20)], "item bigint, neighbor bigint, score double, rank int")
+    cfg = RecoConfig(content_weights={"brand": 2.0, "fuel": 0.5}, content_limit=6, popularity_limit=5, top_k=6)
+    data = recommend.Inputs(items, None, similarity)
+    made, content = [], recall.content_neighbors
+    monkeypatch.setattr(recall, "content_neighbors", lambda *a, **b: (made.append(1), content(*a, **b))[1])
+    as_of = F.lit(datetime(2024, 1, 31)).cast("timestamp_ntz")
+    whole = recommend.similar_items(data, cfg, as_of)
+    monkeypatch.setattr(recommend, "REQUESTS_AT_ONCE", 25, raising=False)
+    parts = recommend.similar_items(data, cfg, as_of)
+    assert len(made) == 2
+    got = sorted(map(str, parts.collect()))
+    assert got == sorted(map(str, whole.collect())) and len(got) > 200
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 2
+
+
 def test_steps_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {f for d in disk.localDirs() for f in glob.glob(f"{d}/*/shuffle_*.data")}
