@@ -99,6 +99,12 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files through Spark's own file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def append_partitioned(df: DataFrame, path: str, date: Column, month: str = "month") -> None:
     """Append into month partitions, which appear on demand. Rows without a date go to the NULL partition.
 

@@ -114,6 +114,35 @@ def test_timelines_without_lateness_need_no_state_of_python_workers(spark, tmp_p
     assert {tuple(r) for r in timelines.read_timelines(spark, out).collect()} == {("a", 1, 1), ("a", 2, 2), ("a", 3, 1), ("b", 1, 1), (None, 1, None), (None, 2, 5)}
 
 
+def test_timelines_keep_one_state_of_a_bucket_and_no_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timelines, "ROWS_AT_ONCE", 50, raising=False)
+    source, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
+    steps = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/step-*"))
+    before = steps()
+    for n in range(3):
+        made = spark.range(40).select(F.concat(F.lit("k"), F.col("id") % 9).alias("k"), (F.col("id") * 3 + n).cast("int").alias("at"), (F.col("id") % 2).cast("int").alias("v"))
+        made.write.mode("append").parquet(source)
+        timelines.log_timelines(jobs.parquet_stream(spark, source, made.schema), "k", ["v"], ["at"], out, progress, buckets=4)
+    held = glob.glob(f"{progress}/held/state=*/bucket=*")
+    assert {f.split("state=")[1][0] for f in held} == {"2"} and len(held) == 4 and steps() == before
+    found = sorted(tuple(r) for r in spark.read.parquet(source).collect())
+    want = [r for i, r in enumerate(found) if not i or found[i - 1][0] != r[0] or found[i - 1][2] != r[2]]
+    assert sorted(tuple(r) for r in timelines.read_timelines(spark, out).collect()) == want
+
+
+def test_pairs_of_blocks_are_dealt_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(n if n < 299 else None, [float(x) for x in rng.normal(size=4)]) for n in range(300)] + [(5, [1.0, 2.0, 0.5, 0.0])]
+    made = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    found = lambda: vectors.nearest_neighbors(made, made, 4, exclude_self=True, cell_target=40)
+    whole = sorted(map(str, found().collect()))
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 2048)
+    steps, written = [], session.written
+    monkeypatch.setattr(vectors, "written", lambda df: (steps.append(1), written(df))[1], raising=False)
+    monkeypatch.setattr(vectors, "BYTES_AT_ONCE", 20_000, raising=False)
+    assert sorted(map(str, found().collect())) == whole and len(steps) > 4
+
+
 def test_scores_of_a_pair_of_blocks_are_not_in_memory_at_once():
     rng, n = np.random.default_rng(1), 4096
     vectors_, ids = rng.normal(size=(n, 8)), np.arange(n)
